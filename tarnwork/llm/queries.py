@@ -1,0 +1,27 @@
+"""The thin queries over the operators, as registered for the driver."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tarnwork.llm.common import table
+from tarnwork.llm.packing import pack_documents
+from tarnwork.llm.token_counts import token_counts
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json", capacity=2048, end_id=0)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op9_token_counts": op9_token_counts,
+}
+
+ORACLES: dict[str, str] = {}
