@@ -66,7 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.frombuffer(pa.compute.fill_null(pa.compute.binary_length(batch.column(text).cast(pa.large_string())), 0).cast(pa.int64()).buffers()[1], np.int64, batch.num_rows)
+        size = np.diff(ragged(batch.column(text))[1])
         part = (np.cumsum(size) - size) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
