@@ -16,6 +16,7 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -44,7 +45,7 @@ class PerfectHash:
     """key -> slot (key % ``spread`` + shift[key % ``residues``]) without collisions, for distinct non-negative keys."""
 
     def __init__(self, keys: np.ndarray):
-        self.residues, self.spread = 2 * len(keys) // 3 | 1, 2 * len(keys) + 1 | 1
+        self.residues, self.spread = self.moduli(len(keys))
         group, base = keys % self.residues, keys % self.spread
         order = np.argsort(group, kind="stable")
         cuts = np.flatnonzero(np.diff(group[order])) + 1
@@ -63,6 +64,10 @@ class PerfectHash:
             self.slot[members] = np.array(places) + d
         self.size = int(self.slot.max()) + 1 if len(keys) else 1
 
+    @staticmethod
+    def moduli(n: int) -> tuple[int, int]:
+        return 2 * n // 3 | 1, 2 * n + 1 | 1
+
     def column(self, key: Column, shift: Column) -> Column:
         return key % self.spread + F.get(shift, (key % self.residues).cast("int"))
 
@@ -80,40 +85,43 @@ def pair_table(path: str) -> tuple[PerfectHash, np.ndarray, np.ndarray]:
     return table, at, to
 
 
+def bound(values: dict[str, Column], body) -> Column:
+    """``body`` over the named constants, which the plan then holds once."""
+    packed = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.get(F.transform(F.array(packed), body), F.lit(0))
+
+
 class Codec:
     """Column expressions that encode words and decode ids by a .tiktoken rank file."""
 
     def __init__(self, vocabulary: str = "byte_bpe_50k.tiktoken"):
         path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
-        tokens = ranks(path)
-        ids = {t: i for i, t in enumerate(tokens)}
+        self.tokens = ranks(path)
+        ids = {t: i for i, t in enumerate(self.tokens)}
         self.table, at, to = pair_table(path)
-        self.shift, self.keys, self.merged = literal(self.table.shift), literal(at, "bigint"), literal(to)
-        self.byte_ids = literal(ids[bytes([b])] for b in range(256))
-        self.token_hex = F.split(F.lit(",".join(t.hex() for t in tokens)), ",")
-        self.id_hex = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(len(tokens)))), ",")
+        self.rank_map = {"shift": literal(self.table.shift), "keys": literal(at, "bigint"), "merged": literal(to), "byte_ids": literal(ids[bytes([b])] for b in range(256))}
 
-    def rank(self, a: Column, b: Column) -> Column:
+    def rank(self, maps: Column, a: Column, b: Column) -> Column:
         """The merged id (which is its rank) of two neighbours, or null."""
         key = a.cast("bigint") * 65536 + b
-        slot = self.table.column(key, self.shift).cast("int")
-        return F.when(F.get(self.keys, slot) == key, F.get(self.merged, slot))
+        slot = self.table.column(key, maps["shift"]).cast("int")
+        return F.when(F.get(maps["keys"], slot) == key, F.get(maps["merged"], slot))
 
-    def fold(self, word: Column) -> Column:
-        """The ids of one word (array<int>)."""
+    def fold(self, maps: Column, word: Column) -> Column:
+        """The ids of one word (array<int>); ``maps``: the bound ``rank_map``."""
         letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        ids = F.transform(letters, lambda c: F.get(self.byte_ids, F.ascii(c)))
+        ids = F.transform(letters, lambda c: F.get(maps["byte_ids"], F.ascii(c)))
 
         def begin(t: Column) -> Column:
             n = F.size(t)
-            return F.struct(t.alias("t"), F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1), self.rank).alias("r"))
+            return F.struct(t.alias("t"), F.zip_with(F.slice(t, 1, n - 1), F.slice(t, 2, n - 1), lambda a, b: self.rank(maps, a, b)).alias("r"))
 
         def join(s: Column, best: Column) -> Column:
             t, r, m, p = s["t"], s["r"], best["m"], best["p"]
             n = F.size(t)
             none = F.slice(r, 1, 0)
-            left = F.when(p > 1, F.array(self.rank(F.get(t, p - 2), m))).otherwise(none)
-            right = F.when(p < n - 1, F.array(self.rank(m, F.get(t, p + 1)))).otherwise(none)
+            left = F.when(p > 1, F.array(self.rank(maps, F.get(t, p - 2), m))).otherwise(none)
+            right = F.when(p < n - 1, F.array(self.rank(maps, m, F.get(t, p + 1)))).otherwise(none)
             return F.struct(
                 F.concat(F.slice(t, 1, p - 1), F.array(m), F.slice(t, p + 2, n)).alias("t"),
                 F.concat(F.slice(r, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(r, p + 2, n)).alias("r"),
@@ -127,45 +135,75 @@ class Codec:
         folded = F.transform(F.array(ids), lambda t: F.aggregate(F.slice(t, 2, F.size(t) - 1), begin(t), step, lambda s: s["t"]))
         return F.get(folded, F.lit(0))
 
-    def dictionary(self, words: list[tuple[str, str]]):
-        """word -> ids as a column function, from (word, ids joined by commas); words that collide are left out."""
-        import zlib
-
-        by_hash = {zlib.crc32(w.encode()): (w, i) for w, i in reversed(words)}
-        found = dict(by_hash)
-        while True:
-            keys = np.array(list(found), np.int64)
-            try:
-                table = PerfectHash(keys)
-                break
-            except ValueError:  # drop words that share both residues
-                both = {}
-                for k in found:
-                    both[k % (2 * len(keys) // 3 | 1), k % (2 * len(keys) + 1 | 1)] = k
-                found = {k: found[k] for k in both.values()}
-        texts, ids = [""] * table.size, [""] * table.size
-        for (w, i), slot in zip(found.values(), table.slot.tolist()):
-            texts[slot], ids[slot] = w, i
-        # words hold any character but their own hex digits are plain: the literal is cut at commas
-        text_column = F.split(F.lit(",".join(w.encode().hex() for w in texts)), ",")
-        id_column = F.split(F.lit(";".join(ids)), ";")
-        shift = literal(table.shift)
-
-        def look(word: Column) -> Column:
-            key = F.crc32(F.encode(word, "UTF-8"))
-            slot = table.column(key, shift).cast("int")
-            return F.when(F.get(text_column, slot) == F.hex(F.encode(word, "UTF-8")), F.get(id_column, slot))
-
-        return look
-
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids: their pieces, concatenated."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.token_hex, i)), ""))
+        pieces = F.split(F.lit(",".join(t.hex() for t in self.tokens)), ",")
+        return F.unhex(bound({"piece": pieces}, lambda x: F.array_join(F.transform(ids, lambda i: F.get(x["piece"], i)), "")))
 
     def packed(self, ids: Column) -> Column:
         """Ids as little-endian unsigned 32-bit integers (binary)."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.id_hex, i)), ""))
+        words = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(len(self.tokens)))), ",")
+        return F.unhex(bound({"word": words}, lambda x: F.array_join(F.transform(ids, lambda i: F.get(x["word"], i)), "")))
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(JAVA_PATTERN), F.lit(0))
+
+
+class Dictionary:
+    """A constant word -> ids table: words as hex, ids joined by commas, in slots of a perfect hash of their crc32."""
+
+    def __init__(self, words: list[tuple[str, list[int]]]):
+        found = {zlib.crc32(w.encode()): (w, i) for w, i in words}
+        table = None
+        while table is None:
+            keys = np.array(list(found), np.int64)
+            try:
+                table = PerfectHash(keys)
+            except ValueError:  # words that share both residues: one stays
+                residues, spread = PerfectHash.moduli(len(keys))
+                found = {k: found[k] for k in {(k % residues, k % spread): k for k in found}.values()}
+        self.table = table
+        texts, ids = [""] * table.size, [[]] * table.size
+        for (w, i), slot in zip(found.values(), table.slot.tolist()):
+            texts[slot], ids[slot] = w.encode().hex().upper(), i
+        ends = np.cumsum([len(i) for i in ids])
+        self.maps = {"word": F.split(F.lit(",".join(texts)), ","), "ids": literal([x for i in ids for x in i] or [0]), "end": literal([0, *ends.tolist()]), "move": literal(table.shift)}
+
+    def look(self, maps: Column, word: Column) -> Column:
+        """The word's ids, or null."""
+        raw = F.encode(word, "UTF-8")
+        slot = self.table.column(F.crc32(raw), maps["move"]).cast("int")
+        begin = F.get(maps["end"], slot)
+        return F.when(F.get(maps["word"], slot) == F.hex(raw), F.slice(maps["ids"], begin + 1, F.get(maps["end"], slot + 1) - begin))
+
+
+def warm_words(docs: DataFrame, codec: Codec, text_col: str, sample_docs: int, dictionary_words: int) -> list[tuple[str, list[int]]]:
+    """The commonest words of about ``sample_docs`` documents, with their folded ids."""
+    total = docs.count()
+    text = F.col(text_col)
+    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_docs / max(total, 1))))
+    words = sample.select(F.explode(words_of(text)).alias("word")).where(F.length("word") <= 64).groupBy("word").count()
+    common = words.orderBy(F.desc("count"), "word").limit(dictionary_words)
+    folded = common.repartition(max(8, dictionary_words // 20_000)).select("word", bound(codec.rank_map, lambda m: codec.fold(m, F.col("word"))).alias("ids"))
+    return [(r["word"], r["ids"]) for r in folded.toLocalIterator()]
+
+
+def encode(docs: DataFrame, codec: Codec, text_col: str = "text", sample_docs: int = 20_000, dictionary_words: int = 200_000) -> DataFrame:
+    """``docs`` with a column ``ids`` (array<int>) of each text's tokens."""
+    known = Dictionary(warm_words(docs, codec, text_col, sample_docs, dictionary_words))
+    words = words_of(F.col(text_col))
+    ids = bound(codec.rank_map | known.maps, lambda m: F.flatten(F.transform(words, lambda w: F.coalesce(known.look(m, w), codec.fold(m, w)))))
+    return docs.withColumn("ids", ids)
+
+
+def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+    """One row per document: id, n_tokens, ids_sha256, decoded_sha256."""
+    codec = Codec(vocabulary)
+    encoded = encode(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), codec, **sizes)
+    return encoded.select(
+        F.col("id").alias(id_col),
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(codec.packed(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    )

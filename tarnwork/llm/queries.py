@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnwork.llm.byte_bpe import round_trip
 from tarnwork.llm.common import table
 from tarnwork.llm.packing import pack_documents
 from tarnwork.llm.token_counts import token_counts
@@ -15,12 +16,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json", capacity=2048, end_id=0)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), "byte_bpe_50k.tiktoken")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_byte_bpe": op5_byte_bpe,
     "op9_token_counts": op9_token_counts,
 }
 
