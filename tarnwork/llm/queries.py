@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnwork.llm.byte_bpe import round_trip
 from tarnwork.llm.common import table
+from tarnwork.llm.language_id import fit as fit_languages
+from tarnwork.llm.language_id import identify
 from tarnwork.llm.packing import pack_documents
 from tarnwork.llm.token_counts import token_counts
 
@@ -20,6 +22,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), "byte_bpe_50k.tiktoken")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit_languages(docs))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
 
@@ -27,6 +34,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_language_id": op6_language_id,
     "op9_token_counts": op9_token_counts,
 }
 
