@@ -11,9 +11,16 @@ from tarnwork.llm.common import table
 from tarnwork.llm.language_id import fit as fit_languages
 from tarnwork.llm.language_id import identify
 from tarnwork.llm.packing import pack_documents
+from tarnwork.llm.quality_crf import fit as fit_quality
+from tarnwork.llm.quality_crf import score as score_quality
 from tarnwork.llm.token_counts import token_counts
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json", capacity=2048, end_id=0)
 
@@ -32,6 +39,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
