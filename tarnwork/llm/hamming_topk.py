@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import staged
+from tarnwork.llm.common import literal, staged
 
 
 def codes(vectors: DataFrame, bits: int, segment_bits: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -50,7 +50,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int =
     best = rows.sparkSession.createDataFrame([], f"code array<int>, id {kind}, distance int")
     order = Window.partitionBy("code").orderBy("distance", "id")
     for s in range(segment_bits + 1 if segments else 0):
-        masks = F.array(*[F.lit(m) for m in _masks(segment_bits, s)]) if s < 3 else F.filter(F.sequence(F.lit(0), F.lit((1 << segment_bits) - 1)), lambda m: F.bit_count(m) == s)
+        masks = literal(_masks(segment_bits, s))
         probes = still.select("code", F.posexplode("code").alias("segment", "own")).select("code", "segment", "own", F.explode(masks).alias("mask"))
         probes = probes.select("code", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         met = probes.join(index, ["segment", "value"]).withColumn("apart", _segment_distances("code", "near"))

@@ -14,6 +14,7 @@ from tarnwork.llm import hamming_topk, rp_forest
 from tarnwork.llm.packing import pack_documents
 from tarnwork.llm.quality_crf import fit as fit_quality
 from tarnwork.llm.quality_crf import score as score_quality
+from tarnwork.llm.weighted_minhash import near_duplicates
 from tarnwork.llm.token_counts import token_counts
 
 
@@ -39,6 +40,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit_languages(docs))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, words=5)
+
+
 def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_topk.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_approximate_neighbours": op4_approximate_neighbours,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_hamming_topk": op8_hamming_topk,
     "op9_token_counts": op9_token_counts,
 }

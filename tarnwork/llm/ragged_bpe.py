@@ -46,9 +46,11 @@ def split_contractions(points: np.ndarray, start: np.ndarray, fresh: np.ndarray)
 class Merges:
     """Ranked merges in an open-addressing table: (left id, right id) -> rank, merged id."""
 
-    def __init__(self, pairs: np.ndarray, merged: np.ndarray, byte_ids: np.ndarray):
+    def __init__(self, pairs: np.ndarray, merged: np.ndarray, byte_ids: np.ndarray, ranks: np.ndarray | None = None):
         self.byte_ids = byte_ids.astype(np.int64)
-        self.merged = merged.astype(np.int64)
+        ranks = np.arange(len(pairs)) if ranks is None else ranks  # pairs of equal rank make the same token
+        self.merged = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.int64)
+        self.merged[ranks] = merged
         keys = (pairs[:, 0].astype(np.int64) << 20) | pairs[:, 1]
         self.bits = max(12, int(4 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
@@ -59,7 +61,7 @@ class Merges:
             place = slot[self.keys[slot] < 0]
             place, who = np.unique(place, return_index=True)
             self.keys[place] = keys[free[who]]
-            self.ranks[place] = free[who]
+            self.ranks[place] = ranks[free[who]]
             rest = self.keys[slot] != keys[left]
             left, slot = left[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
 
