@@ -14,6 +14,7 @@ from tarnwork.llm import hamming_topk, rp_forest
 from tarnwork.llm.packing import pack_documents
 from tarnwork.llm.quality_crf import fit as fit_quality
 from tarnwork.llm.quality_crf import score as score_quality
+from tarnwork.llm import suffix_dedup
 from tarnwork.llm.weighted_minhash import near_duplicates
 from tarnwork.llm.token_counts import token_counts
 
@@ -27,6 +28,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json", capacity=2048, end_id=0)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"), width=100)
+
+
 def op4_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -55,6 +60,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_approximate_neighbours": op4_approximate_neighbours,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
