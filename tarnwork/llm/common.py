@@ -131,3 +131,17 @@ def unique_pieces(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     used = np.zeros(n, bool)
     used[rep] = True
     return np.flatnonzero(used), (np.cumsum(used) - 1)[rep]
+
+
+def filtered(docs: DataFrame, text_col: str, verdict) -> DataFrame:
+    """The rows for which ``verdict`` (a string column -> booleans) holds; columns may share a name."""
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    text = own[docs.columns.index(text_col)]
+    plain = docs.toDF(*own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(verdict(batch.column(text))))
+
+    schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes)
+    return plain.mapInArrow(run, schema).toDF(*docs.columns)

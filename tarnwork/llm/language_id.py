@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import code_points, crc_mod, ragged, slices, small_batches
+from tarnwork.llm.common import code_points, crc_mod, filtered, ragged, slices, small_batches
 from tarnwork.llm.ragged_bpe import LETTER, classes
 
 ORDER = 4
@@ -269,3 +269,17 @@ def identify(docs: DataFrame, model: Model | None, modulus: int = 3, held_out: i
 
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double, accepted boolean").withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, model: Model | None, reject_below: float = 0.02, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their columns; a map without a join."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def accepted(text: pa.Array) -> np.ndarray:
+        codes, offsets, lettered = letters_of(*ragged(text))
+        if shared.value is None:
+            return lettered & False
+        return lettered & (shared.value.judge(*shared.value.losses(codes, offsets))[1] >= reject_below)
+
+    return filtered(docs, text_col, accepted)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import _words, code_points, crc_mod, piece_hashes, ragged, slices, small_batches
+from tarnwork.llm.common import _words, code_points, crc_mod, filtered, piece_hashes, ragged, slices, small_batches
 from tarnwork.llm.ragged_bpe import LETTER, NUMBER, SPACE, classes
 
 BLANK, LOWER, UPPER, DIGIT, STOP, COMMA, SHOUT, BAR, SIGN, MARK, REST = range(11)
@@ -268,3 +268,10 @@ def score(docs: DataFrame, field: Field, threshold: float = 0.3, modulus: int =
 
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, field: Field, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with their columns; a map without a join."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    return filtered(docs, text_col, lambda text: shared.value.scores(*ragged(text)) >= threshold)

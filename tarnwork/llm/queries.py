@@ -15,6 +15,7 @@ from tarnwork.llm.packing import pack_documents
 from tarnwork.llm.quality_crf import fit as fit_quality
 from tarnwork.llm.quality_crf import score as score_quality
 from tarnwork.llm import suffix_dedup
+from tarnwork.llm.html_text import extract as extract_html
 from tarnwork.llm.weighted_minhash import near_duplicates
 from tarnwork.llm.token_counts import token_counts
 
@@ -57,6 +58,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=1024)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_hamming_topk": op8_hamming_topk,
     "op9_token_counts": op9_token_counts,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 _BITS = "[CASE WHEN x > 0 AND NOT isnan(x) THEN 1 ELSE 0 END FOR x IN embedding]"

@@ -262,3 +262,8 @@ def digest(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     done = remove_repeats(docs.select(F.col(id_col), F.col(text_col)), width, id_col, text_col)
     return done.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def whole_text(kept):
+    """Bytes as text, without code points that a cut has split."""
+    return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("\ufffd"), F.lit(""))
