@@ -7,6 +7,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IMAGE_ROOT, IMAGE_MARK = "https://amarket.com.bo", "/cdn/shop/files/"  # fixed values
 EXTENSION_OF_FORMAT = {"JPEG": ".jpg", "PNG": ".png", "WEBP": ".webp"}  # fixed values
@@ -74,7 +75,7 @@ def resolve(reference: str | None, base: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolute(reference: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([resolve(r, b) for r, b in zip(reference, base)], dtype=object)
 
@@ -91,7 +92,7 @@ def image_of(url: str | None, page: str | None) -> str | None:
     return IMAGE_ROOT + parts.path[parts.path.index(IMAGE_MARK) :] + (f"?{parts.query}" if parts.query else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def image_url(url: pd.Series, page: pd.Series) -> pd.Series:
     return pd.Series([image_of(u, p) for u, p in zip(url, page)], dtype=object)
 
