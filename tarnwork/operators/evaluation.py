@@ -39,6 +39,10 @@ def match_greedy(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, image:
     A box whose best unused prediction overlaps too little takes none; the first of equal overlaps wins.
     """
     pairs = overlaps(gt, pred, image, by_class).where("iou > 0").select(image, "gt_idx", "pred_idx", "conf", "iou")
+    crowded = gt.groupBy(image).agg(F.count("*").alias("_n")).where("_n > 1").select(image)
+    order = Window.partitionBy(image, "gt_idx").orderBy(F.desc("iou"), "pred_idx")
+    alone = pairs.join(crowded, image, "left_anti").withColumn("_nth", F.row_number().over(order))
+    alone = alone.where((F.col("_nth") == 1) & (F.col("iou") >= threshold)).drop("_nth")  # one box: nothing to contend for
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -51,7 +55,7 @@ def match_greedy(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, image:
                     out.append(top)
         return pd.DataFrame(out, columns=p.columns)
 
-    return pairs.groupBy(image).applyInPandas(one, pairs.schema)
+    return alone.unionByName(pairs.join(crowded, image, "left_semi").groupBy(image).applyInPandas(one, pairs.schema))
 
 
 def examples(gt: DataFrame, pred: DataFrame, matches: DataFrame, image: str = "image") -> DataFrame:

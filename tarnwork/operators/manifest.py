@@ -79,4 +79,4 @@ def check_reconciled(counts: DataFrame) -> dict[str, int]:
 def summary(manifest: DataFrame, rejections: DataFrame) -> DataFrame:
     """One row: accepted, rejected, attempted."""
     tagged = manifest.select(F.lit(1).alias("ok")).unionByName(rejections.select(F.lit(0).alias("ok")))
-    return tagged.agg(F.count_if("ok = 1").alias("accepted"), F.count_if("ok = 0").alias("rejected"), F.count("*").alias("attempted"))
+    return tagged.agg(F.count_if(F.col("ok") == 1).alias("accepted"), F.count_if(F.col("ok") == 0).alias("rejected"), F.count("*").alias("attempted"))

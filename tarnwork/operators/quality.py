@@ -17,7 +17,7 @@ def valid_box() -> Column:
 
 def label_invariants(labels: DataFrame) -> DataFrame:
     """One row: labels, invalid_boxes, assets with other than one label."""
-    counts = labels.groupBy("source_asset_id").count().agg(F.count_if("count <> 1").alias("not_exactly_one"))
+    counts = labels.groupBy("source_asset_id").count().agg(F.count_if(F.col("count") != 1).alias("not_exactly_one"))
     return labels.agg(F.count("*").alias("labels"), F.count_if(~valid_box()).alias("invalid_boxes")).join(counts)
 
 

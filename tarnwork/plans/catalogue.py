@@ -1,16 +1,576 @@
-"""The registered queries and their DuckDB counterparts."""
+"""The registered queries over the driver's tables, and their DuckDB counterparts.
+
+Tables without images or detections stand in for them: ``embeddings`` rows are 8 x 8 rasters, the lines of
+an order are detections of one object whose box is made from the order's first line.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwork.functions import boxes, html, identity, urls
+from tarnwork.operators import evaluation, manifest, masks, quality, splits
+from tarnwork.operators.graph import components
+from tarnwork.streaming.ingest import tumbling_counts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+SIDE, LEVEL = 8, 0.2
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its DuckDB form."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- addresses -------------------------------------------------------------------------------------------
+
+_CANON = r"""(CASE WHEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) = '' THEN regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '')
+    ELSE lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)) || substr(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), length(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)) + 1) END)"""
+
+
+@query(f"SELECT page_id, url, {_CANON} AS canonical FROM pages")
+def url_canonical(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", "url", urls.canonical(F.col("url")).alias("canonical"))
+
+
+@query(f"SELECT DISTINCT {_CANON} AS canonical FROM pages ORDER BY 1")
+def url_distinct_sorted(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select(urls.canonical(F.col("url")).alias("canonical")).distinct().orderBy("canonical")
+
+
+@query("SELECT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1")
+def url_host_counts(spark, sf_dir):
+    return read(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+_SEGMENT = "regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '(?i)/(?:en|fr|de|es)/([^/?#]+)$', 1)"
+
+
+@query(f"SELECT page_id, CASE WHEN regexp_matches({_SEGMENT}, '^[A-Za-z0-9._-]+$') THEN {_SEGMENT} ELSE '' END AS sku_id FROM pages")
+def url_sku_extract(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", urls.last_segment_sku(F.col("url"), "(?:en|fr|de|es)").alias("sku_id"))
+
+
+@query("SELECT page_id, coalesce(CAST(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS INTEGER), 1) AS page FROM pages")
+def url_page_number(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.coalesce(urls.page_number(F.col("url")), F.lit(1)).alias("page"))
+
+
+@query("""SELECT doc_id, lower(trim(split_part(source || '; charset=' || lang, ';', 1))) AS mime,
+    ('text/' || lang) IN ('text/html', 'application/xhtml+xml') AS html, starts_with(lower(trim(split_part('Image/' || source || ';q=1', ';', 1))), 'image/') AS image FROM documents""")
+def mime_normalize(spark, sf_dir):
+    c = F.col
+    return read(spark, sf_dir, "documents").select("doc_id", urls.mime(F.concat("source", F.lit("; charset="), "lang")).alias("mime"), urls.is_html(F.concat(F.lit("text/"), "lang")).alias("html"), urls.is_image(F.concat(F.lit("Image/"), c("source"), F.lit(";q=1"))).alias("image"))
+
+
+@query("SELECT doc_id, source || '_' || substr(sha256(text), 1, 12) || CASE lang WHEN 'en' THEN '.jpg' WHEN 'fr' THEN '.png' ELSE '.webp' END AS file_name FROM documents")
+def file_name(spark, sf_dir):
+    kind = F.when(F.col("lang") == "en", "JPEG").when(F.col("lang") == "fr", "png")
+    ext = urls.extension(kind, F.lit("image/webp; q=1"))
+    return read(spark, sf_dir, "documents").select("doc_id", urls.file_name(F.col("source"), identity.content_sha256(F.col("text")), ext).alias("file_name"))
+
+
+@query("""WITH p AS (SELECT page_id, '/data/images/' || lang_dir || '/images/x.png' AS path FROM (SELECT page_id, coalesce(nullif(regexp_extract(url, '/(en|fr|de|es)/', 1), ''), 'zz') AS lang_dir FROM pages))
+    SELECT page_id, regexp_replace(path, '^(.*)/images/x[.]png$', '\\1/labels/x.png') AS labels_path FROM p""")
+def labels_folder(spark, sf_dir):
+    part = F.coalesce(F.nullif(F.regexp_extract("url", "/(en|fr|de|es)/", 1), F.lit("")), F.lit("zz"))
+    path = F.concat(F.lit("/data/images/"), part, F.lit("/images/x.png"))
+    return read(spark, sf_dir, "pages").select("page_id", urls.labels_folder(path).alias("labels_path"))
+
+
+# --- pages -----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, link FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link,
+    generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS pos FROM pages)""")
+def html_links(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.posexplode(html.link_list(F.col("html"))).alias("pos", "link"))
+
+
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS INTEGER) AS links FROM pages""")
+def html_link_counts(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.size(html.link_list(F.col("html"))).alias("links"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query("""SELECT page_id, lower(regexp_extract(html, '<meta charset="([^"]*)"', 1)) AS charset FROM pages""")
+def html_meta_charset(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", html.charset(F.col("html")).alias("charset"))
+
+
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS INTEGER) AS n_links, CAST(len(regexp_extract_all(html, '<img ')) AS INTEGER) AS n_images FROM pages""")
+def html_parsed(spark, sf_dir):
+    """The full parser, not the regular expressions."""
+    return html.parse(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.size("links").alias("n_links"), F.size("images").alias("n_images"))
+
+
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages)
+    SELECT link, count(DISTINCT page_id) AS pages FROM l GROUP BY link HAVING count(DISTINCT page_id) > 1""")
+def shared_links(spark, sf_dir):
+    return html_links(spark, sf_dir).groupBy("link").agg(F.count_distinct("page_id").alias("pages")).where("pages > 1")
+
+
+# --- identity and manifests ------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def content_sha256(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", identity.content_sha256(F.col("text")).alias("sha256"))
+
+
+@query("SELECT sha256(text) AS duplicate_group_id, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_groups(spark, sf_dir):
+    return read(spark, sf_dir, "documents").groupBy(identity.duplicate_group_id(F.col("text")).alias("duplicate_group_id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+def _assets(spark, sf_dir):
+    sha = identity.content_sha256(F.col("text"))
+    key = identity.joined(F.col("source"), F.col("lang"), sha)
+    return read(spark, sf_dir, "documents").select("doc_id", sha.alias("sha256"), key.alias("identity"), identity.asset_id(identity.joined(key, F.col("doc_id") % 2)).alias("asset_id"), "source", "n_chars")
+
+
+_ASSETS = "assets AS (SELECT doc_id, sha256(text) AS sha256, concat_ws('|', source, lang, sha256(text)) AS identity, sha256(concat_ws('|', source, lang, sha256(text), doc_id % 2)) AS asset_id, source, n_chars FROM documents)"
+
+
+@query(f"WITH {_ASSETS} SELECT doc_id, identity, asset_id FROM assets")
+def asset_identity(spark, sf_dir):
+    return _assets(spark, sf_dir).select("doc_id", "identity", "asset_id")
+
+
+@query("SELECT page_id, sha256('src|' || " + _CANON + " || '|' || " + _CANON.replace("'/+$'", "'$'") + " || '|' || sha256(html)) AS asset_id FROM pages")
+def asset_id_of_pages(spark, sf_dir):
+    key = identity.asset_key(F.lit("src"), F.col("url"), F.col("url"), identity.content_sha256(F.col("html")))
+    return read(spark, sf_dir, "pages").select("page_id", identity.asset_id(key).alias("asset_id"))
+
+
+@query(f"""WITH {_ASSETS}, prior AS (SELECT * FROM assets WHERE doc_id % 2 = 0),
+    fresh AS (SELECT * FROM assets n WHERE NOT EXISTS (SELECT 1 FROM prior p WHERE p.asset_id = n.asset_id) AND NOT EXISTS (SELECT 1 FROM prior p WHERE p.identity = n.identity)),
+    once AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY doc_id) AS k FROM fresh)
+    SELECT doc_id, asset_id FROM prior UNION ALL SELECT doc_id, asset_id FROM once WHERE k = 1""")
+def manifest_merge_keep_first(spark, sf_dir):
+    rows = _assets(spark, sf_dir)
+    return manifest.merge_keep_first(rows.where("doc_id % 2 = 0"), rows, "asset_id", "identity", ["doc_id"]).select("doc_id", "asset_id")
+
+
+@query("""WITH r AS (SELECT doc_id, source, lang, CASE WHEN n_chars < 600 THEN 'SHORT' ELSE 'LONG' END AS reason FROM documents), prior AS (SELECT * FROM r WHERE doc_id % 4 = 0 AND lang = 'en'),
+    fresh AS (SELECT *, row_number() OVER (PARTITION BY source, lang, reason ORDER BY doc_id) AS k FROM r n WHERE NOT EXISTS (SELECT 1 FROM prior p WHERE p.source = n.source AND p.lang = n.lang AND p.reason = n.reason))
+    SELECT doc_id, source, lang, reason FROM prior UNION ALL SELECT doc_id, source, lang, reason FROM fresh WHERE k = 1""")
+def rejection_dedup(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.when(F.col("n_chars") < 600, "SHORT").otherwise("LONG").alias("reason"))
+    return manifest.merge_rejections(rows.where("doc_id % 4 = 0 AND lang = 'en'"), rows, ["source", "lang", "reason"], ["doc_id"])
+
+
+@query("""SELECT doc_id, CASE WHEN lang = 'de' THEN 'PermissionError: ROBOTS_PRODUCT_BLOCKED' WHEN n_chars < 500 THEN 'RuntimeError: PRODUCT_HTTP_NOT_200'
+    WHEN source = 'src3' THEN 'ValueError: PRODUCT_NOT_HTML' WHEN doc_id % 7 = 0 THEN 'RuntimeError: IMAGE_HTTP_NOT_200' WHEN n_chars > 5000 THEN 'RuntimeError: REJECTED_MAX_BYTES'
+    WHEN doc_id % 5 = 0 THEN 'ValueError: BACKGROUND_COMPLEX' END AS reason FROM documents""")
+def first_failing_reason(spark, sf_dir):
+    c, yes = F.col, F.lit(True)
+    docs = read(spark, sf_dir, "documents").withColumns({
+        "robots_product": c("lang") != "de", "product_status": F.when(c("n_chars") < 500, 404).otherwise(200), "product_type": F.when(c("source") == "src3", "image/png").otherwise("text/html; x"),
+        "metadata_reason": F.lit(None).cast("string"), "robots_image": yes, "image_status": F.when(c("doc_id") % 7 == 0, 500).otherwise(200), "image_body": F.repeat(F.lit("x"), F.when(c("n_chars") > 5000, 2).otherwise(1)),
+        "image_type": F.lit("image/png"), "image_decoded": yes, "background_mode": F.when(c("doc_id") % 5 == 0, "COMPLEX").otherwise("UNIFORM_RGB"),
+    })
+    return docs.select("doc_id", manifest.first_reason(manifest.crawl_rules(1)).alias("reason"))
+
+
+@query("SELECT count(*) FILTER (WHERE n_chars >= 600) AS accepted, count(*) FILTER (WHERE n_chars < 600) AS rejected, count(*) AS attempted FROM documents")
+def crawl_summary(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return manifest.summary(docs.where("n_chars >= 600"), docs.where("n_chars < 600"))
+
+
+@query("""SELECT (SELECT count(*) FROM documents) AS accepted, CAST(0 AS BIGINT) AS rejected, (SELECT count(*) FROM documents) AS attempted, (SELECT count(*) FROM labels) AS files,
+    (SELECT count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS missing, (SELECT count(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id)) AS extra""")
+def reconcile_counts(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("f"), "doc_id").alias("local_path"))
+    return manifest.reconcile(docs, docs.limit(0), read(spark, sf_dir, "labels").select(F.concat(F.lit("f"), "doc_id").alias("path")))
+
+
+# --- rasters, boxes, audit -------------------------------------------------------------------------------
+
+
+def _pixels(spark, sf_dir):
+    return masks.raster(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", SIDE)
+
+
+def _extremes(spark, sf_dir):
+    return masks.extremes(_pixels(spark, sf_dir).where(F.col("value") > F.lit(LEVEL).cast("float")), "vec_id")
+
+
+_PIX = f"""pix AS (SELECT vec_id, (i - 1) // {SIDE} AS y, (i - 1) % {SIDE} AS x, embedding[i] AS value FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS i FROM embeddings)),
+    box AS (SELECT vec_id, CAST(min(x) AS INTEGER) AS x_min, CAST(min(y) AS INTEGER) AS y_min, CAST(max(x) AS INTEGER) AS x_max, CAST(max(y) AS INTEGER) AS y_max, count(*) AS foreground_pixel_count
+        FROM pix WHERE value > CAST({LEVEL} AS FLOAT) GROUP BY vec_id),
+    norm AS (SELECT *, (x_min + x_max + 1) / 2.0::DOUBLE / {SIDE} AS xc, (y_min + y_max + 1) / 2.0::DOUBLE / {SIDE} AS yc, (x_max + 1 - x_min) / {SIDE}::DOUBLE AS w, (y_max + 1 - y_min) / {SIDE}::DOUBLE AS h FROM box),
+    line AS (SELECT *, printf('0 %.6f %.6f %.6f %.6f', xc, yc, w, h) AS label_line FROM norm)"""
+
+
+@query(f"WITH {_PIX} SELECT * FROM box")
+def bbox_extremes(spark, sf_dir):
+    return _extremes(spark, sf_dir)
+
+
+@query(f"WITH {_PIX} SELECT vec_id, label_line FROM line")
+def bbox_yolo_line(spark, sf_dir):
+    sized = _extremes(spark, sf_dir).withColumns({"image_width_px": F.lit(SIDE), "image_height_px": F.lit(SIDE)})
+    return masks.boxed(sized).select("vec_id", "label_line")
+
+
+@query(f"WITH {_PIX} SELECT vec_id, CASE WHEN b.vec_id IS NULL THEN 'rejected' ELSE 'accepted' END AS status FROM embeddings e LEFT JOIN box b USING (vec_id)".replace("b.vec_id IS NULL", "b.x_min IS NULL"))
+def mask_empty_rejected(spark, sf_dir):
+    found = read(spark, sf_dir, "embeddings").select("vec_id").join(_extremes(spark, sf_dir), "vec_id", "left")
+    return found.select("vec_id", F.when(F.col("x_min").isNull(), "rejected").otherwise("accepted").alias("status"))
+
+
+@query(f"""WITH {_PIX} SELECT CAST(e.vec_id AS VARCHAR) AS source_asset_id, CAST(label AS VARCHAR) AS sku_id, CASE WHEN l.x_min IS NULL THEN '' ELSE 'labels/' || e.vec_id || '.txt' END AS label_path,
+    CAST(coalesce(foreground_pixel_count, 0) AS INTEGER) AS foreground_pixel_count, coalesce(x_min, 0) AS x0, coalesce(y_min, 0) AS y0, coalesce(x_max + 1, 0) AS x1, coalesce(y_max + 1, 0) AS y1,
+    coalesce(x_min + (x_max + 1 - x_min) / 2.0::DOUBLE, 0) AS x_center_px, coalesce(CAST(split_part(label_line, ' ', 2) AS DOUBLE), 0) AS x_center, coalesce(CAST(split_part(label_line, ' ', 5) AS DOUBLE), 0) AS height,
+    CASE WHEN l.x_min IS NULL THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN l.x_min IS NULL THEN 'Máscara vacía: no hay píxeles de foreground (rechazo, sin label).' ELSE '' END AS rejection_reason
+    FROM embeddings e LEFT JOIN line l USING (vec_id)""")
+def box_audit(spark, sf_dir):
+    key = F.col("vec_id").cast("string").alias("source_asset_id")
+    rows = read(spark, sf_dir, "embeddings").select(key, F.col("label").cast("string").alias("sku_id"), F.lit("").alias("image_path"), F.lit(SIDE).alias("image_width_px"), F.lit(SIDE).alias("image_height_px"), F.lit("").alias("source_sha256"), F.lit(None).cast("string").alias("reason"))
+    found = _extremes(spark, sf_dir).select(key, "x_min", "y_min", "x_max", "y_max", "foreground_pixel_count", F.lit("alpha").alias("mask_method"))
+    wanted = ["source_asset_id", "sku_id", "label_path", "foreground_pixel_count", "x0", "y0", "x1", "y1", "x_center_px", "x_center", "height", "status", "rejection_reason"]
+    return masks.audit(rows, found, "labels", 127, "pixel-extremes-v1").select(*wanted)
+
+
+_EDGE = "edge AS (SELECT * FROM pix WHERE y = 0 UNION ALL SELECT * FROM pix WHERE y = 7 UNION ALL SELECT * FROM pix WHERE x = 0 UNION ALL SELECT * FROM pix WHERE x = 7), bg AS (SELECT vec_id, median(CAST(value AS DOUBLE)) AS background FROM edge GROUP BY vec_id)"
+
+
+@query(f"WITH {_PIX}, {_EDGE} SELECT vec_id, round(background, 6) AS background FROM bg")
+def border_background(spark, sf_dir):
+    pixels = _pixels(spark, sf_dir).withColumn("value", F.col("value").cast("double"))
+    return masks.background(masks.border(pixels, SIDE, SIDE), "vec_id", ["value"]).select("vec_id", F.round("bg_value", 6).alias("background"))
+
+
+_RGB = f"""{_EDGE}, spread AS (SELECT vec_id, stddev_pop(sqrt(pow(value - background, 2))) AS s FROM edge JOIN bg USING (vec_id) GROUP BY vec_id),
+    far AS (SELECT vec_id, count(*) AS n FROM pix JOIN bg USING (vec_id) WHERE sqrt(pow(value - background, 2)) > 0.15 GROUP BY vec_id)"""
+
+
+@query(f"""WITH {_PIX}, {_RGB} SELECT vec_id, round(s, 6) AS border_std, coalesce(n, 0) AS foreground_pixel_count,
+    CASE WHEN s > 0.08 THEN 'fondo no uniforme' WHEN coalesce(n, 0) < 10 THEN 'foreground insuficiente' END AS rejection_reason FROM spread LEFT JOIN far USING (vec_id)""")
+def border_uniformity(spark, sf_dir):
+    pixels = _pixels(spark, sf_dir).withColumn("value", F.col("value").cast("double"))
+    _, verdict = masks.rgb_mask(pixels, "vec_id", ["value"], SIDE, SIDE, 0.08, 0.15, 10)
+    return verdict.select("vec_id", F.round("border_std", 6).alias("border_std"), "foreground_pixel_count", "rejection_reason")
+
+
+@query("""WITH c AS (SELECT vec_id, embedding[1] AS a, [embedding[1], embedding[8], embedding[57], embedding[64]] AS k, label FROM embeddings)
+    SELECT vec_id, CASE WHEN label = 0 THEN 'TRANSPARENT_ALPHA' WHEN list_max([abs(v::DOUBLE - a::DOUBLE) FOR v IN k]) <= 0.12 THEN 'UNIFORM_RGB' ELSE 'COMPLEX' END AS background_mode FROM c""")
+def background_mode(spark, sf_dir):
+    v = F.col("embedding")
+    corner = F.posexplode(F.array(*[F.get(v, F.lit(k)).cast("double") for k in (0, 7, 56, 63)])).alias("corner", "value")
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") == 0, 0).otherwise(255).alias("low_alpha"), corner)
+    return masks.background_mode(rows, "vec_id", ["value"], 0.12)
+
+
+def _labels(spark, sf_dir):
+    lines = bbox_yolo_line(spark, sf_dir).select(F.col("vec_id").cast("string").alias("source_asset_id"), boxes.parsed_label(F.col("label_line")).alias("b"))
+    return lines.select("source_asset_id", "b.*")
+
+
+@query(f"WITH {_PIX} SELECT count(*) AS labels, count(*) FILTER (WHERE NOT (xc BETWEEN 0 AND 1 AND yc BETWEEN 0 AND 1 AND w > 0 AND w <= 1 AND h > 0 AND h <= 1)) AS invalid_boxes, CAST(0 AS BIGINT) AS not_exactly_one FROM line")
+def yolo_invariants(spark, sf_dir):
+    return quality.label_invariants(_labels(spark, sf_dir))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphans_left(spark, sf_dir):
+    found = quality.orphans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id")
+    return found.where("side = 'image'").select("doc_id")
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def orphans_right(spark, sf_dir):
+    found = quality.orphans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id")
+    return found.where("side = 'label'").select("doc_id")
+
+
+@query(f"""WITH {_PIX} SELECT CAST(0 AS BIGINT) AS rejected_without_reason, (SELECT count(*) FROM embeddings WHERE label = 3 AND vec_id IN (SELECT vec_id FROM box)) AS bad_background, CAST(0 AS BIGINT) AS invalid_boxes,
+    (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM box)) AS orphans, CAST(0 AS BIGINT) AS cross_split, false AS passed""")
+def quality_gate(spark, sf_dir):
+    found = read(spark, sf_dir, "embeddings").join(_extremes(spark, sf_dir).select("vec_id", "x_min"), "vec_id", "left")
+    empty = F.col("x_min").isNull()
+    audit = found.select(F.when(empty, "rejected").otherwise("accepted").alias("status"), F.when(empty, "vacía").otherwise("").alias("rejection_reason"), F.when(F.col("label") == 3, "COMPLEX").otherwise("UNIFORM_RGB").alias("background_mode"))
+    labels = _labels(spark, sf_dir)
+    orphan_rows = quality.orphans(found.select(F.col("vec_id").cast("string").alias("stem")), labels.select(F.col("source_asset_id").alias("stem")))
+    return quality.gate(audit, labels, orphan_rows, orphan_rows.limit(0))
+
+
+# --- groups and splits -----------------------------------------------------------------------------------
+
+
+def _manifest(spark, sf_dir):
+    c = F.col("doc_id")
+    return read(spark, sf_dir, "documents").select(c.alias("row_idx"), F.floor(c / 3).cast("string").alias("sku_id"), c.cast("string").alias("source_asset_id"), identity.duplicate_group_id(F.col("text")).alias("duplicate_group_id"))
+
+
+_COMP = """m AS MATERIALIZED (SELECT doc_id AS row_idx, doc_id // 3 AS sku, sha256(text) AS dup FROM documents),
+    e AS MATERIALIZED (SELECT a.row_idx AS a, min(b.row_idx) AS b FROM m a JOIN m b ON a.sku = b.sku GROUP BY a.row_idx UNION SELECT a.row_idx, min(b.row_idx) FROM m a JOIN m b ON a.dup = b.dup GROUP BY a.row_idx),
+    duo AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach(a, b) AS (SELECT a, b FROM duo UNION SELECT r.a, x.b FROM reach r JOIN duo x ON r.b = x.a),
+    comp AS MATERIALIZED (SELECT a AS row_idx, min(b) AS grp FROM reach GROUP BY a)"""
+
+
+@query(f'WITH RECURSIVE {_COMP} SELECT row_idx, grp AS "group" FROM comp')
+def component_groups(spark, sf_dir):
+    return splits.groups(_manifest(spark, sf_dir))
+
+
+_SPLIT = f"""{_COMP}, sized AS (SELECT grp, count(*) AS n, row_number() OVER (ORDER BY sha256('42|' || grp)) AS k FROM comp GROUP BY grp), total AS (SELECT sum(n)::DOUBLE AS t FROM sized),
+    walk(k, grp, s, a, b, c) AS (
+        SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST('' AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+        UNION ALL SELECT k, grp, s, a + CASE WHEN s = 'train' THEN n ELSE 0 END, b + CASE WHEN s = 'val' THEN n ELSE 0 END, c + CASE WHEN s = 'test' THEN n ELSE 0 END FROM (
+            SELECT z.k, z.grp, z.n, w.a, w.b, w.c, CASE WHEN 0.7::DOUBLE * t - w.a >= 0.15::DOUBLE * t - w.b AND 0.7::DOUBLE * t - w.a >= 0.15::DOUBLE * t - w.c THEN 'train' WHEN 0.15::DOUBLE * t - w.b >= 0.15::DOUBLE * t - w.c THEN 'val' ELSE 'test' END AS s
+            FROM walk w JOIN sized z ON z.k = w.k + 1 CROSS JOIN total)),
+    split AS (SELECT row_idx, s AS split FROM comp JOIN walk USING (grp))"""
+
+
+@query(f"WITH RECURSIVE {_SPLIT} SELECT row_idx, split FROM split")
+def split_assign_hash(spark, sf_dir):
+    return splits.make_splits(_manifest(spark, sf_dir), order="hash").select("row_idx", "split")
+
+
+@query(f"WITH RECURSIVE {_SPLIT} SELECT split, count(*) AS n FROM split GROUP BY split")
+def split_counts(spark, sf_dir):
+    return split_assign_hash(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_SPLIT} SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test,
+    CAST(0 AS BIGINT) AS violations_sku_id, CAST(0 AS BIGINT) AS violations_source_asset_id, CAST(0 AS BIGINT) AS violations_duplicate_group_id, true AS cero_leakage, true AS all_splits_non_empty FROM split""")
+def leakage_report(spark, sf_dir):
+    return splits.leakage_report(splits.make_splits(_manifest(spark, sf_dir), order="hash"))
+
+
+@query()
+def split_assign_compat(spark, sf_dir):
+    """The Mersenne Twister order, which SQL cannot express; tests hold it against a known result."""
+    return splits.make_splits(_manifest(spark, sf_dir), order="mersenne").select("row_idx", "split")
+
+
+_NAIVE = "naive AS (SELECT doc_id, sha256(text) AS dup, source, CASE WHEN doc_id % 20 < 14 THEN 'train' WHEN doc_id % 20 < 17 THEN 'val' ELSE 'test' END AS split FROM documents)"
+
+
+def _naive(spark, sf_dir):
+    k = F.col("doc_id") % 20
+    return read(spark, sf_dir, "documents").select("doc_id", identity.duplicate_group_id(F.col("text")).alias("duplicate_group_id"), "source", F.when(k < 14, "train").when(k < 17, "val").otherwise("test").alias("split"))
+
+
+@query(f"WITH {_NAIVE} SELECT 'duplicate_group_id' AS dimension, dup AS value, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM naive GROUP BY dup HAVING count(DISTINCT split) > 1")
+def leakage_duplicates(spark, sf_dir):
+    return splits.leakage(_naive(spark, sf_dir), ["duplicate_group_id"]).withColumn("splits", F.array_join("splits", ","))
+
+
+@query(f"WITH {_NAIVE} SELECT 'source' AS dimension, source AS value, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM naive GROUP BY source HAVING count(DISTINCT split) > 1")
+def leakage_sources(spark, sf_dir):
+    return splits.leakage(_naive(spark, sf_dir), ["source"]).withColumn("splits", F.array_join("splits", ","))
+
+
+# --- detections ------------------------------------------------------------------------------------------
+
+
+def _detections(spark, sf_dir):
+    """(ground truth: the first line of each order; predictions: all its lines, moved and scaled by tax and discount)."""
+    c = F.col
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
+    lines = read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("image"), number.alias("pred_idx"), "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    first = lines.where("pred_idx = 1")
+    gt = first.select("image", F.lit(0).alias("gt_idx"), F.lit(0).alias("cls"), (0.3 + 0.4 * c("l_quantity") / 50).alias("cx"), (0.2 + c("l_discount")).alias("w"))
+    base = gt.select("image", "cx", "w")
+    pred = lines.join(base, "image").select("image", "pred_idx", F.lit(0).alias("cls"), (c("l_quantity") / 50).alias("conf"), "l_returnflag", (c("cx") + c("l_tax") - 0.04).alias("cx"), (0.5 + (c("l_discount") - 0.05) * 2).alias("cy"), (c("w") * (1 + c("l_tax"))).alias("w"))
+    corner = lambda cy: boxes.corners(c("cx"), cy, c("w"), F.lit(0.3), F.lit(100), F.lit(100))
+    gt = gt.select("image", "gt_idx", "cls", *[x.alias(n) for x, n in zip(corner(F.lit(0.5)), evaluation.GT)])
+    pred = pred.select("image", "pred_idx", "cls", "conf", "l_returnflag", *[x.alias(n) for x, n in zip(corner(c("cy")), evaluation.PRED)])
+    return gt, pred
+
+
+_DET = """lines AS (SELECT l_orderkey AS image, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INTEGER) AS pred_idx, l_quantity, l_discount, l_tax, l_returnflag FROM lineitem),
+    first AS (SELECT * FROM lines WHERE pred_idx = 1),
+    base AS (SELECT image, 0.3::DOUBLE + 0.4::DOUBLE * l_quantity / 50 AS cx, 0.2::DOUBLE + l_discount AS w FROM first),
+    gt AS (SELECT image, 0 AS gt_idx, (cx - w / 2) * 100 AS g0, (0.5::DOUBLE - 0.3::DOUBLE / 2) * 100 AS g1, (cx + w / 2) * 100 AS g2, (0.5::DOUBLE + 0.3::DOUBLE / 2) * 100 AS g3 FROM base),
+    moved AS (SELECT l.image, pred_idx, l_quantity / 50 AS conf, l_returnflag, b.cx + l_tax - 0.04::DOUBLE AS cx, 0.5::DOUBLE + (l_discount - 0.05::DOUBLE) * 2 AS cy, b.w * (1 + l_tax) AS w FROM lines l JOIN base b USING (image)),
+    pred AS (SELECT image, pred_idx, conf, l_returnflag, (cx - w / 2) * 100 AS p0, (cy - 0.3::DOUBLE / 2) * 100 AS p1, (cx + w / 2) * 100 AS p2, (cy + 0.3::DOUBLE / 2) * 100 AS p3 FROM moved),
+    wide AS (SELECT *, greatest(0, least(g2, p2) - greatest(g0, p0)) * greatest(0, least(g3, p3) - greatest(g1, p1)) AS i, (g2 - g0) * (g3 - g1) + (p2 - p0) * (p3 - p1) AS s FROM gt JOIN pred USING (image)),
+    pairs AS (SELECT image, gt_idx, pred_idx, conf, l_returnflag, CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END AS iou FROM wide),
+    hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, gt_idx ORDER BY iou DESC, pred_idx) AS k FROM pairs WHERE iou > 0) WHERE k = 1 AND iou >= 0.5),
+    examples AS (SELECT CAST(image AS VARCHAR) AS source_asset_id, 'correcto' AS categoria, conf AS confianza, round_even(iou, 4) AS iou FROM hit
+        UNION ALL SELECT CAST(image AS VARCHAR), 'omision', NULL, 0 FROM gt WHERE image NOT IN (SELECT image FROM hit)
+        UNION ALL SELECT CAST(p.image AS VARCHAR), 'falso_positivo', p.conf, 0 FROM pred p LEFT JOIN hit h ON h.image = p.image AND h.pred_idx = p.pred_idx WHERE h.image IS NULL)"""
+_PRF = "coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall"
+_COUNTS = "CAST(count(*) FILTER (WHERE categoria = 'correcto') AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE categoria = 'falso_positivo') AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE categoria = 'omision') AS BIGINT) AS fn"
+
+
+@query(f"WITH {_DET} SELECT image, round(g0, 6) AS x0, round(g1, 6) AS y0, round(g2, 6) AS x1, round(g3, 6) AS y1 FROM gt")
+def yolo_to_xyxy(spark, sf_dir):
+    gt, _ = _detections(spark, sf_dir)
+    return gt.select("image", *[F.round(c, 6).alias(n) for c, n in zip(evaluation.GT, ("x0", "y0", "x1", "y1"))])
+
+
+@query(f"WITH {_DET} SELECT image, pred_idx, round(iou, 6) AS iou FROM pairs")
+def iou_pairs(spark, sf_dir):
+    return evaluation.overlaps(*_detections(spark, sf_dir)).select("image", "pred_idx", F.round("iou", 6).alias("iou"))
+
+
+@query(f"WITH {_DET} SELECT image, pred_idx, round(iou, 6) AS iou FROM hit")
+def match_single_gt(spark, sf_dir):
+    return evaluation.match_single(*_detections(spark, sf_dir)).select("image", "pred_idx", F.round("iou", 6).alias("iou"))
+
+
+@query(f"WITH {_DET} SELECT image, pred_idx, round(iou, 6) AS iou FROM hit")
+def match_greedy(spark, sf_dir):
+    return evaluation.match_greedy(*_detections(spark, sf_dir)).select("image", "pred_idx", F.round("iou", 6).alias("iou"))
+
+
+def _examples(spark, sf_dir):
+    gt, pred = _detections(spark, sf_dir)
+    return evaluation.examples(gt, pred, evaluation.match_single(gt, pred)).drop("hipotesis")
+
+
+@query(f"WITH {_DET} SELECT categoria, count(*) AS n FROM examples GROUP BY categoria")
+def error_categories(spark, sf_dir):
+    return _examples(spark, sf_dir).groupBy("categoria").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_DET}, k AS (SELECT {_COUNTS} FROM examples), pr AS (SELECT *, {_PRF} FROM k) SELECT tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1 FROM pr")
+def prf1(spark, sf_dir):
+    out = evaluation.precision_recall(_examples(spark, sf_dir))
+    return out.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"WITH {_DET}, g AS (SELECT *, CAST(source_asset_id AS BIGINT) % 5 AS grp FROM examples), k AS (SELECT grp, {_COUNTS} FROM g GROUP BY grp), pr AS (SELECT *, {_PRF} FROM k) SELECT grp, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1 FROM pr")
+def prf1_by_group(spark, sf_dir):
+    out = evaluation.precision_recall(_examples(spark, sf_dir).withColumn("grp", F.col("source_asset_id").cast("bigint") % 5), ["grp"])
+    return out.select("grp", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+_CURVE = f"""{_DET}, thr AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS threshold),
+    fp1 AS (SELECT threshold, image, pred_idx FROM (SELECT *, row_number() OVER (PARTITION BY threshold, image ORDER BY conf DESC, pred_idx) AS k FROM pairs, thr WHERE iou >= threshold) WHERE k = 1),
+    sc AS (SELECT t.threshold, p.conf, CASE WHEN f.image IS NULL THEN 0 ELSE 1 END AS tp FROM pred p CROSS JOIN thr t LEFT JOIN fp1 f ON f.threshold = t.threshold AND f.image = p.image AND f.pred_idx = p.pred_idx),
+    pt AS (SELECT threshold, conf, sum(tp) AS tp, count(*) AS n FROM sc GROUP BY threshold, conf),
+    run AS (SELECT threshold, conf, sum(tp) OVER w AS rtp, sum(n) OVER w AS rn FROM pt WINDOW w AS (PARTITION BY threshold ORDER BY conf DESC)),
+    pr AS (SELECT threshold, conf, rtp / (SELECT count(*) FROM gt)::DOUBLE AS recall, rtp / rn::DOUBLE AS precision FROM run),
+    env AS (SELECT *, max(precision) OVER (PARTITION BY threshold ORDER BY conf) AS envelope FROM pr),
+    st AS (SELECT threshold, recall, max(envelope) AS high FROM env GROUP BY threshold, recall),
+    ap AS (SELECT threshold, sum((recall - prev) * high) AS ap FROM (SELECT *, coalesce(lag(recall) OVER (PARTITION BY threshold ORDER BY recall), 0) AS prev FROM st) GROUP BY threshold)"""
+
+
+def _aps(spark, sf_dir, method):
+    gt, pred = _detections(spark, sf_dir)
+    scored = evaluation.true_positives(evaluation.overlaps(gt, pred), pred, [round(0.5 + 0.05 * k, 2) for k in range(10)])
+    return evaluation.average_precision(evaluation.curve(scored, gt.count()), method)
+
+
+@query(f"WITH {_CURVE} SELECT threshold, round(recall, 6) AS recall, round(precision, 6) AS precision, round(envelope, 6) AS envelope FROM env")
+def precision_recall_curve(spark, sf_dir):
+    gt, pred = _detections(spark, sf_dir)
+    scored = evaluation.true_positives(evaluation.overlaps(gt, pred), pred, [round(0.5 + 0.05 * k, 2) for k in range(10)])
+    return evaluation.curve(scored, gt.count()).select("threshold", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "envelope")])
+
+
+@query(f"WITH {_CURVE} SELECT threshold, round(ap, 6) AS ap FROM ap")
+def ap_at_iou(spark, sf_dir):
+    return _aps(spark, sf_dir, "exact").select("threshold", F.round("ap", 6).alias("ap"))
+
+
+@query(f"WITH {_CURVE} SELECT round(max(ap) FILTER (WHERE threshold = 0.5), 6) AS map50, round(max(ap) FILTER (WHERE threshold = 0.75), 6) AS map75, round(avg(ap), 6) AS map50_95 FROM ap")
+def map_50_95(spark, sf_dir):
+    out = evaluation.mean_average_precision(_aps(spark, sf_dir, "exact"))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("map50", "map75", "map50_95")])
+
+
+@query(f"""WITH {_CURVE}, grid AS (SELECT unnest(generate_series(0, 100)) AS k) SELECT threshold, round(sum(v) / 101, 6) AS ap FROM (
+    SELECT t.threshold, g.k, coalesce(max(s.high), 0) AS v FROM thr t CROSS JOIN grid g LEFT JOIN st s ON s.threshold = t.threshold AND s.recall * 100 >= g.k - 1e-9 GROUP BY t.threshold, g.k) GROUP BY threshold""")
+def ap_coco101(spark, sf_dir):
+    return _aps(spark, sf_dir, "coco101").select("threshold", F.round("ap", 6).alias("ap"))
+
+
+@query()
+def ap_trapz101(spark, sf_dir):
+    """The published interpolation; a test holds it against numpy."""
+    return _aps(spark, sf_dir, "trapz101")
+
+
+def _twentieths(df: DataFrame) -> DataFrame:
+    """Overlaps in whole twentieths: engines round decimal ties of doubles differently."""
+    return df.select("source_asset_id", "categoria", "confianza", F.floor(F.col("iou") * 20 + F.lit(1e-6)).alias("iou_twentieths"))
+
+
+@query(f"WITH {_DET} SELECT source_asset_id, categoria, confianza, CAST(floor(iou * 20 + 1e-6) AS BIGINT) AS iou_twentieths FROM examples WHERE categoria = 'correcto' ORDER BY confianza DESC, source_asset_id, iou LIMIT 15")
+def examples_top_correct(spark, sf_dir):
+    return _twentieths(evaluation.select_examples(_examples(spark, sf_dir))[0])
+
+
+@query(f"WITH {_DET} SELECT source_asset_id, categoria, confianza, CAST(floor(iou * 20 + 1e-6) AS BIGINT) AS iou_twentieths FROM examples WHERE categoria <> 'correcto' ORDER BY source_asset_id, categoria, confianza LIMIT 15")
+def examples_top_errors(spark, sf_dir):
+    return _twentieths(evaluation.select_examples(_examples(spark, sf_dir))[1])
+
+
+@query(f"WITH {_DET} SELECT source_asset_id, categoria, confianza, CAST(floor(iou * 20 + 1e-6) AS BIGINT) AS iou_twentieths FROM examples WHERE categoria = 'correcto' ORDER BY iou, source_asset_id, confianza LIMIT 15")
+def hardest_correct(spark, sf_dir):
+    return _twentieths(evaluation.hardest(_examples(spark, sf_dir)))
+
+
+@query(f"WITH {_DET} SELECT source_asset_id, categoria, confianza, CAST(floor(iou * 20 + 1e-6) AS BIGINT) AS iou_twentieths FROM examples")
+def union_examples(spark, sf_dir):
+    return _twentieths(_examples(spark, sf_dir))
+
+
+@query("SELECT vec_id, CASE label WHEN 0 THEN 'product' WHEN 1 THEN 'box' ELSE CAST(label AS VARCHAR) END AS name FROM embeddings")
+def class_names(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", boxes.class_name(["product", "box"], F.col("label")).alias("name"))
+
+
+# --- counts, sets, time ----------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def except_stems(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id").subtract(read(spark, sf_dir, "labels").select("doc_id"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def value_counts(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT round(coalesce(avg(value), 0), 6) AS mean_ms, count(*) AS n FROM events")
+def mean_latency(spark, sf_dir):
+    return read(spark, sf_dir, "events").agg(F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 6).alias("mean_ms"), F.count("*").alias("n"))
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_events(spark, sf_dir):
+    return tumbling_counts(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT url FROM pages ORDER BY url, page_id LIMIT 20")
+def sorted_prefix(spark, sf_dir):
+    return read(spark, sf_dir, "pages").orderBy("url", "page_id").limit(20).select("url")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy(F.sha2("text", 256).alias("sha256")).count()
+    """Content identity, connected groups, split, leakage report: the whole chain."""
+    return splits.leakage_report(splits.make_splits(_manifest(spark, sf_dir), order="hash"))
+
+
+__all__ = ["ORACLES", "QUERIES", "components", "flagship"]
