@@ -37,7 +37,9 @@ def test_rejections_reasons_reconcile(spark):
         manifest.check_reconciled(manifest.reconcile(rows, rows, files.limit(1)))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 1_000_000])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr("tarnwork.operators.graph.LOCAL_EDGES", local)
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(5, 5), (100, 101), (101, 102), (102, 103)]
     parent = {x: x for e in edges for x in e}
