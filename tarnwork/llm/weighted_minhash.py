@@ -273,8 +273,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
             first = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(F.col("part") == 0, F.sequence(F.lit(1), F.col("parts") - 1)).otherwise(F.array("part"))
             blocks = dealt.withColumn("block", F.explode(first)).join(sets, "id").select("band", "sample", "block", "id", "root", "shingles")
             new = staged(blocks.groupBy("band", "sample", "block").applyInArrow(compare, f"a {kind}, b {kind}"), "links")
-            edges = edges.unionByName(new)
-            roots = staged(components(edges), "roots")
+            if not new.isEmpty():
+                edges = edges.unionByName(new)
+                roots = staged(components(edges), "roots")
             left = dealt.where("parts > 1 AND part > 0").select("id", "band", "sample")
     joined = signed.select("id", "k0", "k1").join(reps.select("k0", "k1", "rep"), ["k0", "k1"])
     final = joined.join(roots.select(F.col("id").alias("rep"), "component"), "rep", "left")
