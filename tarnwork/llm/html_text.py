@@ -152,7 +152,13 @@ def unique_runs(pages: list[list[str]], min_words: int, min_pages: int) -> list[
         group = np.cumsum(shared < min_words) - 1
         pair = np.unique(np.stack([group, same[owner[at]]]), axis=1)
         many = np.bincount(pair[0], minlength=int(group[-1]) + 1) >= min_pages
-        gone[spread(order[at][many[group]], np.full(int(many[group].sum()), min_words))] = True
+        start = order[at][many[group]]
+        # what reaches into a next block counts for whole blocks only: an article's ends are not a footer's
+        edge = (text <= 1) | (text == names["\n"])
+        before = np.maximum.accumulate(np.where(edge, np.arange(len(text)), 0))
+        last, across = before[start + min_words], before[start + min_words - 1] > start
+        fine = ~across | edge[start]
+        gone[spread(start[fine], np.where(across, last - start, min_words)[fine])] = True
     out, place = [], 0
     for page in words:
         kept = []
