@@ -1,10 +1,11 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the signs of a vector, cut into segments of ``segment_bits``. Round s looks up, for every
-still open query code, all values of each segment that differ from its own in exactly s bits. After
-round s every code at a distance below segments * (s + 1) has been met, so a query is finished when
-its k-th best distance is below that; the rest go on with s + 1. A pair is kept only at the first
-segment with its least segment distance, so it appears once in all rounds.
+A code is the signs of a vector, cut into segments of ``segment_bits``. Radius s looks up, for every
+still open query code, all values of a segment that differ from its own in exactly s bits. With all
+segments searched to s - 1 and j of them to s, every code at a distance below segments * s + j has been
+met, so a query is finished when its k-th best distance is below that; the rest go on with the next
+segment or radius. A pair is kept only at the first segment with its least segment distance, so it
+appears once in all rounds, and only if it is no farther than the k-th best so far.
 
 Rows with equal codes are met as one: of each code the k + 1 smallest ids are kept, which is exact since
 ties go to the smaller id and a query leaves out only itself. Query rows with equal codes are searched
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from tarnwork.llm.common import literal, staged
 
 
+#: Radii below this take all segments in one round: their lookups are few.
+WHOLE_ROUNDS = 3
+
+
 def codes(vectors: DataFrame, bits: int, segment_bits: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id and code (array<int>, one number for each segment) of every row with a vector."""
     v = F.col(vector_col)
@@ -45,21 +50,27 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int =
     segments = len((distinct.select("code").first() or [[]])[0])
     index = distinct.select(F.posexplode("code").alias("segment", "value"), F.col("code").alias("near"), "ids")
     queries = staged(queries, "queries")
-    still = queries.select("code").distinct()
+    still = queries.select("code").distinct().withColumn("far", F.lit(bits_in_all := segments * segment_bits))
     kind = rows.schema["id"].dataType.simpleString()
     best = rows.sparkSession.createDataFrame([], f"code array<int>, id {kind}, distance int")
     order = Window.partitionBy("code").orderBy("distance", "id")
-    for s in range(segment_bits + 1 if segments else 0):
-        masks = literal(_masks(segment_bits, s))
-        probes = still.select("code", F.posexplode("code").alias("segment", "own")).select("code", "segment", "own", F.explode(masks).alias("mask"))
-        probes = probes.select("code", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["segment", "value"]).withColumn("apart", _segment_distances("code", "near"))
+    steps = [(s, j) for s in range(segment_bits + 1) for j in (range(segments) if s >= WHOLE_ROUNDS else [None])]
+    for s, only in steps if segments else []:
+        probes = still.select("code", "far", F.posexplode("code").alias("segment", "own"))
+        probes = probes if only is None else probes.where(F.col("segment") == only)
+        probes = probes.select("code", "far", "segment", "own", F.explode(literal(_masks(segment_bits, s))).alias("mask"))
+        probes = probes.select("code", "far", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        # merged: the probes are many more than the size of their source tells the planner
+        met = probes.join(index.hint("merge"), ["segment", "value"]).withColumn("apart", _segment_distances("code", "near"))
+        met = met.withColumn("distance", F.aggregate("apart", F.lit(0), lambda a, x: a + x)).where(F.col("distance") <= F.col("far"))
         met = met.where((F.array_min("apart") == s) & (F.array_position("apart", F.lit(s)) == F.col("segment") + 1))
-        found = met.select("code", F.explode("ids").alias("id"), F.aggregate("apart", F.lit(0), lambda a, x: a + x).alias("distance"))
+        found = met.select("code", F.explode("ids").alias("id"), "distance")
         best = staged(best.unionByName(found).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth"), "best")
-        last = best.groupBy("code").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        done = last.where((F.col("n") == k + 1) & (F.col("far") < segments * (s + 1))).select("code")
-        still = staged(still.join(done, "code", "left_anti"), "still")
+        last = best.groupBy("code").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
+        # nothing nearer than this is unseen: each segment passed at s adds one, each at s - 1 had added its own
+        covered = segments * s + (segments if only is None else only + 1)
+        still = still.select("code").join(last, "code", "left").withColumn("far", F.when(F.col("n") == k + 1, F.col("last")).otherwise(bits_in_all))
+        still = staged(still.where(F.coalesce(F.col("n") < k + 1, F.lit(True)) | (F.col("far") >= covered)).select("code", "far"), "still")
         if still.isEmpty():
             break
     pairs = queries.select(F.col("id").alias("query_id"), "code").join(best, "code").where(F.col("id") != F.col("query_id"))
