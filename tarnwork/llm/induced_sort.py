@@ -16,7 +16,6 @@ import tempfile
 
 import numpy as np
 
-END = (1 << 20) - 1  # after every symbol
 LIMIT = 255  # common prefixes are counted up to here
 
 
@@ -128,18 +127,20 @@ def _sorted_lms(text: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
         return lms
     ends = np.append(lms[1:], len(text) - 1) + 1
     size = ends - lms
-    longest = 24  # longer substrings are told apart by doubling over pieces of this size
+    bits = 9 if text.max() < 511 else 20  # of a symbol; all ones come after every symbol
+    each = 63 // bits
+    longest = 2 * each if bits == 9 else 4 * each  # longer substrings are told apart by doubling over pieces of this size
     pieces = -(-size // longest)
     first = np.cumsum(pieces) - pieces
     start = np.repeat(lms, pieces) + longest * (np.arange(int(pieces.sum())) - np.repeat(first, pieces))
     stop = np.minimum(start + longest, np.repeat(ends, pieces))
-    # name: the symbols of a piece as three numbers, an end of piece ordered after every symbol (S before L at equal heads)
+    # name: a piece's symbols packed into numbers, its end ordered after every symbol (S before L at equal heads)
     columns = []
-    for k in range(0, longest, 3):
+    for k in range(0, longest, each):
         value = np.zeros(len(start), np.int64)
-        for j in range(k, k + 3):
+        for j in range(k, k + each):
             inside = start + j < stop
-            value = (value << 20) | np.where(inside, text[np.minimum(start + j, len(text) - 1)], END)
+            value = (value << bits) | np.where(inside, text[np.minimum(start + j, len(text) - 1)], (1 << bits) - 1)
         columns.append(value)
     rank = _ranks(columns)
     step, covered = 1, 2

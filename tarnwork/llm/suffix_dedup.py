@@ -5,7 +5,7 @@ the same text). The work is dealt so that equal strings always meet, and only wh
 
 1. Every ``width``-byte window has an anchor: of its ``GRAM``-byte grams the one of the least hash
    (leftmost). Equal windows have equal anchors at equal places. Neighbouring windows with one anchor form
-   a segment (about 43 windows). Each task finds equal segments among its own rows; of those only the
+   a segment (about 35 windows). Each task finds equal segments among its own rows; of those only the
    first goes on, the others are covered for certain. So no segment sends more than one row a task.
 2. Segments meet by anchor. Equal segments: all but the first are covered. Anchors with one
    segment are done. Where an anchor has different segments, windows may repeat within them: the first
@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from tarnwork.llm.common import _words, piece_hashes, ragged, slices, small_batches, spread, staged
 from tarnwork.llm.induced_sort import suffix_order
 
-GRAM = 16
+#: Bytes of an anchor, a multiple of 8; short ones repeat by chance and so send unlike segments to be sorted.
+GRAM = 32
 #: Bytes of segments that a shard holds on average.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 _LOW = np.uint64((1 << 31) - 1)
 
 
@@ -46,8 +47,11 @@ def segments(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
     words = _words(data)
     n = len(data)
-    h = (words[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ (words[np.minimum(np.arange(n) + 8, n)] * np.uint64(0xC2B2AE3D27D4EB4F))
-    h ^= h >> np.uint64(32)
+    h = np.zeros(n, np.uint64)
+    for k in range(0, GRAM, 8):
+        h[: max(n - k, 0)] ^= words[k:n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     least = (h & ~_LOW) | np.arange(n, dtype=np.uint64)  # a tie goes to the leftmost
