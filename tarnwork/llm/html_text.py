@@ -4,9 +4,11 @@ A page's token stream (text and tags) is read once. Blocks inside an article (or
 an element that names itself so) are the page's text, but for what is marked as menu, header, footer,
 sidebar, notice, advert, form, script, style or reader comment. Articles that other pages repeat stay:
 a suffix array over whole pages would remove them, so it decides only where nothing marks an article.
-The open blocks of such pages are gathered by host (large hosts in shards of ``SHARD_PAGES``
-pages), concatenated and put into suffix order; strings of at least ``min_words`` words on at least
-``min_pages`` different pages of the shard are boilerplate, what they cover goes, unique runs stay.
+The open blocks of such pages are gathered by host, concatenated and put into suffix order; strings of
+at least ``min_words`` words on at least ``min_pages`` different pages of the host are boilerplate, what
+they cover goes, unique runs stay. Hosts of more than ``SHARD_PAGES`` pages are put into suffix order in
+shards; their strings then meet by two 64-bit hashes, pages are counted over the whole host, and the
+boilerplate goes back to the shards that hold it. So the size of a shard decides nothing.
 
 Null or empty html gives an empty text; null urls form one host; repeated rows each give a row;
 extra columns are ignored; an empty table gives no rows. Nothing is dropped for its length.
@@ -14,6 +16,7 @@ extra columns are ignored; an empty table gives no rows. Nothing is dropped for
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -127,38 +130,41 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
     return [t for x, t in found if x == best], best > 0
 
 
-def unique_runs(pages: list[list[str]], min_words: int, min_pages: int) -> list[list[str]]:
-    """Blocks of each page without the strings of ``min_words`` words that ``min_pages`` different pages hold."""
+def _tokens(pages: list[list[str]]) -> tuple[list[list[list[str]]], np.ndarray, np.ndarray, dict[str, int]]:
+    """(words of each block of each page; all as numbers, 1 after each page and 0 at the end; the pages' ends; each word's number)."""
     words = [[["\n", *b.split(" ")] for b in page] for page in pages]
     flat = [w for page in words for b in page for w in b]
-    if not flat:
-        return pages
     sizes = np.array([sum(len(b) for b in page) for page in words])
     names = {w: i + 2 for i, w in enumerate(sorted(set(flat)))}
     ends = np.cumsum(sizes + 1)
     text = np.ones(int(ends[-1]) + 1, np.int32)
     text[spread(ends - sizes - 1, sizes)] = [names[w] for w in flat]
     text[-1] = 0
-    contents = {}
-    same = np.array([contents.setdefault(tuple(page), i) for i, page in enumerate(pages)])  # copies count once
+    return words, text, ends, names
+
+
+def _strings(text: np.ndarray, ends: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, page, number of its string) of every ``min_words`` words within a page, by suffix order."""
     order, prefix = suffix_order(text, min_words)
-    owner = np.minimum(np.searchsorted(ends, order, "right"), len(pages) - 1)
+    owner = np.minimum(np.searchsorted(ends, order, "right"), len(ends) - 1)
     fits = (order + min_words < ends[owner]) & (order < ends[-1])
     at = np.flatnonzero(fits)
+    if not len(at):
+        return at, at, at
+    shared = np.minimum.reduceat(prefix, np.append(0, at[:-1] + 1))
+    shared[0] = 0
+    return order[at], owner[at], np.cumsum(shared < min_words) - 1
+
+
+def _left(words: list[list[list[str]]], text: np.ndarray, names: dict[str, int], start: np.ndarray, min_words: int) -> list[list[str]]:
+    """Blocks of each page without the ``min_words`` words from each ``start`` on."""
     gone = np.zeros(len(text), bool)
-    if len(at):
-        shared = np.minimum.reduceat(prefix, np.append(0, at[:-1] + 1))
-        shared[0] = 0
-        group = np.cumsum(shared < min_words) - 1
-        pair = np.unique(np.stack([group, same[owner[at]]]), axis=1)
-        many = np.bincount(pair[0], minlength=int(group[-1]) + 1) >= min_pages
-        start = order[at][many[group]]
-        # what reaches into a next block counts for whole blocks only: an article's ends are not a footer's
-        edge = (text <= 1) | (text == names["\n"])
-        before = np.maximum.accumulate(np.where(edge, np.arange(len(text)), 0))
-        last, across = before[start + min_words], before[start + min_words - 1] > start
-        fine = ~across | edge[start]
-        gone[spread(start[fine], np.where(across, last - start, min_words)[fine])] = True
+    # what reaches into a next block counts for whole blocks only: an article's ends are not a footer's
+    edge = (text <= 1) | (text == names.get("\n", 0))
+    before = np.maximum.accumulate(np.where(edge, np.arange(len(text)), 0))
+    last, across = before[start + min_words], before[start + min_words - 1] > start
+    fine = ~across | edge[start]
+    gone[spread(start[fine], np.where(across, last - start, min_words)[fine])] = True
     out, place = [], 0
     for page in words:
         kept = []
@@ -172,6 +178,61 @@ def unique_runs(pages: list[list[str]], min_words: int, min_pages: int) -> list[
     return out
 
 
+def _pages_of(owner: np.ndarray, number: np.ndarray, pages: list[list[str]]) -> np.ndarray:
+    """The different (string, page) pairs in order; copies of a page count as the first of them."""
+    contents: dict[tuple[str, ...], int] = {}
+    same = np.array([contents.setdefault(tuple(page), i) for i, page in enumerate(pages)])
+    return np.unique(np.stack([number, same[owner]]), axis=1)
+
+
+def unique_runs(pages: list[list[str]], min_words: int, min_pages: int) -> list[list[str]]:
+    """Blocks of each page without the strings of ``min_words`` words that ``min_pages`` different pages hold."""
+    if not any(pages):
+        return pages
+    words, text, ends, names = _tokens(pages)
+    start, owner, number = _strings(text, ends, min_words)
+    many = np.bincount(_pages_of(owner, number, pages)[0]) >= min_pages
+    return _left(words, text, names, start[many[number]], min_words)
+
+
+def _hashes(text: np.ndarray, names: dict[str, int], start: np.ndarray, min_words: int) -> np.ndarray:
+    """Two 64-bit hashes of the ``min_words`` words from each ``start`` on, the same in every shard."""
+    raw = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in names)
+    of = np.concatenate([np.zeros((2, 2), np.uint64), np.frombuffer(raw, "<u8").reshape(-1, 2)])
+    h = np.zeros((len(start), 2), np.uint64)
+    for k in range(min_words):
+        h = (h ^ of[text[start + k]]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def shard_strings(pages: list[list[str]], min_words: int, min_pages: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, page hash) of each string of ``min_words`` words and each of its first ``min_pages`` different pages."""
+    if not any(pages):
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+    _, text, ends, names = _tokens(pages)
+    start, owner, number = _strings(text, ends, min_words)
+    number_, page = _pages_of(owner, number, pages)
+    first = np.searchsorted(number_, number_, "left")
+    few = np.arange(len(number_)) - first < min_pages
+    one = start[np.unique(number, return_index=True)[1]]
+    raw = b"".join(hashlib.blake2b("\n".join(p).encode("utf-8", "surrogatepass"), digest_size=8).digest() for p in pages)
+    return _hashes(text, names, one, min_words)[number_[few]], np.frombuffer(raw, "<i8")[page[few]]
+
+
+def without(pages: list[list[str]], strings: np.ndarray, min_words: int) -> list[list[str]]:
+    """Blocks of each page without the strings of these hashes."""
+    if not any(pages) or not len(strings):
+        return pages
+    words, text, ends, names = _tokens(pages)
+    start = np.arange(int(ends[-1]))
+    start = start[start + min_words < ends[np.searchsorted(ends, start, "right")]]
+    _, number = np.unique(np.concatenate([strings, _hashes(text, names, start, min_words)]), axis=0, return_inverse=True)
+    known = np.zeros(int(number.max()) + 1, bool)
+    known[number[: len(strings)]] = True
+    return _left(words, text, names, start[known[number[len(strings) :]]], min_words)
+
+
 def extract(pages: DataFrame, min_words: int = 6, min_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text (blocks joined by newlines), n_chars."""
     small_batches(pages.sparkSession)
@@ -186,14 +247,34 @@ def extract(pages: DataFrame, min_words: int = 6, min_pages: int = 3, id_col: st
 
     parsed = staged(source.mapInArrow(read, f"id {kind}, url string, blocks array<string>, closed boolean"), "pages")
     open_ = parsed.where("NOT closed").withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1)))
-    sizes = open_.groupBy("host").agg(F.ceil(F.count("*") / SHARD_PAGES).cast("int").alias("shards"))
-    open_ = open_.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")))
+    # at most one host in SHARD_PAGES rows is large
+    large = open_.groupBy("host").agg(F.ceil(F.count("*") / SHARD_PAGES).cast("int").alias("shards")).where(F.col("shards") > 1)
+    open_ = open_.join(F.broadcast(large), "host", "left").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")))
+    open_ = open_.select("host", "shard", "id", "url", "blocks")
 
-    def clean(group: pa.Table) -> pa.Table:
-        blocks = unique_runs(group.column("blocks").to_pylist(), min_words, min_pages)
+    def cleaned(group: pa.Table, blocks: list[list[str]]) -> pa.Table:
         return pa.table({"id": group.column("id"), "url": group.column("url"), "blocks": pa.array(blocks, pa.list_(pa.string()))})
 
-    cleaned = open_.select("host", "shard", "id", "url", "blocks").groupBy("host", "shard").applyInArrow(clean, f"id {kind}, url string, blocks array<string>")
-    done = parsed.where("closed").select("id", "url", "blocks").unionByName(cleaned)
+    def whole(group: pa.Table) -> pa.Table:
+        return cleaned(group, unique_runs(group.column("blocks").to_pylist(), min_words, min_pages))
+
+    def strings(group: pa.Table) -> pa.Table:
+        found, page = shard_strings(group.column("blocks").to_pylist(), min_words, min_pages)
+        keys = {c: pa.repeat(group.column(c)[0], len(page)) for c in ("host", "shard")}
+        return pa.table(keys | {"a": found[:, 0].copy(), "b": found[:, 1].copy(), "page": page})
+
+    def apart(group: pa.Table, gone: pa.Table) -> pa.Table:
+        found = np.stack([gone.column(c).to_numpy() for c in ("a", "b")], axis=1)
+        return cleaned(group, without(group.column("blocks").to_pylist(), found, min_words))
+
+    kept = f"id {kind}, url string, blocks array<string>"
+    small, shards = open_.where("shard IS NULL"), open_.where("shard IS NOT NULL")
+    met = shards.groupBy("host", "shard").applyInArrow(strings, "host string, shard bigint, a bigint, b bigint, page bigint")
+    met = met.groupBy("host", "a", "b").agg(F.size(F.collect_set("page")).alias("n"), F.collect_set("shard").alias("shards")).where(F.col("n") >= min_pages)
+    boilerplate = met.select("host", F.explode("shards").alias("shard"), "a", "b")
+    keys = ["host", "shard"]
+    dealt = shards.groupBy(*keys).cogroup(boilerplate.groupBy(*keys)).applyInArrow(apart, kept)
+    cleaned_ = small.groupBy("host").applyInArrow(whole, kept).unionByName(dealt)
+    done = parsed.where("closed").select("id", "url", "blocks").unionByName(cleaned_)
     text = F.array_join("blocks", "\n")
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))

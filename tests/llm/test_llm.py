@@ -338,6 +338,21 @@ def test_host_boilerplate(spark):
     assert {r["text"] for r in got.values()} == {f"own{k} text{k} stays{k} here" for k in range(8)}
 
 
+@pytest.mark.parametrize("shard_pages", [2000, 5])
+def test_host_boilerplate_over_shards(spark, monkeypatch, shard_pages):
+    """A string on four pages of a large host goes, one on two pages stays, whatever the size of a shard."""
+    monkeypatch.setattr(html_text, "SHARD_PAGES", shard_pages)
+    rare, often = "seen on two pages only and so it stays", "this very line stands on four pages of the host"
+    extra = {3: often, 14: often, 25: often, 36: often, 7: rare, 31: rare}
+    own = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(40)]
+    made = ["".join(f"<p>{t}</p>" for t in ([own[k], extra[k]] if k in extra else [own[k]])) for k in range(40)]
+    copies = [(100 + k, "http://big.x/c", f"<p>{own[0]}</p><p>copies of a page count once as one page</p>") for k in range(6)]
+    pages = [(k, f"http://big.x/{k}", h) for k, h in enumerate(made)] + copies
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    want = {k: f"{own[k]}\n{rare}" if extra.get(k) == rare else own[k] for k in range(40)}
+    assert got == want | {100 + k: f"{own[0]}\ncopies of a page count once as one page" for k in range(6)}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
