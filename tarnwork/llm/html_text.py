@@ -151,7 +151,7 @@ def _strings(text: np.ndarray, ends: np.ndarray, min_words: int) -> tuple[np.nda
     at = np.flatnonzero(fits)
     if not len(at):
         return at, at, at
-    shared = np.minimum.reduceat(prefix, np.append(0, at[:-1] + 1))
+    shared = np.minimum.reduceat(prefix[: at[-1] + 1], np.append(0, at[:-1] + 1))
     shared[0] = 0
     return order[at], owner[at], np.cumsum(shared < min_words) - 1
 

@@ -200,7 +200,7 @@ def find(docs: DataFrame, width: int = 100) -> DataFrame:
         at = np.flatnonzero(window)
         if not len(at):
             return
-        shared = np.minimum.reduceat(prefix, np.append(0, at[:-1] + 1)) if len(at) > 1 else prefix[:1]
+        shared = np.minimum.reduceat(prefix[: at[-1] + 1], np.append(0, at[:-1] + 1))
         shared[0] = 0
         owner, inside = owner[at], inside[at]
         doc, place = ids[owner], starts[owner] + inside

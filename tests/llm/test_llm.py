@@ -210,6 +210,19 @@ def test_suffix_dedup(spark, edge_docs):
     assert suffix_dedup.digest(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_keeps_the_last_group_whole(spark):
+    """The last window in suffix order repeats, and the end of a segment comes after it."""
+    rng = random.Random(7)
+
+    def letters(n):
+        return "".join(rng.choice("abcdefgh") for _ in range(n))
+
+    passage = "~" + letters(59) + "~~~" + letters(37)
+    texts = {k: letters(50) + passage + letters(20) for k in range(2)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(df).collect()} == brute_repeats(texts, 100)
+
+
 def test_induced_sort():
     rng = np.random.default_rng(1)
     for k in range(120):
@@ -338,6 +351,11 @@ def test_host_boilerplate(spark):
     assert {r["text"] for r in got.values()} == {f"own{k} text{k} stays{k} here" for k in range(8)}
 
 
+def test_unique_runs_keeps_the_last_group_whole():
+    pages = [[f"own{k} text{k} zz k l m n zzz"] for k in range(3)]
+    assert html_text.unique_runs(pages, 6, 3) == [[f"own{k} text{k}"] for k in range(3)]
+
+
 @pytest.mark.parametrize("shard_pages", [2000, 5])
 def test_host_boilerplate_over_shards(spark, monkeypatch, shard_pages):
     """A string on four pages of a large host goes, one on two pages stays, whatever the size of a shard."""
