@@ -11,10 +11,15 @@ the same text). The work is dealt so that equal strings always meet, and only wh
    segment are done. Where an anchor has different segments, windows may repeat within them: the first
    occurrence of each goes on, with its bytes.
 3. Those bytes, dealt to shards by anchor, are put into suffix order with common-prefix values by external
-   induced sorting (``induced_sort``), whose queues go to disk when a shard outgrows memory. Neighbours in
+   induced sorting (``induced_sort``: a shard's bytes and ranks are in memory, only its queues can go to disk). Neighbours in
    suffix order that share ``width`` bytes are equal windows: all but the first are covered.
 4. Covered stretches meet their text once more, are joined up and cut out.
 
+A phrase shorter than a window with different text around it gives one anchor a different segment in every
+document. A sample of the rows finds such hot anchors; their segments are split into single windows, each
+dealt by a hash of its own. Equal windows still meet, and as they are whole windows they need no sort. The
+sample only says which anchors are split; what is covered is the same whichever they are.
+
 Ids must be numbers. Null texts count as empty; texts under ``width`` bytes lose nothing. Rows that
 repeat an id and text get the same result each (they are one text); a null id takes no part and loses
 nothing. Extra columns are ignored; an empty table gives no rows.
@@ -36,6 +41,11 @@ from tarnwork.llm.induced_sort import suffix_order
 GRAM = 32
 #: Bytes of segments that a shard holds on average.
 SHARD_BYTES = 4 << 20
+#: Different segments from which on an anchor is split (about an eighth of a shard), and one row in how many is looked at for it.
+HOT_SEGMENTS = 4096
+SAMPLE = 64
+#: Bytes of text that are cut into segments at a time (about 80 bytes of memory for each).
+STEP_BYTES = 2 << 20
 _LOW = np.uint64((1 << 31) - 1)
 
 
@@ -73,6 +83,21 @@ def segments(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     return row[first], start - at[row[first]], many, h[anchor[first]].astype(np.int64), piece_hashes(words, start, many + width - 1).astype(np.int64)
 
 
+def split(data: np.ndarray, at: np.ndarray, width: int, hot: np.ndarray, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """``segments`` with those of ``hot`` anchors as single windows, whose anchor is a hash of the window."""
+    row, start, many, anchor, segment = found
+    pick = np.isin(anchor, hot)
+    if not pick.any():
+        return found
+    windows = spread(start[pick], many[pick])
+    rows = np.repeat(row[pick], many[pick])
+    words, place = _words(data), at[rows] + windows
+    size = np.full(len(place), width)
+    own = piece_hashes(words, place + 3, size - 3).astype(np.int64)  # from another byte on, so both hashes differ
+    single = (rows, windows, np.ones(len(rows), many.dtype), own, piece_hashes(words, place, size).astype(np.int64))
+    return tuple(np.concatenate([a[~pick], b]) for a, b in zip(found, single))
+
+
 def _runs(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping or touching stretches of each id joined up."""
     order = np.lexsort((start, ids))
@@ -103,11 +128,22 @@ def find(docs: DataFrame, width: int = 100) -> DataFrame:
     spark = docs.sparkSession
     total = docs.where("id IS NOT NULL")
 
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", STEP_BYTES):
+            _, _, _, anchor, segment = segments(*ragged(batch.column("text")), width)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(segment)], ["anchor", "segment"])
+
+    small_batches(spark)
+    some = total.where(F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(sampled, "anchor bigint, segment bigint")
+    often = some.distinct().groupBy("anchor").count().where(F.col("count") >= max(2, HOT_SEGMENTS // SAMPLE))
+    hot = np.array([r["anchor"] for r in often.collect()], np.int64)
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
-        for batch in slices(batches):
+        for batch in slices(batches, "text", STEP_BYTES):
             ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            row, start, many, anchor, segment = segments(*ragged(batch.column("text")), width)
+            data, at = ragged(batch.column("text"))
+            row, start, many, anchor, segment = split(data, at, width, hot, segments(data, at, width))
             parts.append((ids[row], start.astype(np.int32), many.astype(np.int16), anchor, segment))
         if not parts:
             return
@@ -212,7 +248,6 @@ def find(docs: DataFrame, width: int = 100) -> DataFrame:
         i, s, n = _runs(doc[later], place[later], np.full(int(later.sum()), width))
         yield _table(COVERED, np.zeros(len(i), np.int64), s, i, s, n)
 
-    small_batches(spark)
     candidates = total.select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(local, ROW)
     sorted_ = candidates.repartition("anchor").sortWithinPartitions("anchor", "segment", "id", "start")
     met = staged(sorted_.mapInArrow(grouped, ROW), "met")

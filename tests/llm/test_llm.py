@@ -223,6 +223,31 @@ def test_suffix_dedup_keeps_the_last_group_whole(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(df).collect()} == brute_repeats(texts, 100)
 
 
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    """A phrase with different text around it in every document, and some repeats: no shard gets all of it."""
+    rng = random.Random(11)
+    phrase = "".join(rng.choice("abcdefgh") for _ in range(80))
+    around = ["".join(rng.choice("mnopqrst") for _ in range(120)) for _ in range(150)]
+    texts = {k: f"{around[k]}{phrase}{around[-k - 1]}" for k in range(150)}
+    texts |= {200 + k: f"{around[k][-rng.randrange(15, 40):]}{phrase}{around[-k - 1][: rng.randrange(15, 40)]}" for k in range(0, 150, 5)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = brute_repeats(texts, 100)
+    sorted_bytes, real = [], suffix_dedup.staged
+
+    def watched(df, name):
+        df = real(df, name)
+        if name == "met":
+            sorted_bytes.append(df.where(F.col("kind") == suffix_dedup.WANTED).groupBy("anchor").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0)
+        return df
+
+    monkeypatch.setattr(suffix_dedup, "staged", watched)
+    for least, sample in ((4096, 64), (8, 1)):
+        monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", least, raising=False)
+        monkeypatch.setattr(suffix_dedup, "SAMPLE", sample, raising=False)
+        assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(df).collect()} == want
+    assert sorted_bytes[1] < sorted_bytes[0] / 10
+
+
 def test_induced_sort():
     rng = np.random.default_rng(1)
     for k in range(120):
