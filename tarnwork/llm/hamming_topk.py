@@ -7,11 +7,11 @@ met, so a query is finished when its k-th best distance is below that; the rest
 segment or radius. A pair is kept only at the first segment with its least segment distance, so it
 appears once in all rounds, and only if it is no farther than the k-th best so far.
 
-Rows with equal codes are met as one: of each code the k + 1 smallest ids are kept, which is exact since
-ties go to the smaller id and a query leaves out only itself. Query rows with equal codes are searched
+Rows with equal codes are met as one: of each code the k + m smallest ids are kept, m being the most rows
+that one query's id has, which is exact since ties go to the smaller id and a query leaves out only its own rows. Query rows with equal codes are searched
 once. Rounds hand over staged tables; nothing is gathered on the driver.
 
-Null vectors take no part; null, NaN and missing components are 0 bits. With fewer than k other rows all
+Null vectors and null ids take no part; null, NaN and missing components are 0 bits. With fewer than k other rows all
 are returned. Repeated rows count as rows; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -44,12 +44,14 @@ def _segment_distances(a: str, b: str):
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int = 16) -> DataFrame:
     """query_id, rank, id, distance: the k rows (id, code) nearest to each query (id, code), not itself; ties to the smaller id."""
+    rows, queries = rows.where(F.col("id").isNotNull()), staged(queries.where(F.col("id").isNotNull()), "queries")
+    own = rows.join(queries.select("id").distinct(), "id", "left_semi").groupBy("id").count()
+    enough = k + (own.agg(F.max("count")).first()[0] or 0)
     by_code = Window.partitionBy("code").orderBy("id")
-    kept = rows.withColumn("nth", F.row_number().over(by_code)).where(F.col("nth") <= k + 1)
+    kept = rows.withColumn("nth", F.row_number().over(by_code)).where(F.col("nth") <= enough)
     distinct = staged(kept.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     segments = len((distinct.select("code").first() or [[]])[0])
     index = distinct.select(F.posexplode("code").alias("segment", "value"), F.col("code").alias("near"), "ids")
-    queries = staged(queries, "queries")
     still = queries.select("code").distinct().withColumn("far", F.lit(bits_in_all := segments * segment_bits))
     kind = rows.schema["id"].dataType.simpleString()
     best = rows.sparkSession.createDataFrame([], f"code array<int>, id {kind}, distance int")
@@ -65,12 +67,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int =
         met = met.withColumn("distance", F.aggregate("apart", F.lit(0), lambda a, x: a + x)).where(F.col("distance") <= F.col("far"))
         met = met.where((F.array_min("apart") == s) & (F.array_position("apart", F.lit(s)) == F.col("segment") + 1))
         found = met.select("code", F.explode("ids").alias("id"), "distance")
-        best = staged(best.unionByName(found).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth"), "best")
+        best = staged(best.unionByName(found).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= enough).drop("nth"), "best")
         last = best.groupBy("code").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
         # nothing nearer than this is unseen: each segment passed at s adds one, each at s - 1 had added its own
         covered = segments * s + (segments if only is None else only + 1)
-        still = still.select("code").join(last, "code", "left").withColumn("far", F.when(F.col("n") == k + 1, F.col("last")).otherwise(bits_in_all))
-        still = staged(still.where(F.coalesce(F.col("n") < k + 1, F.lit(True)) | (F.col("far") >= covered)).select("code", "far"), "still")
+        still = still.select("code").join(last, "code", "left").withColumn("far", F.when(F.col("n") == enough, F.col("last")).otherwise(bits_in_all))
+        still = staged(still.where(F.coalesce(F.col("n") < enough, F.lit(True)) | (F.col("far") >= covered)).select("code", "far"), "still")
         if still.isEmpty():
             break
     pairs = queries.select(F.col("id").alias("query_id"), "code").join(best, "code").where(F.col("id") != F.col("query_id"))

@@ -118,8 +118,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 16, sam
     kind = rows.schema["id"].dataType.simpleString()
     if not total:
         return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
-    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
-    distinct = staged(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "distinct")
+    ranked = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
+    distinct = staged(ranked.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "distinct")
     sample = np.array([r["v"] for r in distinct.orderBy(F.xxhash64("v")).select("v").limit(sample_rows).collect()])
     unit = sample / np.linalg.norm(sample, axis=1)[:, None]
     depth = max(0, min(7, int(np.log2(len(unit) / 24)) if len(unit) > 24 else 0))

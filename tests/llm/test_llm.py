@@ -351,6 +351,17 @@ def test_hamming_topk(spark):
     assert hamming_topk.search(df.where("vec_id IN (0, 7)"), every=100).count() == 1
 
 
+def test_repeated_rows_leave_room_for_k(spark):
+    """Rows that repeat a query's id, or an id of a shared vector, take no place of another row's."""
+    def near(ids):
+        return spark.createDataFrame([(i, [1.0, 1.0, 1.0, 1.0]) for i in ids] + [(i, [1.0, 1.0, -1.0, 1.0]) for i in (7, 8, 9)], "vec_id bigint, embedding array<double>")
+
+    got = hamming_topk.search(near([0, 0, 0, 0, 1, None, None]), every=100, k=3, segment_bits=2).collect()
+    assert sorted((r["rank"], r["vec_id"], r["distance"]) for r in got) == [(1, 1, 0), (2, 7, 1), (3, 8, 1)]
+    got = rp_forest.search(near([0, 0, 1, 1, 1, 2, 3]), every=100, k=3).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 1), (2, 2), (3, 3)]
+
+
 PAGES = [
     ("<html><head><title>T</title><script>var t='</p>';x()</script></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>Head &amp; line</h1><p><b>One\n two.<br><p>Three<div class=\"comments\"><p>nice</p></div><form>f</form><aside>s</aside>x &lt;y</article><footer>f</footer>", "Head & line\nOne two.\nThree\nx <y"),
     ("<main><header>kept?</header><p>a</p><!-- c --><p>b</main>", "kept?\na\nb"),
