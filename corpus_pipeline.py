@@ -40,9 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that 100-byte strings starting earlier cover."""
-    left = suffix_dedup.remove_repeats(docs, width=100)
-    left = left.withColumn("kept_text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(suffix_dedup.whole_text(F.col("kept"))))
+    """All documents, without the bytes that 100-byte strings starting earlier cover and code points that this splits."""
+    left = suffix_dedup.remove_repeats(docs, width=100, whole=True)
+    left = left.withColumn("kept_text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string")))
     return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 

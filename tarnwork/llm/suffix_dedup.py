@@ -264,19 +264,25 @@ def find(docs: DataFrame, width: int = 100) -> DataFrame:
     return covered.unionByName(found.select("id", "start", "n"))
 
 
-def _kept(raw: bytes, spans) -> tuple[bytes, int, int]:
-    """(what is left, bytes removed, stretches removed)."""
+def _kept(raw: bytes, spans, whole: bool = False) -> tuple[bytes, int, int]:
+    """(what is left, bytes covered, stretches covered); ``whole``: without the rest of code points that a cut has split."""
     if spans is None or not len(spans):
         return raw, 0, 0
     start, n = spans.field(0).to_numpy().astype(np.int64), spans.field(1).to_numpy().astype(np.int64)
     _, start, n = _runs(np.zeros(len(start), np.int64), start, n)
     gone = np.zeros(len(raw), bool)
     gone[spread(start, n)] = True
-    return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(n.sum()), len(n)
+    data = np.frombuffer(raw, np.uint8)
+    if whole:
+        point = np.cumsum((data & 0xC0) != 0x80)
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[point[gone]] = True
+        gone = cut[point]
+    return data[~gone].tobytes(), int(n.sum()), len(n)
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with columns kept (binary: the bytes left), n_bytes, n_removed and n_spans."""
+def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """``docs`` with columns kept (binary: the bytes left; ``whole``: the whole code points), n_bytes, n_removed and n_spans."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     spans = find(source, width).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     own = [f"c{i}" for i in range(len(docs.columns))]
@@ -290,7 +296,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
             out = []
             for t, s in zip(batch.column(text), batch.column("spans")):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                out.append((len(raw), *_kept(raw, s.values if s.is_valid else None)))
+                out.append((len(raw), *_kept(raw, s.values if s.is_valid else None, whole)))
             columns = [batch.column(c) for c in own] + [pa.array([o[1] for o in out], pa.binary()), *(pa.array([o[k] for o in out], pa.int64()) for k in (0, 2, 3))]
             yield pa.RecordBatch.from_arrays(columns, [*own, "kept", "n_bytes", "n_removed", "n_spans"])
 
@@ -301,8 +307,3 @@ def digest(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     done = remove_repeats(docs.select(F.col(id_col), F.col(text_col)), width, id_col, text_col)
     return done.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def whole_text(kept):
-    """Bytes as text, without code points that a cut has split."""
-    return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("\ufffd"), F.lit(""))

@@ -407,6 +407,18 @@ def test_host_boilerplate_over_shards(spark, monkeypatch, shard_pages):
     assert got == want | {100 + k: f"{own[0]}\ncopies of a page count once as one page" for k in range(6)}
 
 
+def test_pipeline_keeps_own_replacement_characters(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    passage = "é" + "".join(rng.choice("abcdefgh") for _ in range(120))
+    # 0xC3 0xA9 and 0xC4 0xA9 share their second byte, so the repeat starts within a code point
+    texts = {0: f"first {passage} end", 1: f"own \ufffd mark ĩ{passage[1:]}x"}
+    df = spark.createDataFrame([tuple({"doc_id": k, "text": t}.get(c) for c in docs.columns) for k, t in texts.items()], docs.schema)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_passages(spark, df, SF).collect()}
+    assert got == {0: (texts[0], len(texts[0])), 1: (left := "own \ufffd mark x", len(left))}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
