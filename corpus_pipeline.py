@@ -1,4 +1,8 @@
-"""The corpus pipeline: five operators, each working on all that the one before it kept."""
+"""The corpus pipeline: five operators, each working on all that the one before it kept.
+
+An id need not be unique or set: rows of different texts that share an id, or have none, are documents of
+their own, and a row goes only for its own text.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm import language_id, packing, quality_crf, suffix_dedup, weighted_minhash
-from tarnwork.llm.common import table
+from tarnwork.llm.common import staged, table
 from tarnwork.scratch import scratch
 
 #: A document goes if its chance of good quality is below this.
@@ -17,9 +21,10 @@ QUALITY_FROM = 0.3
 LANGUAGE_FROM = 0.02
 
 
-def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id ``verdict`` (doc_id, one row for each row of docs) holds."""
-    return docs.join(verdict.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, in order of ids (null ids last), then of texts' hashes."""
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return staged(ordered.withColumn("_row", F.monotonically_increasing_id()), "keyed")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +39,15 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least id (one row, if rows repeat)."""
-    classes = weighted_minhash.near_duplicates(docs, threshold=0.8, words=5)
-    return _keep(docs.dropDuplicates(["doc_id"]), classes.where(F.col("doc_id") == F.col("class_id")))
+    """One row of each near-duplicate class: the one with the least id (null ids last; if ids repeat, any one of the class)."""
+    keyed = _keyed(docs)
+    classes = weighted_minhash.near_duplicates(keyed, threshold=0.8, words=5, id_col="_row")
+    return keyed.join(classes.where(F.col("_row") == F.col("class_id")), "_row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that 100-byte strings starting earlier cover and code points that this splits."""
-    left = suffix_dedup.remove_repeats(docs, width=100, whole=True)
+    """All documents, without the bytes that 100-byte strings starting earlier cover and code points that this splits (rows in order of ids, null ids last)."""
+    left = suffix_dedup.remove_repeats(_keyed(docs), width=100, id_col="_row", whole=True)
     left = left.withColumn("kept_text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string")))
     return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 

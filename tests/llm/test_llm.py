@@ -407,6 +407,21 @@ def test_host_boilerplate_over_shards(spark, monkeypatch, shard_pages):
     assert got == want | {100 + k: f"{own[0]}\ncopies of a page count once as one page" for k in range(6)}
 
 
+def test_pipeline_keeps_rows_of_shared_and_null_ids(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    own = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)) for _ in range(4)]
+    made = [(5, own[0]), (5, own[1]), (5, own[0]), (9, own[1]), (None, own[2]), (None, own[2]), (None, own[3]), (1, own[3])]
+    df = spark.createDataFrame([tuple({"doc_id": k, "text": t}.get(c) for c in docs.columns) for k, t in made], docs.schema)
+    got = corpus_pipeline.near_duplicates(spark, df, SF)
+    kept = [(5, own[0]), (5, own[1]), (None, own[2]), (1, own[3])]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, kept))
+    tails = spark.createDataFrame([tuple({"doc_id": k, "text": t}.get(c) for c in docs.columns) for k, t in [(5, own[0]), (5, "short " + own[1]), (None, f"{own[1]} end")]], docs.schema)
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.repeated_passages(spark, tails, SF).collect()}
+    assert got == {(5, own[0]), (5, "short " + own[1]), (None, " end")}
+
+
 def test_pipeline_keeps_own_replacement_characters(spark, docs):
     import corpus_pipeline
 
