@@ -2,7 +2,8 @@
 
 A page's token stream (text and tags) is read once. Blocks inside an article (or else a main element, or
 an element that names itself so) are the page's text, but for what is marked as menu, header, footer,
-sidebar, notice, advert, form, script, style or reader comment. Articles that other pages repeat stay:
+sidebar, notice, advert, form, script, style or reader comment, if they hold the larger part of what is
+not so marked; else the page stays open. Articles that other pages repeat stay:
 a suffix array over whole pages would remove them, so it decides only where nothing marks an article.
 The open blocks of such pages are gathered by host, concatenated and put into suffix order; strings of
 at least ``min_words`` words on at least ``min_pages`` different pages of the host are boilerplate, what
@@ -126,8 +127,12 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
                 stack.append((name, max(level, rank), mute or furniture))
                 level, mute = stack[-1][1], stack[-1][2]
     flush()
-    best = max((x for x, _ in found), default=0)
-    return [t for x, t in found if x == best], best > 0
+    total = sum(len(t) for _, t in found)
+    for rank in (3, 2, 1):  # a teaser or a date line that is marked by chance is not the article
+        inside = [t for x, t in found if x >= rank]
+        if 2 * sum(map(len, inside)) > total:
+            return inside, True
+    return [t for _, t in found], False
 
 
 def _tokens(pages: list[list[str]]) -> tuple[list[list[list[str]]], np.ndarray, np.ndarray, dict[str, int]]:

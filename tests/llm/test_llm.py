@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -362,6 +363,15 @@ def test_repeated_rows_leave_room_for_k(spark):
     assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_chance_marks_do_not_hide_the_article():
+    story = "".join(f"<p>Paragraph {k} of the article itself, in plain sight.</p>" for k in range(5))
+    text = [f"Paragraph {k} of the article itself, in plain sight." for k in range(5)]
+    for chance in ("<article class=card>A teaser</article>", "<div class=post-meta>By A. Writer</div>"):
+        assert html_text.blocks_of(f"<body><div>{story}</div>{chance}") == (text + [re.sub("<[^>]*>", "", chance)], False)
+    assert html_text.blocks_of(f"<body><main>{story}</main><article>A teaser</article><p>Note") == ([*text, "A teaser"], True)
+    assert html_text.blocks_of(f"<body><p>Note</p><article>{story}</article>") == (text, True)
+
+
 PAGES = [
     ("<html><head><title>T</title><script>var t='</p>';x()</script></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>Head &amp; line</h1><p><b>One\n two.<br><p>Three<div class=\"comments\"><p>nice</p></div><form>f</form><aside>s</aside>x &lt;y</article><footer>f</footer>", "Head & line\nOne two.\nThree\nx <y"),
     ("<main><header>kept?</header><p>a</p><!-- c --><p>b</main>", "kept?\na\nb"),
