@@ -11,8 +11,9 @@ the same text). The work is dealt so that equal strings always meet, and only wh
    segment are done. Where an anchor has different segments, windows may repeat within them: the first
    occurrence of each goes on, with its bytes.
 3. Those bytes, dealt to shards by anchor, are put into suffix order with common-prefix values by external
-   induced sorting (``induced_sort``: a shard's bytes and ranks are in memory, only its queues can go to disk). Neighbours in
-   suffix order that share ``width`` bytes are equal windows: all but the first are covered.
+   induced sorting (``induced_sort``: recursive, its text, names, queues and results on disk beyond
+   ``SORT_MEMORY``, so a shard may be far larger than memory). Neighbours in suffix order that share
+   ``width`` bytes are equal windows: all but the first are covered.
 4. Covered stretches meet their text once more, are joined up and cut out.
 
 A phrase shorter than a window with different text around it gives one anchor a different segment in every
@@ -20,8 +21,14 @@ document. A sample of the rows finds such hot anchors; their segments are split
 dealt by a hash of its own. Equal windows still meet, and as they are whole windows they need no sort. The
 sample only says which anchors are split; what is covered is the same whichever they are.
 
+Segments that meet in steps 1 and 2 are equal by two hashes of 64 bits (of the anchor and of the whole
+segment, which both must agree at the same place); no byte is compared there. For n segments that leaves
+a chance of about n * n / 2^129 that one pair is taken for equal by mistake: 10^-15 for 10^12 segments, if
+nobody chose the texts to that end.
+
 Ids must be numbers. Null texts count as empty; texts under ``width`` bytes lose nothing. Rows that
-repeat an id and text get the same result each (they are one text); a null id takes no part and loses
+repeat an id and text get the same result each (they are one text); different texts of one id are
+documents of their own, in order of their texts' hashes; a null id takes no part and loses
 nothing. Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -35,12 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.llm.common import _words, piece_hashes, ragged, slices, small_batches, spread, staged
-from tarnwork.llm.induced_sort import suffix_order
+from tarnwork.llm.induced_sort import Text, picked, sorted_suffixes
 
 #: Bytes of an anchor, a multiple of 8; short ones repeat by chance and so send unlike segments to be sorted.
 GRAM = 32
 #: Bytes of segments that a shard holds on average.
 SHARD_BYTES = 4 << 20
+#: Bytes that the sort of a shard keeps in memory.
+SORT_MEMORY = 256 << 20
 #: Different segments from which on an anchor is split (about an eighth of a shard), and one row in how many is looked at for it.
 HOT_SEGMENTS = 4096
 SAMPLE = 64
@@ -211,42 +220,30 @@ def find(docs: DataFrame, width: int = 100) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.repeat(batch.column("id")[i].as_py(), len(n))), pa.array(start), pa.array(pieces, pa.binary())], ["anchor", "id", "start", "bytes"])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, starts, sizes, raws = [], [], [], []
+        text, parts = Text(SORT_MEMORY // 4), []
         for batch in batches:
             column = batch.column("bytes").cast(pa.large_binary())
             at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
-            raws.append(np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].astype(np.int16))
-            sizes.append(np.diff(at))
-            ids.append(batch.column("id").to_numpy().copy())
-            starts.append(batch.column("start").to_numpy().copy())
-        if not ids:
-            return
-        ids, starts, sizes = (np.concatenate(x) for x in (ids, starts, sizes))
-        ends = np.cumsum(sizes + 1)
-        text = np.ones(int(ends[-1]) + 1, np.int16)  # 1 parts segments, the end is 0
-        text[spread(ends - sizes - 1, sizes)] = np.concatenate(raws) + np.int16(2)
-        raws.clear()
-        text[-1] = 0
-        order, prefix = suffix_order(text, width)
-        owner = np.searchsorted(ends, order, "right")
-        owner[owner == len(ids)] = 0
-        inside = order - (ends - sizes - 1)[owner]
-        window = (inside + width <= sizes[owner]) & (order < ends[-1])
-        # the prefix with the window before: the least of all suffixes between
-        at = np.flatnonzero(window)
-        if not len(at):
+            size = np.diff(at)
+            part = np.ones(int(size.sum()) + len(size), np.int16)  # 1 parts segments, the end is 0
+            part[spread(np.cumsum(size + 1) - size - 1, size)] = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].astype(np.int16) + np.int16(2)
+            text.add(part)
+            parts.append((batch.column("id").to_numpy().copy(), batch.column("start").to_numpy().copy(), size.astype(np.int32)))
+        if not parts:
             return
-        shared = np.minimum.reduceat(prefix[: at[-1] + 1], np.append(0, at[:-1] + 1))
-        shared[0] = 0
-        owner, inside = owner[at], inside[at]
-        doc, place = ids[owner], starts[owner] + inside
-        group = np.cumsum(shared < width) - 1
-        first = np.flatnonzero(shared < width)
-        by = np.lexsort((place, doc, group))
-        lead = by[first]  # of each group the earliest, as groups are in order
-        later = (doc != doc[lead][group]) | (place != place[lead][group])
-        i, s, n = _runs(doc[later], place[later], np.full(int(later.sum()), width))
-        yield _table(COVERED, np.zeros(len(i), np.int64), s, i, s, n)
+        text.add(np.zeros(1, np.int16))
+        ids, starts, sizes = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        ends = np.cumsum(sizes + 1, dtype=np.int64)
+        whole = text.whole()
+
+        def windows(positions: np.ndarray) -> np.ndarray:
+            owner = np.minimum(np.searchsorted(ends, positions, "right"), len(ends) - 1)
+            return positions + width < ends[owner]
+
+        for doc, place in covered_windows(picked(sorted_suffixes(whole, SORT_MEMORY), windows), ends, sizes, ids, starts, width):
+            i, s, n = _runs(doc, place, np.full(len(doc), width))
+            yield _table(COVERED, np.zeros(len(i), np.int64), s, i, s, n)
 
     candidates = total.select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(local, ROW)
     sorted_ = candidates.repartition("anchor").sortWithinPartitions("anchor", "segment", "id", "start")
@@ -264,6 +261,31 @@ def find(docs: DataFrame, width: int = 100) -> DataFrame:
     return covered.unionByName(found.select("id", "start", "n"))
 
 
+def covered_windows(ordered: Iterator, ends: np.ndarray, sizes: np.ndarray, ids: np.ndarray, starts: np.ndarray, width: int, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(id, place) of every window but the earliest of its equals, about ``most`` at a time.
+
+    ``ordered``: window positions in suffix order with their common prefixes; windows that share ``width`` bytes are equal.
+    """
+    held, n, lead = [], 0, None
+    for positions, shared in ordered:
+        owner = np.searchsorted(ends, positions, "right")
+        doc, place, new = ids[owner], starts[owner] + positions - (ends[owner] - 1 - sizes[owner]), shared < width
+        if lead is not None and not new[0]:  # the group goes on: its earliest so far stands for it
+            doc, place, new = np.append(lead[0], doc), np.append(lead[1], place), np.append(True, new)
+        new[0] = True
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        best = np.lexsort((place, doc, group))[first]  # of each group the earliest, as groups are in order
+        later = (doc != doc[best][group]) | (place != place[best][group])
+        held.append((doc[later], place[later]))
+        n += len(held[-1][0])
+        lead = doc[best[-1]], place[best[-1]]
+        if n >= most:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def _kept(raw: bytes, spans, whole: bool = False) -> tuple[bytes, int, int]:
     """(what is left, bytes covered, stretches covered); ``whole``: without the rest of code points that a cut has split."""
     if spans is None or not len(spans):
@@ -281,14 +303,26 @@ def _kept(raw: bytes, spans, whole: bool = False) -> tuple[bytes, int, int]:
     return data[~gone].tobytes(), int(n.sum()), len(n)
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "_row") -> DataFrame:
+    """``docs`` with a key of each row, in order of ids (null ids last), then of texts' hashes."""
+    ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(text_col))
+    return staged(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
 def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """``docs`` with columns kept (binary: the bytes left; ``whole``: the whole code points), n_bytes, n_removed and n_spans."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    spans = find(source, width).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     own = [f"c{i}" for i in range(len(docs.columns))]
-    joined = docs.toDF(*own).withColumn("_key", F.col(own[docs.columns.index(id_col)]).cast("bigint"))
-    joined = joined.join(spans.select(F.col("id").alias("_key"), "spans"), "_key", "left").drop("_key")
+    plain = docs.toDF(*own)
     text = own[docs.columns.index(text_col)]
+    plain = plain.withColumn("_key", F.col(own[docs.columns.index(id_col)]).cast("bigint"))
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    apart = plain.where("_key IS NOT NULL").select("_key", mark.alias("_mark"))
+    if not apart.groupBy("_key").agg(F.min("_mark").alias("a"), F.max("_mark").alias("b")).where("a <> b").isEmpty():
+        # texts that share an id get keys of their own
+        numbers = staged(apart.distinct().orderBy("_key", "_mark").withColumn("_number", F.monotonically_increasing_id()), "keys")
+        plain = plain.withColumn("_mark", mark).join(numbers, ["_key", "_mark"], "left").drop("_key", "_mark").withColumnRenamed("_number", "_key")
+    spans = find(plain.select(F.col("_key").alias("id"), F.col(text).alias("text")), width).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    joined = plain.join(spans.select(F.col("id").alias("_key"), "spans"), "_key", "left").drop("_key")
     schema = ", ".join(f"{n} {t}" for n, t in joined.drop("spans").dtypes) + ", kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
