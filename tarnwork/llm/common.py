@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from tarnwork.scratch import staged  # noqa: F401  (for the operators)
 
 
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory whatever the Arrow batch holds.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +44,26 @@ def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def release() -> None:
+    """Memory that this process has freed goes back to the system, so that an idle Python worker is small."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+_TRIM = _trim()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut (between rows only) to about ``limit`` bytes of text each."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -53,6 +72,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    release()
 
 
 def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +98,11 @@ def literal(values, kind: str = "int"):
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _ODD
+    return x ^ (x >> np.uint64(29))
+
+
 def _words(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from every place on, as one number (zeros past the end)."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -133,14 +158,14 @@ def unique_pieces(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return np.flatnonzero(used), (np.cumsum(used) - 1)[rep]
 
 
-def filtered(docs: DataFrame, text_col: str, verdict) -> DataFrame:
+def filtered(docs: DataFrame, text_col: str, verdict, limit: int = CHUNK_BYTES) -> DataFrame:
     """The rows for which ``verdict`` (a string column -> booleans) holds; columns may share a name."""
     own = [f"c{i}" for i in range(len(docs.columns))]
     text = own[docs.columns.index(text_col)]
     plain = docs.toDF(*own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, limit):
             yield batch.filter(pa.array(verdict(batch.column(text))))
 
     schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes)

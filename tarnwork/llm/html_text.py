@@ -1,15 +1,21 @@
-"""Main text of web pages: structure first, a host suffix array where structure says nothing.
-
-A page's token stream (text and tags) is read once. Blocks inside an article (or else a main element, or
-an element that names itself so) are the page's text, but for what is marked as menu, header, footer,
-sidebar, notice, advert, form, script, style or reader comment, if they hold the larger part of what is
-not so marked; else the page stays open. Articles that other pages repeat stay:
-a suffix array over whole pages would remove them, so it decides only where nothing marks an article.
-The open blocks of such pages are gathered by host, concatenated and put into suffix order; strings of
-at least ``min_words`` words on at least ``min_pages`` different pages of the host are boilerplate, what
-they cover goes, unique runs stay. Hosts of more than ``SHARD_PAGES`` pages are put into suffix order in
-shards; their strings then meet by two 64-bit hashes, pages are counted over the whole host, and the
-boilerplate goes back to the shards that hold it. So the size of a shard decides nothing.
+"""Main text of web pages by a suffix array over each host, with page structure as a guard.
+
+1. A page's token stream is read once: blocks of text, each with the kind of element that holds it (an article,
+   a main element, one that names itself so, or none of these) and whether it is marked as page furniture
+   (menu, header, footer, sidebar, notice, advert, form, reader comment).
+2. The streams of all pages of a host, furniture included, are concatenated and put into suffix order. Strings
+   of at least ``min_words`` tokens on at least ``min_pages`` different pages are boilerplate; what they cover
+   goes, unique runs stay. Pages of equal content (article, or all text where none is marked) count as one
+   page, whatever furniture is around it.
+3. Guards: marked furniture goes although it is unique. An article, or else a main element or one named so,
+   is the page's text if it has more words than there are unique words outside of it; its words stay although
+   other pages repeat them (a copied article is no boilerplate). Where no element wins, the unique runs of
+   the whole page are its text.
+
+Hosts of more than ``SHARD_PAGES`` pages are dealt to shards by page content. Each shard puts its own pages into
+suffix order and sends a hash (at least 48 bits, more for large hosts) and the number of pages of every string;
+these meet by ranges of hashes, and each shard gets back which of its strings are boilerplate in the
+whole host. As equal pages share a shard, the numbers add up exactly, so the size of a shard decides nothing.
 
 Null or empty html gives an empty text; null urls form one host; repeated rows each give a row;
 extra columns are ignored; an empty table gives no rows. Nothing is dropped for its length.
@@ -24,13 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import slices, small_batches, spread, staged
-from tarnwork.llm.induced_sort import suffix_order
+from tarnwork.llm.common import _mix, _words, piece_hashes, slices, small_batches, spread, unique_pieces
+from tarnwork.llm.induced_sort import picked, sorted_suffixes
 
 SHARD_PAGES = 2000
+#: Hosts meet in so many buckets to be counted; a bucket's hosts share a number of shards.
+HOST_BUCKETS = 1 << 20
+#: Ranges of hashes for each shard of a host.
+PARTS = 8
 TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[ \t\n\r\f\v \u0085  -     　]+")
@@ -40,6 +51,10 @@ RAW = {"script", "style", "textarea", "title"}
 #: Elements that hold page furniture.
 FURNITURE = set("nav footer aside form dialog menu".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: What ends an open element of its kind, and what holds such elements.
+SIBLINGS = {"body": (("head",), ()), "li": (("li",), ("ul", "ol", "menu", "dir")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "tr": (("tr",), ("table",)), "option": (("option",), ("select",))}
+#: What becomes of an element's text: kept, kept as marked furniture, marked within a line, never text.
+TEXT, MARKED, SIDE, MUTED = range(4)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are closed by their own end tag and so can hold others.
 HOLDERS = (BLOCKS - {"p", "li", "hr", "dd", "dt", "td", "th", "tr", "option", "html", "body", "h1", "h2", "h3", "h4", "h5", "h6"}) | MUTE
@@ -61,225 +76,303 @@ def _marks(attributes: str) -> tuple[set[str], bool]:
     return words, hidden
 
 
-def blocks_of(page: str) -> tuple[list[str], bool]:
-    """(blocks of text in page order, whether structure marked them as the article)."""
-    found: list[tuple[int, str]] = []  # (3 in an article, 2 in a main element, 1 in one named so, 0 open; text)
-    stack: list[tuple[str, int, bool]] = []  # (element, level, whether it is furniture)
-    level, mute = 0, False
+
+
+def blocks_of(page: str) -> list[tuple[int, bool, str]]:
+    """(3 in an article, 2 in a main element, 1 in one named so, 0 elsewhere; whether marked as furniture; text) of each block in page order."""
+    found: list[tuple[int, bool, str]] = []
+    stack: list[tuple[str, int, int]] = []  # (element, level, what becomes of its text)
+    level, fate, marked_parts = 0, TEXT, False
     parts: list[str] = []
+    side: list[str] = []  # furniture within a line
 
     def flush() -> None:
-        if parts:
-            text = SPACE.sub(" ", entities.unescape("".join(parts))).strip(" ")
-            parts.clear()
-            if text:
-                found.append((level, text))
+        for held, marked in ((parts, marked_parts), (side, True)):
+            if held:
+                text = SPACE.sub(" ", entities.unescape("".join(held))).strip(" ")
+                held.clear()
+                if text:
+                    found.append((level, marked, text))
 
     def close(to: int) -> None:
-        nonlocal level, mute
+        nonlocal level, fate
+        if any(e[0] in BLOCKS and e[2] != MUTED for e in stack[to:]):
+            flush()
         del stack[to:]
-        level, mute = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+        level, fate = (stack[-1][1], stack[-1][2]) if stack else (0, TEXT)
+
+    def say(text: str) -> None:
+        nonlocal marked_parts
+        if fate == SIDE:
+            side.append(text)
+        elif fate != MUTED:
+            parts.append(text)
+            marked_parts = fate == MARKED
 
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         if m is None:
-            if not mute:
-                parts.append(page[at:])
+            say(page[at:])
             break
-        if m.start() > at and not mute:
-            parts.append(page[at : m.start()])
+        if m.start() > at:
+            say(page[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if not name:
             continue
         name, ends, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if name == "br":
-            if not mute:
-                parts.append(" ")
+            say(" ")
             continue
-        if name in BLOCKS:
+        if name in BLOCKS and fate != MUTED:
             flush()
         if ends:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if name not in BLOCKS and not mute:
-                        flush()
                     close(i)
                     break
             continue
         if name in VOID:
             continue
-        if name in BLOCKS and stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"):
-            close(len(stack) - 1)  # kept only where marked
+        if name in BLOCKS:  # what an opening element ends; such elements are here only where marked
+            if stack and stack[-1][0] == "p":
+                close(len(stack) - 1)
+            among, within = SIBLINGS.get(name, ((), ()))
+            for i in range(len(stack) - 1, -1, -1) if among else ():
+                if stack[i][0] in among:
+                    close(i)
+                    break
+                if stack[i][0] in within:
+                    break
         words, hidden = _marks(attributes) if attributes.strip() else (set(), False)
-        furniture = hidden or name in MUTE or name in FURNITURE or bool(words & MARKS) or level == 0 and (name == "header" or "header" in words)
-        if name in HOLDERS or furniture:
-            rank = 3 if name == "article" else 2 if name == "main" or "main" in words else 1 if words & MAIN_MARKS else 0
-            if furniture and not mute:
-                flush()
+        furniture = hidden or name in FURNITURE or bool(words & MARKS) or level == 0 and (name == "header" or "header" in words)
+        if name in HOLDERS or furniture or fate != TEXT and any(e[0] == name for e in stack):
+            if name in RAW:
+                stop = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
+                end = page.find(">", stop.start()) if stop else -1
+                at = end + 1 if end >= 0 else n
+                continue
             if not attributes.rstrip().endswith("/") or name in BLOCKS:
-                if name in RAW:
-                    stop = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
-                    end = page.find(">", stop.start()) if stop else -1
-                    at = end + 1 if end >= 0 else n
-                    continue
-                stack.append((name, max(level, rank), mute or furniture))
-                level, mute = stack[-1][1], stack[-1][2]
+                rank = 3 if name == "article" else 2 if name == "main" or "main" in words else 1 if words & MAIN_MARKS else 0
+                if name in MUTE or fate == MUTED:
+                    to = MUTED
+                elif furniture or fate != TEXT:
+                    to = MARKED if name in BLOCKS or fate == MARKED else SIDE
+                else:
+                    to = TEXT
+                stack.append((name, max(level, rank) if name in BLOCKS else level, to))
+                level, fate = stack[-1][1], to
     flush()
-    total = sum(len(t) for _, t in found)
-    for rank in (3, 2, 1):  # a teaser or a date line that is marked by chance is not the article
-        inside = [t for x, t in found if x >= rank]
+    return found
+
+
+def pack(blocks: list[tuple[int, bool, str]]) -> bytes:
+    """A page's blocks: a line of one figure for each (twice the level, plus one for furniture), then the texts by lines."""
+    kinds = "".join(chr(48 + 2 * level + marked) for level, marked, _ in blocks)
+    return "\n".join([kinds, *(t for _, _, t in blocks)]).encode("utf-8", "surrogatepass")
+
+
+def content_key(blocks: list[tuple[int, bool, str]]) -> int:
+    """64-bit hash of the page's content: what its best mark holds if that is the larger part, else all of its text."""
+    plain = [(level, t) for level, marked, t in blocks if not marked]
+    total, own = sum(len(t) for _, t in plain), [t for _, _, t in blocks]
+    for rank in (3, 2, 1):
+        inside = [t for level, t in plain if level >= rank]
         if 2 * sum(map(len, inside)) > total:
-            return inside, True
-    return [t for _, t in found], False
-
-
-def _tokens(pages: list[list[str]]) -> tuple[list[list[list[str]]], np.ndarray, np.ndarray, dict[str, int]]:
-    """(words of each block of each page; all as numbers, 1 after each page and 0 at the end; the pages' ends; each word's number)."""
-    words = [[["\n", *b.split(" ")] for b in page] for page in pages]
-    flat = [w for page in words for b in page for w in b]
-    sizes = np.array([sum(len(b) for b in page) for page in words])
-    names = {w: i + 2 for i, w in enumerate(sorted(set(flat)))}
-    ends = np.cumsum(sizes + 1)
-    text = np.ones(int(ends[-1]) + 1, np.int32)
-    text[spread(ends - sizes - 1, sizes)] = [names[w] for w in flat]
-    text[-1] = 0
-    return words, text, ends, names
-
-
-def _strings(text: np.ndarray, ends: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, page, number of its string) of every ``min_words`` words within a page, by suffix order."""
-    order, prefix = suffix_order(text, min_words)
-    owner = np.minimum(np.searchsorted(ends, order, "right"), len(ends) - 1)
-    fits = (order + min_words < ends[owner]) & (order < ends[-1])
-    at = np.flatnonzero(fits)
-    if not len(at):
-        return at, at, at
-    shared = np.minimum.reduceat(prefix[: at[-1] + 1], np.append(0, at[:-1] + 1))
-    shared[0] = 0
-    return order[at], owner[at], np.cumsum(shared < min_words) - 1
-
-
-def _left(words: list[list[list[str]]], text: np.ndarray, names: dict[str, int], start: np.ndarray, min_words: int) -> list[list[str]]:
-    """Blocks of each page without the ``min_words`` words from each ``start`` on."""
-    gone = np.zeros(len(text), bool)
-    # what reaches into a next block counts for whole blocks only: an article's ends are not a footer's
-    edge = (text <= 1) | (text == names.get("\n", 0))
-    before = np.maximum.accumulate(np.where(edge, np.arange(len(text)), 0))
-    last, across = before[start + min_words], before[start + min_words - 1] > start
-    fine = ~across | edge[start]
-    gone[spread(start[fine], np.where(across, last - start, min_words)[fine])] = True
-    out, place = [], 0
-    for page in words:
-        kept = []
-        for b in page:
-            left = [w for w, g in zip(b, gone[place : place + len(b)].tolist()) if not g and w != "\n"]
-            place += len(b)
-            if left:
-                kept.append(" ".join(left))
-        place += 1
-        out.append(kept)
-    return out
-
-
-def _pages_of(owner: np.ndarray, number: np.ndarray, pages: list[list[str]]) -> np.ndarray:
-    """The different (string, page) pairs in order; copies of a page count as the first of them."""
-    contents: dict[tuple[str, ...], int] = {}
-    same = np.array([contents.setdefault(tuple(page), i) for i, page in enumerate(pages)])
-    return np.unique(np.stack([number, same[owner]]), axis=1)
-
-
-def unique_runs(pages: list[list[str]], min_words: int, min_pages: int) -> list[list[str]]:
-    """Blocks of each page without the strings of ``min_words`` words that ``min_pages`` different pages hold."""
-    if not any(pages):
-        return pages
-    words, text, ends, names = _tokens(pages)
-    start, owner, number = _strings(text, ends, min_words)
-    many = np.bincount(_pages_of(owner, number, pages)[0]) >= min_pages
-    return _left(words, text, names, start[many[number]], min_words)
-
-
-def _hashes(text: np.ndarray, names: dict[str, int], start: np.ndarray, min_words: int) -> np.ndarray:
-    """Two 64-bit hashes of the ``min_words`` words from each ``start`` on, the same in every shard."""
-    raw = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest() for w in names)
-    of = np.concatenate([np.zeros((2, 2), np.uint64), np.frombuffer(raw, "<u8").reshape(-1, 2)])
-    h = np.zeros((len(start), 2), np.uint64)
-    for k in range(min_words):
-        h = (h ^ of[text[start + k]]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h.view(np.int64)
-
-
-def shard_strings(pages: list[list[str]], min_words: int, min_pages: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, page hash) of each string of ``min_words`` words and each of its first ``min_pages`` different pages."""
-    if not any(pages):
-        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    _, text, ends, names = _tokens(pages)
-    start, owner, number = _strings(text, ends, min_words)
-    number_, page = _pages_of(owner, number, pages)
-    first = np.searchsorted(number_, number_, "left")
-    few = np.arange(len(number_)) - first < min_pages
-    one = start[np.unique(number, return_index=True)[1]]
-    raw = b"".join(hashlib.blake2b("\n".join(p).encode("utf-8", "surrogatepass"), digest_size=8).digest() for p in pages)
-    return _hashes(text, names, one, min_words)[number_[few]], np.frombuffer(raw, "<i8")[page[few]]
-
-
-def without(pages: list[list[str]], strings: np.ndarray, min_words: int) -> list[list[str]]:
-    """Blocks of each page without the strings of these hashes."""
-    if not any(pages) or not len(strings):
-        return pages
-    words, text, ends, names = _tokens(pages)
-    start = np.arange(int(ends[-1]))
-    start = start[start + min_words < ends[np.searchsorted(ends, start, "right")]]
-    _, number = np.unique(np.concatenate([strings, _hashes(text, names, start, min_words)]), axis=0, return_inverse=True)
-    known = np.zeros(int(number.max()) + 1, bool)
-    known[number[: len(strings)]] = True
-    return _left(words, text, names, start[known[number[len(strings) :]]], min_words)
+            own = inside
+            break
+    return int.from_bytes(hashlib.blake2b("\n".join(own).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Streams:
+    """The token streams of packed pages: numbers of their words, 2 before each block, 1 after each page, 0 at the end."""
+
+    def __init__(self, packed: list[bytes], keys: np.ndarray):
+        kinds, bodies = [], []
+        for raw in packed:
+            cut = raw.find(b"\n")
+            kinds.append(raw[:cut] if cut >= 0 else raw[:0])
+            bodies.append(raw[cut:] if cut >= 0 else raw[:0])
+        self.raw = b"".join(bodies)
+        data = np.frombuffer(self.raw, np.uint8)
+        bytes_end = np.cumsum([len(b) for b in bodies], dtype=np.int64)
+        kind = np.frombuffer(b"".join(kinds), np.uint8) - 48
+        self.level, self.marked = kind >> 1, (kind & 1).astype(bool)
+        line = data == 10
+        solid = ~line & (data != 32)
+        start = solid & np.append(True, ~solid[:-1]) if len(data) else solid
+        at = np.flatnonzero(line | start)
+        mark = line[at]
+        first, last = at[~mark], np.flatnonzero(solid & np.append(~solid[1:], True)) + 1 if len(data) else at
+        page = np.searchsorted(bytes_end, at, "right")
+        pages = len(packed)
+        self.ends = np.cumsum(np.bincount(page, minlength=pages) + 1)
+        self.text = np.ones(int(self.ends[-1]) + 1 if pages else 1, np.int32)
+        self.text[-1] = 0
+        self.token = np.arange(len(at)) + page  # places of marks and words in the text
+        rep, number = unique_pieces(data, first, last - first) if len(first) else (first, first)
+        self.text[self.token[mark]] = 2
+        self.text[self.token[~mark]] = number + 3
+        words = piece_hashes(_words(data), first[rep], (last - first)[rep]) if len(first) else np.zeros(0, np.uint64)
+        self.hashes = _mix(np.append(np.arange(3, dtype=np.uint64), words))
+        self.mark, self.first, self.last = mark, first, last
+        self.block_page = page[mark]
+        self.block_at = np.append(at[mark] + 1, len(data) + 1)  # bytes
+        self.same = np.unique(keys, return_inverse=True)[1]
+
+    def strings(self, min_words: int, memory: int = 256 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, number of its string, pages that hold it by string) of every ``min_words`` tokens within a page."""
+
+        def fits(positions: np.ndarray) -> np.ndarray:
+            owner = np.minimum(np.searchsorted(self.ends, positions, "right"), len(self.ends) - 1)
+            return positions + min_words < self.ends[owner]
+
+        found = list(picked(sorted_suffixes(self.text, memory), fits)) if len(self.ends) else []
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        start, shared = (np.concatenate(x) for x in zip(*found))
+        number = np.cumsum(shared < min_words) - 1
+        number -= number[0]
+        page = self.same[np.searchsorted(self.ends, start, "right")]
+        pairs = np.unique(number * len(self.ends) + page)
+        return start, number, np.bincount(pairs // len(self.ends))
+
+    def string_hashes(self, start: np.ndarray, min_words: int) -> np.ndarray:
+        """64-bit hash of the ``min_words`` tokens from each ``start`` on, the same in every shard."""
+        h = np.zeros(len(start), np.uint64)
+        for k in range(min_words):
+            h = _mix(h ^ self.hashes[self.text[start + k]])
+        return h
+
+    def covered(self, start: np.ndarray, min_words: int) -> np.ndarray:
+        """Which tokens the strings from each ``start`` on cover."""
+        gone = np.zeros(len(self.text), bool)
+        # what reaches into a next block counts for whole blocks only: an article's ends are not a footer's
+        edge = self.text <= 2
+        before = np.maximum.accumulate(np.where(edge, np.arange(len(edge)), 0))
+        last, across = before[start + min_words], before[start + min_words - 1] > start
+        fine = ~across | edge[start]
+        gone[spread(start[fine], np.where(across, last - start, min_words)[fine])] = True
+        return gone
+
+    def texts(self, gone: np.ndarray) -> list[bytes]:
+        """The text of each page, where ``gone`` tokens are boilerplate."""
+        pages, blocks = len(self.ends), len(self.level)
+        word_block = (np.cumsum(self.mark) - 1)[~self.mark]
+        left = ~gone[self.token[~self.mark]]
+        whole = np.bincount(word_block, minlength=blocks)
+        unique = np.bincount(word_block, left, blocks)
+        rank = np.zeros(pages, np.int8)
+        for r in (1, 2, 3):
+            inside = ~self.marked & (self.level >= r)
+            outside = ~self.marked & ~inside
+            won = np.bincount(self.block_page, whole * inside, pages) > np.bincount(self.block_page, unique * outside, pages)
+            rank[won] = r
+        kept = ~self.marked & (self.level >= rank[self.block_page])
+        closed = rank[self.block_page] > 0
+        bounds = np.append(0, np.cumsum(whole))
+        out: list[list[bytes]] = [[] for _ in range(pages)]
+        for b in np.flatnonzero(kept & (closed | (unique > 0))).tolist():
+            if closed[b] or unique[b] == whole[b]:
+                out[self.block_page[b]].append(self.raw[self.block_at[b] : self.block_at[b + 1] - 1])
+            else:
+                own = np.flatnonzero(left[bounds[b] : bounds[b + 1]]) + bounds[b]
+                out[self.block_page[b]].append(b" ".join(self.raw[i:j] for i, j in zip(self.first[own].tolist(), self.last[own].tolist())))
+        return [b"\n".join(x) for x in out]
+
+
+def unique_runs(pages: list[str], min_words: int = 6, min_pages: int = 3) -> list[str]:
+    """The texts of pages (html) of one host."""
+    blocks = [blocks_of(p) for p in pages]
+    streams = Streams([pack(b) for b in blocks], np.array([content_key(b) for b in blocks], np.int64))
+    start, number, many = streams.strings(min_words)
+    return [t.decode("utf-8", "surrogatepass") for t in streams.texts(streams.covered(start[many[number] >= min_pages], min_words))]
 
 
 def extract(pages: DataFrame, min_words: int = 6, min_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text (blocks joined by newlines), n_chars."""
     small_batches(pages.sparkSession)
-    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
+    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    source = source.withColumn("bucket", F.pmod(F.xxhash64("host"), F.lit(HOST_BUCKETS)).cast("int"))
     kind = source.schema["id"].dataType.simpleString()
+    # a few bytes for each of HOST_BUCKETS buckets at most, whatever the table holds
+    large = source.groupBy("bucket").count().where(F.col("count") > SHARD_PAGES).select("bucket", F.ceil(F.col("count") / SHARD_PAGES).cast("int").alias("shards"))
+    source = source.join(F.broadcast(large), "bucket", "left").drop("bucket")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, "html"):
-            found = [blocks_of(h or "") for h in batch.column("html").to_pylist()]
-            closed = pa.array([m or not b for b, m in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array([b for b, _ in found], pa.list_(pa.string())), closed], ["id", "url", "blocks", "closed"])
+            blocks = [blocks_of(h or "") for h in batch.column("html").to_pylist()]
+            keys = np.array([content_key(b) for b in blocks], np.int64)
+            shards = batch.column("shards").fill_null(1).to_numpy().astype(np.int64)
+            packed = pa.array([press.compress(pack(b)) for b in blocks], pa.binary())
+            columns = [batch.column("host"), pa.array((keys % shards).astype(np.int32)), pa.array(shards.astype(np.int32)), batch.column("id"), batch.column("url"), pa.array(keys), packed]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "shard", "shards", "id", "url", "key", "packed"])
 
-    parsed = staged(source.mapInArrow(read, f"id {kind}, url string, blocks array<string>, closed boolean"), "pages")
-    open_ = parsed.where("NOT closed").withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1)))
-    # at most one host in SHARD_PAGES rows is large
-    large = open_.groupBy("host").agg(F.ceil(F.count("*") / SHARD_PAGES).cast("int").alias("shards")).where(F.col("shards") > 1)
-    open_ = open_.join(F.broadcast(large), "host", "left").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")))
-    open_ = open_.select("host", "shard", "id", "url", "blocks")
+    form = f"host string, shard int, shards int, id {kind}, url string, key bigint, packed binary"
 
-    def cleaned(group: pa.Table, blocks: list[list[str]]) -> pa.Table:
-        return pa.table({"id": group.column("id"), "url": group.column("url"), "blocks": pa.array(blocks, pa.list_(pa.string()))})
+    def streams(group: pa.Table) -> Streams:
+        open_ = zstandard.ZstdDecompressor()
+        return Streams([open_.decompress(x.as_py()) for x in group.column("packed")], group.column("key").to_numpy())
 
-    def whole(group: pa.Table) -> pa.Table:
-        return cleaned(group, unique_runs(group.column("blocks").to_pylist(), min_words, min_pages))
+    def written(group: pa.Table, texts: list[bytes]) -> pa.Table:
+        return pa.table({"id": group.column("id"), "url": group.column("url"), "text": pa.array(texts, pa.binary()).cast(pa.string())})
 
-    def strings(group: pa.Table) -> pa.Table:
-        found, page = shard_strings(group.column("blocks").to_pylist(), min_words, min_pages)
-        keys = {c: pa.repeat(group.column(c)[0], len(page)) for c in ("host", "shard")}
-        return pa.table(keys | {"a": found[:, 0].copy(), "b": found[:, 1].copy(), "page": page})
+    def whole(group: pa.Table) -> pa.Table:
+        own = streams(group)
+        start, number, many = own.strings(min_words)
+        return written(group, own.texts(own.covered(start[many[number] >= min_pages], min_words)))
+
+    def sent(group: pa.Table) -> pa.Table:
+        """Hashes (six bytes each, without the range) and pages of a shard's strings, by range of hashes."""
+        own = streams(group)
+        start, number, many = own.strings(min_words)
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        h = own.string_hashes(start[first], min_words)
+        parts = min(1 << 16, PARTS * group.column("shards")[0].as_py())
+        part = (h & np.uint64(0xFFFF)).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        values = (h[order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+        counts = np.minimum(many[order], min(min_pages, 255)).astype(np.uint8)
+        rows = [(p, values[a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        keys = {c: pa.repeat(group.column(c)[0], len(rows)) for c in ("host", "shard")}
+        return pa.table(keys | {"part": pa.array([r[0] for r in rows], pa.int32()), "strings": pa.array([r[1] for r in rows], pa.binary()), "pages": pa.array([r[2] for r in rows], pa.binary())})
+
+    def met(group: pa.Table) -> pa.Table:
+        own = [_six(x.as_py()) for x in group.column("strings")]
+        _, number = np.unique(np.concatenate(own), return_inverse=True)
+        total = np.bincount(number, np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in group.column("pages")]))
+        often = (total >= min_pages)[number]
+        cut = np.cumsum([0, *map(len, own)])
+        kept = [x[often[a:b]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x, a, b in zip(own, cut, cut[1:])]
+        return pa.table({c: group.column(c) for c in ("host", "shard", "part")} | {"strings": pa.array(kept, pa.binary())})
 
     def apart(group: pa.Table, gone: pa.Table) -> pa.Table:
-        found = np.stack([gone.column(c).to_numpy() for c in ("a", "b")], axis=1)
-        return cleaned(group, without(group.column("blocks").to_pylist(), found, min_words))
-
-    kept = f"id {kind}, url string, blocks array<string>"
-    small, shards = open_.where("shard IS NULL"), open_.where("shard IS NOT NULL")
-    met = shards.groupBy("host", "shard").applyInArrow(strings, "host string, shard bigint, a bigint, b bigint, page bigint")
-    met = met.groupBy("host", "a", "b").agg(F.size(F.collect_set("page")).alias("n"), F.collect_set("shard").alias("shards")).where(F.col("n") >= min_pages)
-    boilerplate = met.select("host", F.explode("shards").alias("shard"), "a", "b")
+        own = streams(group)
+        start = np.arange(len(own.text) - 1)
+        start = start[start + min_words < own.ends[np.searchsorted(own.ends, start, "right")]]
+        h = own.string_hashes(start, min_words)
+        parts = min(1 << 16, PARTS * group.column("shards")[0].as_py())
+        mine = (h & ~np.uint64(0xFFFF)) | ((h & np.uint64(0xFFFF)) % np.uint64(parts))
+        known = [(_six(x.as_py()) << np.uint64(16)) | np.uint64(p.as_py()) for x, p in zip(gone.column("strings"), gone.column("part"))]
+        hit = np.isin(mine, np.concatenate(known)) if known else np.zeros(len(mine), bool)
+        return written(group, own.texts(own.covered(start[hit], min_words)))
+
+    kept = f"id {kind}, url string, text string"
+    small = source.where("shards IS NULL").mapInArrow(read, form).groupBy("host").applyInArrow(whole, kept)
     keys = ["host", "shard"]
-    dealt = shards.groupBy(*keys).cogroup(boilerplate.groupBy(*keys)).applyInArrow(apart, kept)
-    cleaned_ = small.groupBy("host").applyInArrow(whole, kept).unionByName(dealt)
-    done = parsed.where("closed").select("id", "url", "blocks").unionByName(cleaned_)
-    text = F.array_join("blocks", "\n")
-    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
+    split = source.where("shards IS NOT NULL").mapInArrow(read, form)
+    strings = split.groupBy(*keys).applyInArrow(sent, "host string, shard int, part int, strings binary, pages binary")
+    boilerplate = strings.groupBy("host", "part").applyInArrow(met, "host string, shard int, part int, strings binary")
+    done = small.unionByName(split.groupBy(*keys).cogroup(boilerplate.groupBy(*keys)).applyInArrow(apart, kept))
+    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def _six(raw: bytes) -> np.ndarray:
+    """Numbers of six bytes each."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import _words, code_points, piece_hashes, ragged, slices, small_batches, spread, staged
+from tarnwork.llm.common import _mix, _words, code_points, piece_hashes, ragged, slices, small_batches, spread, staged
 from tarnwork.llm.ragged_bpe import LETTER, NUMBER, classes
 from tarnwork.operators.graph import components
 
@@ -52,11 +52,6 @@ def _folded() -> np.ndarray:
     return out
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _ODD
-    return x ^ (x >> np.uint64(29))
-
-
 def shingles(data: np.ndarray, at: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shingle hashes, their counts, how many each row has, 128-bit key of each row's words as two columns).
 
