@@ -1,15 +1,16 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 One model per language is learned from at most ``train_docs`` labelled documents of that language
-(those with the smallest hash of their id; a documented bound). Texts are lower-cased; every run of
+(those with the smallest hash of their id) and ``train_bytes`` of text of all languages (the first of each
+language, then the second, ...; none longer than a 64th of it): documented bounds. Texts are lower-cased; every run of
 characters other than letters is one blank; characters are 16-bit codes, so an n-gram of four is one
 64-bit key. Each order's continuation counts are interpolated with absolute discounts. The finished
 log-probabilities lie in sorted hash arrays (mixed keys, one row of values for all languages, an index
 of the leading bits), which are broadcast: their size is bounded by the training bound, not by the data.
 A text's language has the lowest cross-entropy per character. ``score`` is the calibrated probability
-of that choice: a softmax over the per-character differences times a temperature fitted on the
-training texts, halved or worse where the text's cross-entropy lies far above what training texts of
-the language show. A text is rejected if its score is below ``reject_below`` or it has no letter.
+of that choice: a softmax over the per-character differences times a temperature fitted on labelled
+texts kept back from learning, halved or worse where the text's cross-entropy lies far above what such
+texts of the language show. A text is rejected if its score is below ``reject_below`` or it has no letter.
 
 Null, empty and letterless texts are ``und`` with score 0. Ties go to the language that sorts first.
 Whole texts are scored; repeated rows each give a row; extra columns are ignored; an empty table, or
@@ -32,6 +33,8 @@ from tarnwork.llm.ragged_bpe import LETTER, classes
 
 ORDER = 4
 BLANK = 32
+#: Bytes of text that are scored at a time (about 100 bytes of memory for each).
+STEP_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,7 +118,7 @@ class Model:
     contexts: list[HashArrays]
     floor: float
     temperature: float = 1.0
-    usual: np.ndarray | None = None  # mean cross-entropy of each language's own texts
+    usual: np.ndarray | None = None  # median cross-entropy of each language's own texts
     far: np.ndarray | None = None  # and its spread
 
     def losses(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +189,7 @@ def _kneser_ney(codes: np.ndarray, offsets: np.ndarray, alphabet: int) -> list[t
 
 
 def train(texts: list[str], languages: list[str]) -> Model | None:
-    """Models of all languages from labelled texts."""
+    """Models of all languages from labelled texts; every fifth text of a language with ten or more is kept back for calibration."""
     names = sorted(set(languages))
     if not names:
         return None
@@ -194,9 +197,13 @@ def train(texts: list[str], languages: list[str]) -> Model | None:
     codes, offsets, _ = letters_of(data, at)
     alphabet = len(np.unique(codes)) + 1
     label = np.array([names.index(x) for x in languages])
+    nth = np.zeros(len(label), np.int64)
+    for k in range(len(names)):
+        nth[label == k] = np.arange((label == k).sum())
+    back = (np.bincount(label)[label] >= 10) & (nth % 5 == 4)
     own = []
     for k in range(len(names)):
-        rows = np.flatnonzero(label == k)
+        rows = np.flatnonzero((label == k) & ~back)
         parts = [codes[offsets[r] : offsets[r + 1]] for r in rows]
         own.append(_kneser_ney(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), alphabet))
     floor = -np.log(alphabet)
@@ -221,12 +228,14 @@ def train(texts: list[str], languages: list[str]) -> Model | None:
             keys = np.unique(np.concatenate([m[n - 1][2] for m in own]))
             contexts.append(HashArrays(keys, np.array([[backs[k][n - 1].get(key, 0.0) for k in range(len(names))] for key in keys.tolist()]).reshape(-1, len(names))))
     model = Model(names, orders, contexts, float(floor))
-    loss, n = model.losses(codes, offsets)
+    judged = np.array([back[label == k].any() for k in range(len(names))])[label] <= back  # others are judged on what they were learned from
+    loss, n = (x[judged] for x in model.losses(codes, offsets))
+    label = label[judged]
     mine = loss[np.arange(len(label)), label]
     model.usual = np.array([np.median(mine[label == k]) for k in range(len(names))])
     model.far = np.array([max(0.05, 1.4826 * np.median(np.abs(mine[label == k] - model.usual[k]))) for k in range(len(names))])
     best = (np.inf, 1.0)
-    for temperature in np.geomspace(0.05, 50, 31):  # least log loss on the training texts
+    for temperature in np.geomspace(0.05, 50, 31):  # least log loss on these texts
         gap = (loss - loss.min(axis=1)[:, None]) * temperature * np.sqrt(np.maximum(n, 1))[:, None]
         logp = -gap[np.arange(len(label)), label] - np.log(np.exp(-gap).sum(axis=1))
         best = min(best, (-np.mean(np.maximum(logp, -20)), temperature))
@@ -234,16 +243,25 @@ def train(texts: list[str], languages: list[str]) -> Model | None:
     return model
 
 
-def fit(docs: DataFrame, train_docs: int = 300, modulus: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """The model of at most ``train_docs`` documents a language, none with crc32(id) % modulus = held_out."""
+def fit(docs: DataFrame, train_docs: int = 300, train_bytes: int = 16 << 20, languages: int = 1000, modulus: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """The model of at most ``train_docs`` documents of each of the ``languages`` most frequent languages, none with crc32(id) % modulus = held_out."""
     known = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0) & (crc_mod(id_col, modulus) != held_out))
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.octet_length(text_col).alias("n")).where(F.col("n") <= train_bytes // 64)
+    # hashes up to a bar hold about four times as many as are wanted, so no language is gathered
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    bars = counts.select("lang", F.greatest(F.lit(1), F.ceil(F.lit(4.0 * train_docs * (1 << 20)) / F.col("count"))).alias("bar"))
     order = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
-    chosen = chosen.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= train_docs).select("id", "lang")
-    ids = [r["id"] for r in chosen.collect()]
+    some = known.join(F.broadcast(bars), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("bar"))
+    chosen = some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= train_docs).select("id", "lang", "n", "nth").collect()
+    ids, left = [], train_bytes
+    for r in sorted(chosen, key=lambda r: (r["nth"], r["lang"])):
+        if r["n"] <= left:
+            ids.append(r["id"])
+            left -= r["n"]
     if not ids:
         return None
-    rows = known.where(F.col(id_col).isin(ids)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).collect()
+    own = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isin(ids))
+    rows = own.select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(lang_col).alias("lang")).collect()
     rows.sort(key=lambda r: (r["lang"], r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
@@ -257,7 +275,7 @@ def identify(docs: DataFrame, model: Model | None, modulus: int = 3, held_out: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP_BYTES):
             codes, offsets, lettered = letters_of(*ragged(batch.column("text")))
             names, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             if model is not None:
@@ -282,4 +300,4 @@ def keep(docs: DataFrame, model: Model | None, reject_below: float = 0.02, text_
             return lettered & False
         return lettered & (shared.value.judge(*shared.value.losses(codes, offsets))[1] >= reject_below)
 
-    return filtered(docs, text_col, accepted)
+    return filtered(docs, text_col, accepted, STEP_BYTES)

@@ -7,8 +7,9 @@ Forward-backward gives each line's marginal probability of being good; a documen
 mean weighted by line length, calibrated by a logistic curve.
 
 The field is fitted on at most ``train_docs`` labelled documents of each class (those with the smallest
-hash of their id; a documented bound), with the document's label given to its lines; calibration
-weighs the two classes as often as the labels have them. Scoring is a map over whole texts.
+hash of their id) and ``train_bytes`` of text (in that order, none longer than a 64th of it): documented
+bounds. The document's label is given to its lines; calibration weighs the two classes as often as the
+labels have them. Scoring is a map over whole texts.
 
 Lines are parted by newlines; empty lines are skipped; null, empty and all-blank texts count as one
 empty line. Without labels of both classes every text scores the share of good labels (0.5 if there
@@ -21,10 +22,11 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.llm.common import _words, code_points, crc_mod, filtered, piece_hashes, ragged, slices, small_batches
@@ -33,6 +35,8 @@ from tarnwork.llm.ragged_bpe import LETTER, NUMBER, SPACE, classes
 BLANK, LOWER, UPPER, DIGIT, STOP, COMMA, SHOUT, BAR, SIGN, MARK, REST = range(11)
 KINDS = 11
 BINS = 8
+#: Bytes of text whose lines are described at a time (about 100 bytes of memory for each).
+STEP_BYTES = 1 << 20
 
 
 @lru_cache(1)
@@ -111,6 +115,16 @@ def line_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.stack([np.asarray(f, float) for f in features], axis=1), row, chars
 
 
+def features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of any number of texts, a few at a time."""
+    parts, rows = [], 0
+    for batch in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])], limit=STEP_BYTES):
+        features, row, chars = line_features(*ragged(batch.column("text")))
+        parts.append((features, row + rows, chars))
+        rows += batch.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def chain(u: np.ndarray, sizes: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward and backward log-odds of label 1, and the order that was used; ``u``: log-odds of each line alone.
 
@@ -182,7 +196,7 @@ class Field:
 
 def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), rounds: int = 160, ridge: float = 1e-3) -> Field:
     """Fit by gradient steps (Adam) on the labels' likelihood; ``weights`` of the classes 0 and 1 in calibration."""
-    features, row, chars = line_features(*ragged(pa.array(texts, pa.large_string())))
+    features, row, chars = features_of(texts)
     y_doc = np.array(labels, float)
     sizes = np.bincount(row, minlength=len(texts))
     y = y_doc[row]
@@ -236,20 +250,29 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, modulus: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, train_bytes: int = 32 << 20, modulus: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
     """The field of at most ``train_docs`` documents of each class, none with crc32(id) % modulus = held_out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & (crc_mod(id_col, modulus) != held_out))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    if len(counts) < 2:
-        return Field([], np.zeros((3, 0, BINS)), np.zeros(3), np.zeros((2, 2)), prior=float(next(iter(counts), 0.5)))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= train_docs).select("id", "y").collect()
-    label = {r["id"]: r["y"] for r in chosen}
-    rows = docs.where(F.col(id_col).isin(list(label))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).collect()
-    rows = sorted(((r["id"], r["text"] or "") for r in rows))
+    prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    # the first by hash of each class: every task sends its own first ones, no class is gathered
+    firsts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(train_docs).collect() for y in sorted(counts)] if len(counts) == 2 else []
+    label, order = {}, []
+    for pair in zip_longest(*firsts):
+        for r in filter(None, pair):
+            label.setdefault(r["id"], r["y"])
+            order.append(r["id"])
+    source = docs.where(F.col(id_col).isin(list(label))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    size = {r["id"]: r["n"] for r in source.groupBy("id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).collect()}
+    chosen, left = [], train_bytes
+    for i in dict.fromkeys(order):
+        if i in size and size[i] <= min(left, train_bytes // 64):
+            chosen.append(i)
+            left -= size[i]
+    rows = sorted((r["id"], r["text"] or "") for r in source.where(F.col("id").isin(chosen)).collect()) if chosen else []
     ys = [label[i] for i, _ in rows]
     if len(set(ys)) < 2:
-        return Field([], np.zeros((3, 0, BINS)), np.zeros(3), np.zeros((2, 2)), prior=counts.get(1, 0) / sum(counts.values()))
+        return Field([], np.zeros((3, 0, BINS)), np.zeros(3), np.zeros((2, 2)), prior=prior)
     have = {y: ys.count(y) for y in (0, 1)}
     return train([t for _, t in rows], ys, tuple(counts[y] / have[y] * len(ys) / sum(counts.values()) for y in (0, 1)))
 
@@ -262,7 +285,7 @@ def score(docs: DataFrame, field: Field, threshold: float = 0.3, modulus: int =
     source = docs.select(F.col(id_col).alias("id"), (crc_mod(id_col, modulus) == held_out).alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=STEP_BYTES):
             s = shared.value.scores(*ragged(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
@@ -274,4 +297,4 @@ def keep(docs: DataFrame, field: Field, threshold: float = 0.3, text_col: str =
     """The rows of ``docs`` that score at least ``threshold``, with their columns; a map without a join."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    return filtered(docs, text_col, lambda text: shared.value.scores(*ragged(text)) >= threshold)
+    return filtered(docs, text_col, lambda text: shared.value.scores(*ragged(text)) >= threshold, STEP_BYTES)
