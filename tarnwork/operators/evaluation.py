@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,19 +42,18 @@ def match_greedy(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, image:
     order = Window.partitionBy(image, "gt_idx").orderBy(F.desc("iou"), "pred_idx")
     alone = pairs.join(crowded, image, "left_anti").withColumn("_nth", F.row_number().over(order))
     alone = alone.where((F.col("_nth") == 1) & (F.col("iou") >= threshold)).drop("_nth")  # one box: nothing to contend for
+    # an image's boxes, each with its predictions from the best on, are folded into the matches so far
+    rivals = pairs.join(crowded, image, "left_semi").groupBy(image, "gt_idx").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("less"), "pred_idx", "conf", "iou"))).alias("made"))
+    by_image = rivals.groupBy(image).agg(F.sort_array(F.collect_list(F.struct("gt_idx", "made"))).alias("boxes"))
+    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    none = F.array().cast(f"array<struct<gt_idx:{kind['gt_idx']},pred_idx:{kind['pred_idx']},conf:{kind['conf']},iou:double>>")
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, own in p.sort_values(["gt_idx", "pred_idx"]).groupby("gt_idx"):
-            free = own[~own.pred_idx.isin(used)]
-            if len(free):
-                top = free.loc[free.iou.idxmax()]
-                if top.iou >= threshold:
-                    used.add(top.pred_idx)
-                    out.append(top)
-        return pd.DataFrame(out, columns=p.columns)
+    def take(found: Column, box: Column) -> Column:
+        free = F.filter(box["made"], lambda p: ~F.exists(found, lambda m: m["pred_idx"] == p["pred_idx"]))
+        return F.concat(found, F.transform(F.filter(F.slice(free, 1, 1), lambda p: p["iou"] >= threshold), lambda p: F.struct(box["gt_idx"].alias("gt_idx"), p["pred_idx"].alias("pred_idx"), p["conf"].alias("conf"), p["iou"].alias("iou"))))
 
-    return alone.unionByName(pairs.join(crowded, image, "left_semi").groupBy(image).applyInPandas(one, pairs.schema))
+    matched = by_image.select(image, F.explode(F.aggregate("boxes", none, take)).alias("m")).select(image, "m.*")
+    return alone.unionByName(matched)
 
 
 def examples(gt: DataFrame, pred: DataFrame, matches: DataFrame, image: str = "image") -> DataFrame:
@@ -75,13 +73,17 @@ def empty_examples(spark) -> DataFrame:
     return spark.createDataFrame([], EXAMPLES)
 
 
+def with_ratios(counts: DataFrame) -> DataFrame:
+    """precision, recall and f1 (0 where undefined) beside tp, fp, fn."""
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    out = counts.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
+    return out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
 def precision_recall(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, precision, recall, f1 of an example table (0 where undefined)."""
     counts = [F.count_if(F.col("categoria") == c).alias(n) for c, n in ((HIT, "tp"), (FALSE, "fp"), (MISS, "fn"))]
-    out = df.groupBy(*(by or [])).agg(*counts)
-    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    out = out.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
-    return out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    return with_ratios(df.groupBy(*(by or [])).agg(*counts))
 
 
 def require_ground_truth(gt: DataFrame) -> None:
@@ -94,70 +96,77 @@ def require_unlocked(split: str, allow_test: bool) -> None:
         raise PermissionError("the test split needs allow_test")
 
 
-def true_positives(pairs: DataFrame, pred: DataFrame, thresholds: list[float], image: str = "image") -> DataFrame:
-    """threshold, conf, tp for every prediction: by falling confidence each takes its best free box of enough overlap.
+def true_positives(gt: DataFrame, pred: DataFrame, thresholds: list[float], image: str = "image") -> DataFrame:
+    """cls, threshold, conf, n, tp: predictions and true positives of every class, threshold and distinct confidence.
 
-    ``pairs``: overlaps of one class. With one box an image that is the first prediction that overlaps enough.
+    A prediction goes for the box of its class that it overlaps most (then the first); of those that go for one
+    box and overlap it enough, the most confident (then the first) is the true positive. So a prediction is one at the
+    thresholds above the best overlap of its more confident rivals and up to its own; thresholds need no row each
+    until confidences are counted.
     """
-    at = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
-    hits = pairs.select("*", at).where(F.col("iou") >= F.col("threshold"))
-    order = Window.partitionBy("threshold", image, "gt_idx").orderBy(F.desc("conf"), "pred_idx")
-    first = hits.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select("threshold", image, "pred_idx").distinct().withColumn("tp", F.lit(1))
-    return pred.select("*", at).join(first, ["threshold", image, "pred_idx"], "left").select("threshold", "conf", F.coalesce("tp", F.lit(0)).alias("tp"))
+    first = Window.partitionBy(image, "pred_idx").orderBy(F.desc("iou"), "gt_idx")
+    rivals = Window.partitionBy(image, "gt_idx").orderBy(F.desc("conf"), "pred_idx").rowsBetween(Window.unboundedPreceding, -1)
+    own = overlaps(gt, pred, image, by_class=True).where(F.col("iou") >= min(thresholds)).withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    own = own.withColumn("_rival", F.coalesce(F.max("iou").over(rivals), F.lit(0.0)))
+    hit = [((F.col("iou") >= t) & (F.col("_rival") < t)).cast("int").alias(f"_{k}") for k, t in enumerate(thresholds)]
+    scored = pred.select(image, "pred_idx", "cls", "conf").join(own.select(image, "pred_idx", *hit), [image, "pred_idx"], "left")
+    counted = scored.groupBy("cls", "conf").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"_{k}"), F.lit(0)).alias(f"_{k}") for k in range(len(thresholds))])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"_{k}").alias("tp")) for k, t in enumerate(thresholds)])).alias("e")
+    return counted.select("cls", "conf", "n", each).select("cls", "e.threshold", "conf", "n", "e.tp")
 
 
-def curve(scored: DataFrame, positives: int) -> DataFrame:
-    """threshold, conf, recall, precision, envelope at every distinct confidence.
+def curve(scored: DataFrame, gt: DataFrame) -> DataFrame:
+    """cls, threshold, conf, recall, precision, envelope at every distinct confidence; classes without a box have no curve.
 
     Confidences fall into cells; running totals are made within cells and carried over by cell totals, so no task
     holds a whole curve. The envelope is the best precision at this recall or more.
     """
-    c = F.col
-    points = scored.groupBy("threshold", "conf").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
-    points = points.withColumn("cell", F.floor(F.col("conf") * CONFIDENCE_CELLS).cast("int"))
-    cells = points.groupBy("threshold", "cell").agg(F.sum("tp").alias("ctp"), F.sum("n").alias("cn"))
-    over = Window.partitionBy("threshold").orderBy(F.desc("cell"))
-    cells = cells.select("threshold", "cell", (F.sum("ctp").over(over) - c("ctp")).alias("tp0"), (F.sum("cn").over(over) - c("cn")).alias("n0"))
-    inner = Window.partitionBy("threshold", "cell").orderBy(F.desc("conf"))
-    points = points.join(cells, ["threshold", "cell"])
+    c, keys = F.col, ["cls", "threshold"]
+    points = scored.withColumn("cell", F.floor(F.col("conf") * CONFIDENCE_CELLS).cast("int"))
+    cells = points.groupBy(*keys, "cell").agg(F.sum("tp").alias("ctp"), F.sum("n").alias("cn"))
+    over = Window.partitionBy(*keys).orderBy(F.desc("cell"))
+    cells = cells.select(*keys, "cell", (F.sum("ctp").over(over) - c("ctp")).alias("tp0"), (F.sum("cn").over(over) - c("cn")).alias("n0"))
+    inner = Window.partitionBy(*keys, "cell").orderBy(F.desc("conf"))
+    points = points.join(cells, [*keys, "cell"]).join(gt.groupBy("cls").agg(F.count("*").alias("positives")), "cls")
     points = points.withColumn("run_tp", c("tp0") + F.sum("tp").over(inner)).withColumn("run_n", c("n0") + F.sum("n").over(inner))
-    points = points.withColumn("recall", c("run_tp") / F.lit(float(positives))).withColumn("precision", c("run_tp") / c("run_n"))
-    tops = points.groupBy("threshold", "cell").agg(F.max("precision").alias("top"))
-    later = Window.partitionBy("threshold").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("threshold", "cell", F.coalesce(F.max("top").over(later), F.lit(0.0)).alias("below"))
-    tail = Window.partitionBy("threshold", "cell").orderBy("conf").rowsBetween(Window.unboundedPreceding, 0)
-    return points.join(tops, ["threshold", "cell"]).select("threshold", "conf", "cell", "recall", "precision", F.greatest("below", F.max("precision").over(tail)).alias("envelope"))
+    points = points.withColumn("recall", c("run_tp") / c("positives")).withColumn("precision", c("run_tp") / c("run_n"))
+    tops = points.groupBy(*keys, "cell").agg(F.max("precision").alias("top"))
+    later = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "cell", F.coalesce(F.max("top").over(later), F.lit(0.0)).alias("below"))
+    tail = Window.partitionBy(*keys, "cell").orderBy("conf").rowsBetween(Window.unboundedPreceding, 0)
+    return points.join(tops, [*keys, "cell"]).select(*keys, "conf", "cell", "recall", "precision", F.greatest("below", F.max("precision").over(tail)).alias("envelope"))
 
 
 def average_precision(points: DataFrame, method: str = "trapz101") -> DataFrame:
-    """threshold, ap from a curve.
+    """cls, threshold, ap from a curve.
 
     exact: area under the envelope's steps. coco101: mean envelope at recalls 0, 0.01 ... 1. trapz101: trapezoid
     area under the line through the curve (starting at recall 0 with precision 1, ending at recall 1 with 0) at
     those recalls; it gives 0.995 for a perfect detector.
     """
     # one point for each recall: the envelope's greatest value there
-    steps = points.groupBy("threshold", "recall").agg(F.max("envelope").alias("high"), F.min("envelope").alias("low"))
+    keys = ["cls", "threshold"]
+    steps = points.groupBy(*keys, "recall").agg(F.max("envelope").alias("high"), F.min("envelope").alias("low"))
     if method == "exact":
-        order = Window.partitionBy("threshold").orderBy("recall")
+        order = Window.partitionBy(*keys).orderBy("recall")
         area = (F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0))) * F.col("high")
-        return steps.withColumn("a", area).groupBy("threshold").agg(F.sum("a").alias("ap"))
+        return steps.withColumn("a", area).groupBy(*keys).agg(F.sum("a").alias("ap"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(100))).alias("k")
     hundredth = F.floor(F.col("recall") * 100 + F.lit(1e-9)).cast("int").alias("k")
     # of each hundredth [k, k + 1) its first and last point, and its first beyond k itself
     exact = F.abs(F.col("recall") - F.col("k") / 100) < 1e-9
-    held = steps.select("*", hundredth).groupBy("threshold", "k").agg(
+    held = steps.select("*", hundredth).groupBy(*keys, "k").agg(
         F.min_by(F.struct("recall", "high", "low"), "recall").alias("first"),
         F.max_by(F.struct("recall", "high", "low"), "recall").alias("last"),
         F.min_by(F.when(exact, F.struct("recall", "high", "low")), "recall").alias("here"),
     )
-    out = steps.select("threshold").distinct().select("threshold", grid).join(held, ["threshold", "k"], "left").withColumn("r", F.col("k") / F.lit(100.0))
-    by = Window.partitionBy("threshold").orderBy("k")
+    out = steps.select(*keys).distinct().select(*keys, grid).join(held, [*keys, "k"], "left").withColumn("r", F.col("k") / F.lit(100.0))
+    by = Window.partitionBy(*keys).orderBy("k")
     out = out.withColumn("next_any", F.first("first", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
     out = out.withColumn("prev_any", F.last("last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
     if method == "coco101":
         value = F.coalesce(F.col("next_any.high"), F.lit(0.0))
-        return out.withColumn("v", value).groupBy("threshold").agg((F.sum("v") / 101).alias("ap"))
+        return out.withColumn("v", value).groupBy(*keys).agg((F.sum("v") / 101).alias("ap"))
     if method != "trapz101":
         raise ValueError(f"unknown method: {method}")
     r0, v0 = F.coalesce(F.col("prev_any.recall"), F.lit(0.0)), F.coalesce(F.col("prev_any.low"), F.lit(1.0))
@@ -165,13 +174,31 @@ def average_precision(points: DataFrame, method: str = "trapz101") -> DataFrame:
     line = F.when(r1 > r0, v0 + (v1 - v0) * (F.col("r") - r0) / (r1 - r0)).otherwise(v1)
     value = F.when(F.col("k") == 100, 0.0).when(F.col("here").isNotNull(), F.col("here.low")).otherwise(line)
     weight = F.when(F.col("k").isin(0, 100), 0.005).otherwise(0.01)
-    return out.withColumn("v", value * weight).groupBy("threshold").agg(F.sum("v").alias("ap"))
+    return out.withColumn("v", value * weight).groupBy(*keys).agg(F.sum("v").alias("ap"))
+
 
+def mean_average_precision(aps: DataFrame, gt: DataFrame) -> DataFrame:
+    """map50, map75, map50_95: means over the classes that have boxes (0 for a class without a prediction) and thresholds."""
+    each = F.struct(F.col("threshold"), F.col("ap"))
+    by_class = aps.groupBy("cls").agg(F.collect_list(each).alias("aps"))  # as many as there are thresholds
+    at = lambda t: F.avg(F.coalesce(F.filter("aps", lambda x: F.abs(x.threshold - t) < 1e-9)[0].ap, F.lit(0.0)))
+    mean = F.aggregate("aps", F.lit(0.0), lambda a, x: a + x.ap) / F.size("aps")
+    out = gt.select("cls").distinct().join(by_class, "cls", "left").agg(at(0.5).alias("map50"), at(0.75).alias("map75"), F.avg(F.coalesce(mean, F.lit(0.0))).alias("map50_95"))
+    return out.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("map50", "map75", "map50_95")])
 
-def mean_average_precision(aps: DataFrame) -> DataFrame:
-    """map50, map75, map50_95 of threshold, ap."""
-    at = lambda t: F.coalesce(F.max(F.when(F.abs(F.col("threshold") - t) < 1e-9, F.col("ap"))), F.lit(0.0))
-    return aps.agg(at(0.5).alias("map50"), at(0.75).alias("map75"), F.coalesce(F.avg("ap"), F.lit(0.0)).alias("map50_95"))
+
+def class_metrics(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, image: str = "image") -> DataFrame:
+    """cls, tp, fp, fn, precision, recall, f1 of every class that has boxes or predictions, matched within classes."""
+    hits = match_greedy(gt, pred, threshold, image, by_class=True).join(gt.select(image, "gt_idx", "cls"), [image, "gt_idx"])
+    counts = [df.groupBy("cls").agg(F.count("*").alias(n)) for df, n in ((gt, "boxes"), (pred, "made"), (hits, "tp"))]
+    out = counts[0].join(counts[1], "cls", "full").join(counts[2], "cls", "left").fillna(0, ["boxes", "made", "tp"])
+    out = out.select("cls", "tp", (F.col("made") - F.col("tp")).alias("fp"), (F.col("boxes") - F.col("tp")).alias("fn"))
+    return with_ratios(out)
+
+
+def mean_metrics(per_class: DataFrame) -> DataFrame:
+    """precision, recall, f1: means over the classes that have boxes."""
+    return per_class.where("tp + fn > 0").agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def select_examples(df: DataFrame, n: int = 15) -> tuple[DataFrame, DataFrame]:
@@ -197,11 +224,17 @@ def infer(images: DataFrame, predictor, schema: str, conf: float = 0.25, limit:
     return images.mapInPandas(lambda batches: (predictor(b) for b in batches), schema).where(F.col("conf") >= conf)
 
 
+THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
+
+
 def evaluate(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, image: str = "image", method: str = "trapz101") -> tuple[DataFrame, DataFrame]:
-    """(example rows, one row of tp, fp, fn, precision, recall, f1, map50, map75, map50_95)."""
+    """(example rows, one row of tp, fp, fn over all, and means over classes: precision, recall, f1, map50, map75, map50_95).
+
+    Examples are matched whatever their class, as the published analysis of errors is; means are of matches within classes.
+    """
     require_ground_truth(gt)
-    pairs = staged(overlaps(gt, pred, image), "pairs")
+    gt, pred = staged(gt, "boxes"), staged(pred, "predictions")
     found = examples(gt, pred, match_greedy(gt, pred, threshold, image), image)
-    scored = true_positives(pairs, pred, [0.5 + 0.05 * k for k in range(10)], image)
-    aps = average_precision(curve(scored, gt.count()), method)
-    return found, precision_recall(found).join(mean_average_precision(aps))
+    aps = average_precision(curve(true_positives(gt, pred, THRESHOLDS, image), gt), method)
+    counts = precision_recall(found).select("tp", "fp", "fn")
+    return found, counts.join(mean_metrics(class_metrics(gt, pred, threshold, image))).join(mean_average_precision(aps, gt))

@@ -476,15 +476,13 @@ _CURVE = f"""{_DET}, thr AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8
 
 def _aps(spark, sf_dir, method):
     gt, pred = _detections(spark, sf_dir)
-    scored = evaluation.true_positives(evaluation.overlaps(gt, pred), pred, [round(0.5 + 0.05 * k, 2) for k in range(10)])
-    return evaluation.average_precision(evaluation.curve(scored, gt.count()), method)
+    return evaluation.average_precision(evaluation.curve(evaluation.true_positives(gt, pred, evaluation.THRESHOLDS), gt), method)
 
 
 @query(f"WITH {_CURVE} SELECT threshold, round(recall, 6) AS recall, round(precision, 6) AS precision, round(envelope, 6) AS envelope FROM env")
 def precision_recall_curve(spark, sf_dir):
     gt, pred = _detections(spark, sf_dir)
-    scored = evaluation.true_positives(evaluation.overlaps(gt, pred), pred, [round(0.5 + 0.05 * k, 2) for k in range(10)])
-    return evaluation.curve(scored, gt.count()).select("threshold", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "envelope")])
+    return evaluation.curve(evaluation.true_positives(gt, pred, evaluation.THRESHOLDS), gt).select("threshold", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "envelope")])
 
 
 @query(f"WITH {_CURVE} SELECT threshold, round(ap, 6) AS ap FROM ap")
@@ -494,7 +492,7 @@ def ap_at_iou(spark, sf_dir):
 
 @query(f"WITH {_CURVE} SELECT round(max(ap) FILTER (WHERE threshold = 0.5), 6) AS map50, round(max(ap) FILTER (WHERE threshold = 0.75), 6) AS map75, round(avg(ap), 6) AS map50_95 FROM ap")
 def map_50_95(spark, sf_dir):
-    out = evaluation.mean_average_precision(_aps(spark, sf_dir, "exact"))
+    out = evaluation.mean_average_precision(_aps(spark, sf_dir, "exact"), _detections(spark, sf_dir)[0])
     return out.select(*[F.round(c, 6).alias(c) for c in ("map50", "map75", "map50_95")])
 
 
@@ -504,10 +502,86 @@ def ap_coco101(spark, sf_dir):
     return _aps(spark, sf_dir, "coco101").select("threshold", F.round("ap", 6).alias("ap"))
 
 
-@query()
+@query(f"""WITH {_CURVE}, grid AS (SELECT unnest(generate_series(0, 100)) AS k), lo AS (SELECT threshold, recall, max(envelope) AS high, min(envelope) AS low FROM env GROUP BY threshold, recall),
+    near AS (SELECT t.threshold, g.k, g.k / 100.0::DOUBLE AS r, min(s.low) FILTER (WHERE abs(s.recall - g.k / 100.0::DOUBLE) < 1e-9) AS here,
+        coalesce(max(s.recall) FILTER (WHERE floor(s.recall * 100 + 1e-9) < g.k), 0) AS r0, coalesce(arg_max(s.low, s.recall) FILTER (WHERE floor(s.recall * 100 + 1e-9) < g.k), 1) AS v0,
+        coalesce(min(s.recall) FILTER (WHERE floor(s.recall * 100 + 1e-9) >= g.k), 1) AS r1, coalesce(arg_min(s.high, s.recall) FILTER (WHERE floor(s.recall * 100 + 1e-9) >= g.k), 0) AS v1
+        FROM thr t CROSS JOIN grid g LEFT JOIN lo s ON s.threshold = t.threshold GROUP BY t.threshold, g.k)
+    SELECT threshold, round(sum(CASE WHEN k IN (0, 100) THEN 0.005 ELSE 0.01 END * CASE WHEN k = 100 THEN 0 WHEN here IS NOT NULL THEN here WHEN r1 > r0 THEN v0 + (v1 - v0) * (r - r0) / (r1 - r0) ELSE v1 END), 6) AS ap FROM near GROUP BY threshold""")
 def ap_trapz101(spark, sf_dir):
-    """The published interpolation; a test holds it against numpy."""
-    return _aps(spark, sf_dir, "trapz101")
+    """The interpolation that explains the published values."""
+    return _aps(spark, sf_dir, "trapz101").select("threshold", F.round("ap", 6).alias("ap"))
+
+
+# --- crowded images of two classes ------------------------------------------------------------------------
+
+
+def _crowd(spark, sf_dir):
+    """Up to three boxes and any number of predictions an order, of two classes, on a common grid so that overlaps tie."""
+    c = F.col
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
+    lines = read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("image"), number.alias("nth"), "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    left = (c("l_quantity") % 5) * 8
+    gt = lines.where("nth <= 3").select("image", c("nth").alias("gt_idx"), (c("nth") % 2).alias("cls"), left.alias("g0"), F.lit(0.0).alias("g1"), (left + 20).alias("g2"), F.lit(30.0).alias("g3"))
+    left = left + F.round(c("l_tax") * 100) / 2 - 2
+    cls = ((c("nth") + F.when(c("l_returnflag") == "R", 1).otherwise(0)) % 2).alias("cls")
+    pred = lines.select("image", c("nth").alias("pred_idx"), cls, (c("l_quantity") / 50).alias("conf"), left.alias("p0"), F.lit(0.0).alias("p1"), (left + 20).alias("p2"), F.lit(30.0).alias("p3"))
+    return gt, pred
+
+
+_BEST = "SELECT image, gt_idx, pred_idx, conf, iou FROM (SELECT p.*, row_number() OVER (PARTITION BY image ORDER BY iou DESC, pred_idx) AS k FROM cpairs p {but} WHERE gt_idx = {g} AND iou > 0 {on}) WHERE k = 1 AND iou >= 0.5"
+_CROWD = f"""clines AS (SELECT l_orderkey AS image, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INTEGER) AS nth, l_quantity, l_tax, l_returnflag FROM lineitem),
+    cgt AS (SELECT image, nth AS gt_idx, nth % 2 AS cls, (l_quantity % 5) * 8 AS g0 FROM clines WHERE nth <= 3),
+    cpred AS (SELECT image, nth AS pred_idx, (nth + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) % 2 AS cls, l_quantity / 50 AS conf, (l_quantity % 5) * 8 + round(l_tax * 100) / 2 - 2 AS p0 FROM clines),
+    cwide AS (SELECT g.image, gt_idx, pred_idx, conf, g.cls, p.cls AS pred_cls, greatest(0, 20 - abs(g0 - p0)) * 30 AS i FROM cgt g JOIN cpred p USING (image)),
+    cpairs AS (SELECT *, i / (1200 - i)::DOUBLE AS iou FROM cwide),
+    m1 AS ({_BEST.format(g=1, but="", on="")}),
+    m2 AS ({_BEST.format(g=2, but="LEFT JOIN (SELECT image, pred_idx, 1 AS taken FROM m1) u USING (image, pred_idx)", on="AND taken IS NULL")}),
+    m3 AS ({_BEST.format(g=3, but="LEFT JOIN (SELECT image, pred_idx, 1 AS taken FROM m1 UNION ALL SELECT image, pred_idx, 1 FROM m2) u USING (image, pred_idx)", on="AND taken IS NULL")}),
+    cm AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)"""
+
+
+@query(f"WITH {_CROWD} SELECT image, gt_idx, pred_idx, round(iou, 6) AS iou FROM cm")
+def match_crowded(spark, sf_dir):
+    return evaluation.match_greedy(*_crowd(spark, sf_dir)).select("image", "gt_idx", "pred_idx", F.round("iou", 6).alias("iou"))
+
+
+@query(f"WITH {_CROWD} SELECT categoria, count(*) AS n FROM (SELECT 'correcto' AS categoria FROM cm UNION ALL SELECT 'omision' FROM cgt ANTI JOIN cm USING (image, gt_idx) UNION ALL SELECT 'falso_positivo' FROM cpred ANTI JOIN cm USING (image, pred_idx)) GROUP BY categoria")
+def crowded_error_categories(spark, sf_dir):
+    gt, pred = _crowd(spark, sf_dir)
+    return evaluation.examples(gt, pred, evaluation.match_greedy(gt, pred)).groupBy("categoria").agg(F.count("*").alias("n"))
+
+
+_CROWD_CLASS = _CROWD.replace("FROM cwide)", "FROM cwide WHERE cls = pred_cls)")
+_CLASS_COUNTS = f"""{_CROWD_CLASS}, cc AS (SELECT cls, CAST(sum(hit) AS BIGINT) AS tp, CAST(sum(made) - sum(hit) AS BIGINT) AS fp, CAST(sum(box) - sum(hit) AS BIGINT) AS fn FROM
+    (SELECT cls, 1 AS box, 0 AS made, 0 AS hit FROM cgt UNION ALL SELECT cls, 0, 1, 0 FROM cpred UNION ALL SELECT cls, 0, 0, 1 FROM cm JOIN cgt USING (image, gt_idx)) GROUP BY cls),
+    cpr AS (SELECT *, {_PRF} FROM cc), cf AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM cpr)"""
+
+
+@query(f"WITH {_CLASS_COUNTS} SELECT cls, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM cf")
+def prf1_by_class(spark, sf_dir):
+    return evaluation.class_metrics(*_crowd(spark, sf_dir)).select("cls", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"WITH {_CLASS_COUNTS} SELECT round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, round(avg(f1), 9) AS f1 FROM cf WHERE tp + fn > 0")
+def prf1_mean(spark, sf_dir):
+    return evaluation.mean_metrics(evaluation.class_metrics(*_crowd(spark, sf_dir))).select(*[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"""WITH {_CROWD_CLASS}, thr AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS threshold),
+    goes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, pred_idx ORDER BY iou DESC, gt_idx) AS k FROM cpairs WHERE iou >= 0.5) WHERE k = 1),
+    won AS (SELECT threshold, image, pred_idx FROM (SELECT *, row_number() OVER (PARTITION BY threshold, image, gt_idx ORDER BY conf DESC, pred_idx) AS r FROM goes, thr WHERE iou >= threshold) WHERE r = 1),
+    pt AS (SELECT p.cls, t.threshold, p.conf, count(w.image) AS tp, count(*) AS n FROM cpred p CROSS JOIN thr t LEFT JOIN won w ON w.threshold = t.threshold AND w.image = p.image AND w.pred_idx = p.pred_idx GROUP BY ALL),
+    run AS (SELECT cls, threshold, conf, sum(tp) OVER w AS rtp, sum(n) OVER w AS rn FROM pt WINDOW w AS (PARTITION BY cls, threshold ORDER BY conf DESC)),
+    pr AS (SELECT r.cls, threshold, conf, rtp / b.boxes::DOUBLE AS recall, rtp / rn::DOUBLE AS precision FROM run r JOIN (SELECT cls, count(*) AS boxes FROM cgt GROUP BY cls) b ON b.cls = r.cls),
+    env AS (SELECT *, max(precision) OVER (PARTITION BY cls, threshold ORDER BY conf) AS envelope FROM pr),
+    st AS (SELECT cls, threshold, recall, max(envelope) AS high FROM env GROUP BY ALL),
+    ap AS (SELECT cls, threshold, sum((recall - prev) * high) AS ap FROM (SELECT *, coalesce(lag(recall) OVER (PARTITION BY cls, threshold ORDER BY recall), 0) AS prev FROM st) GROUP BY ALL)
+    SELECT round(avg(ap) FILTER (WHERE threshold = 0.5), 6) AS map50, round(avg(ap) FILTER (WHERE threshold = 0.75), 6) AS map75, round(avg(ap), 6) AS map50_95 FROM ap""")
+def map_of_classes(spark, sf_dir):
+    gt, pred = _crowd(spark, sf_dir)
+    aps = evaluation.average_precision(evaluation.curve(evaluation.true_positives(gt, pred, evaluation.THRESHOLDS), gt), "exact")
+    return evaluation.mean_average_precision(aps, gt).select(*[F.round(c, 6).alias(c) for c in ("map50", "map75", "map50_95")])
 
 
 def _twentieths(df: DataFrame) -> DataFrame:

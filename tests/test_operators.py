@@ -145,11 +145,61 @@ def test_greedy_matching(spark):
         evaluation.require_unlocked("test", False)
 
 
+def brute_evaluation(gt, pred, threshold):
+    """Matches of each image in order of boxes; true positives by class in falling confidence; plain loops."""
+    def iou(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        both = max(w, 0) * max(h, 0)
+        return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+
+    matches, hits = set(), set()
+    for image in {g[0] for g in gt}:
+        used = set()
+        for g in sorted(g for g in gt if g[0] == image):
+            free = [(-iou(g[3:], p[4:]), p[1]) for p in pred if p[0] == image and p[1] not in used and iou(g[3:], p[4:]) > 0]
+            if free and -min(free)[0] >= threshold:
+                used.add(min(free)[1])
+                matches.add((image, g[1], min(free)[1]))
+    taken = set()
+    for p in sorted(pred, key=lambda p: (-p[3], p[1])):
+        own = [(-iou(g[3:], p[4:]), g[1]) for g in gt if g[0] == p[0] and g[2] == p[2]]
+        if own and -min(own)[0] >= threshold and (p[0], min(own)[1]) not in taken:
+            taken.add((p[0], min(own)[1]))
+            hits.add(p[:2])
+    return matches, hits
+
+
+def test_crowded_images_of_two_classes(spark):
+    rng = random.Random(8)
+    box = lambda: (x := rng.randrange(0, 30, 2), y := rng.randrange(0, 12, 2), x + 10, y + 10)
+    gt = [(i, g, rng.randrange(2), *map(float, box())) for i in range(12) for g in range(rng.randrange(0, 6))]
+    pred = [(i, k, rng.randrange(2), rng.randrange(20) / 20, *map(float, box())) for i in range(12) for k in range(rng.randrange(0, 12))]
+    pred += [(i, 100 + g, c, 0.5, *b) for i, g, c, *b in gt if rng.random() < 0.7]
+    a = spark.createDataFrame(gt, "image int, gt_idx int, cls int, g0 double, g1 double, g2 double, g3 double")
+    b = spark.createDataFrame(pred, "image int, pred_idx int, cls int, conf double, p0 double, p1 double, p2 double, p3 double")
+    for threshold in (0.3, 0.5, 0.75):
+        matches, hits = brute_evaluation(gt, pred, threshold)
+        assert {(r["image"], r["gt_idx"], r["pred_idx"]) for r in evaluation.match_greedy(a, b, threshold).collect()} == matches
+        got = {(r["cls"], r["conf"]): (r["n"], r["tp"]) for r in evaluation.true_positives(a, b, [threshold]).collect()}
+        want = {}
+        for p in pred:
+            n, tp = want.get((p[2], p[3]), (0, 0))
+            want[p[2], p[3]] = (n + 1, tp + (p[:2] in hits))
+        assert got == want
+    found, row = evaluation.evaluate(a, b)
+    metrics = row.first()
+    assert metrics["tp"] == len(brute_evaluation(gt, pred, 0.5)[0]) and 0 < metrics["map50_95"] <= metrics["map50"] <= 1
+    two = evaluation.true_positives(a.where("image < 0").union(spark.createDataFrame([(0, 0, 0, 0.0, 0.0, 10.0, 10.0), (0, 1, 0, 4.0, 0.0, 14.0, 10.0)], a.schema)), b.where("image < 0").union(spark.createDataFrame([(0, 0, 0, 0.9, 0.0, 0.0, 10.0, 10.0), (0, 1, 0, 0.8, 4.0, 0.0, 14.0, 10.0)], b.schema)), [0.3, 0.5])
+    assert sorted((r["conf"], r["tp"]) for r in two.collect()) == [(0.8, 1), (0.8, 1), (0.9, 1), (0.9, 1)]
+
+
 def test_average_precision_against_numpy(spark):
     rng = random.Random(1)
     rows = [(0.5, rng.randrange(30) / 30, int(rng.random() < 0.6)) for _ in range(80)]
     positives = 60
-    points = evaluation.curve(spark.createDataFrame(rows, "threshold double, conf double, tp int"), positives)
+    boxes = lambda n: spark.range(n).select(F.lit(0).alias("cls"))
+    form = "cls int, threshold double, conf double, n int, tp int"
+    points = evaluation.curve(spark.createDataFrame([(0, t, c, 1, hit) for t, c, hit in rows], form), boxes(positives))
     tp = n = 0
     recall, precision = [], []
     for c in sorted({r[1] for r in rows}, reverse=True):
@@ -171,7 +221,7 @@ def test_average_precision_against_numpy(spark):
     got = evaluation.average_precision(points, "trapz101").first()["ap"]
     if high == low:
         assert got == pytest.approx(np.trapezoid(np.interp(grid, np.concatenate([[0], r, [1]]), np.concatenate([[1], high, [0]])), grid))
-    perfect = evaluation.curve(spark.createDataFrame([(0.5, 0.9, 1)] * 4, "threshold double, conf double, tp int"), 4)
+    perfect = evaluation.curve(spark.createDataFrame([(0, 0.5, 0.9, 1, 1)] * 4, form), boxes(4))
     assert evaluation.average_precision(perfect).first()["ap"] == pytest.approx(0.995)
 
 
