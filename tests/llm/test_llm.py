@@ -315,13 +315,15 @@ def test_suffix_dedup_of_shared_and_null_ids(spark):
     assert got == sorted([("1", 150, 149), ("1", 150, 0), ("1", 150, 0), ("2", 150, 150), ("None", 150, 0), ("None", 0, 0), ("3", 0, 0), ("3", 0, 0)])
 
 
-def brute_classes(texts, threshold=0.8):
+def brute_classes(texts, threshold=0.8, rarest=1000):
+    """Classes by all pairs, from words and exact document frequencies; nothing of the operator is used."""
     ids = sorted(texts)
-    h, c, n, key = weighted_minhash.shingles(*ragged(pa.array([texts[i] for i in ids], pa.string())))
-    bits = np.uint32(32 - weighted_minhash.SKETCH_BITS)
-    idf = weighted_minhash.weights(np.bincount(h >> bits, minlength=1 << weighted_minhash.SKETCH_BITS), len(ids))
-    ends = np.cumsum(n)
-    bags = [dict(zip(h[e - k : e].tolist(), (idf[h[e - k : e] >> bits] * c[e - k : e]).tolist())) for e, k in zip(ends, n)]
+    words = [re.findall(r"[^\W_]+", (texts[i] or "").lower()) for i in ids]
+    bags = [Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))) for w in words]
+    df = Counter(s for b in bags for s in b)
+    weight = {s: 1 + np.log(len(ids) / max(n, len(ids) / rarest)) for s, n in df.items()}
+    bags = [{s: c * weight[s] for s, c in b.items()} for b in bags]
+    total = [sum(b.values()) for b in bags]
     parent = list(range(len(ids)))
 
     def find(x):
@@ -329,11 +331,14 @@ def brute_classes(texts, threshold=0.8):
             x = parent[x]
         return x
 
+    where = {}
+    for i, b in enumerate(bags):
+        for s in b:
+            where.setdefault(s, []).append(i)
     for i in range(len(ids)):
-        for j in range(i):
-            a, b = bags[i], bags[j]
-            low = sum(min(v, b.get(k, 0)) for k, v in a.items())
-            if tuple(key[:, i]) == tuple(key[:, j]) or a and low / (sum(a.values()) + sum(b.values()) - low) >= threshold:
+        for j in {j for s in bags[i] for j in where[s] if j < i} | {j for j in range(i) if not words[i] and not words[j]}:
+            low = sum(min(v, bags[j].get(s, 0)) for s, v in bags[i].items())
+            if words[i] == words[j] or low >= threshold * (total[i] + total[j] - low):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return {k: ids[find(i)] for i, k in enumerate(ids)}
@@ -347,20 +352,46 @@ def test_near_duplicates(spark, docs, edge_docs):
     assert weighted_minhash.near_duplicates(edge_docs.limit(0)).count() == 0
 
 
-def test_near_duplicates_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("deepest", [4, 0])
+def test_near_duplicates_in_blocks(spark, monkeypatch, deepest):
+    """Buckets of many blocks, dealt anew or met block by block: near copies, and unlike texts that share a passage."""
     monkeypatch.setattr(weighted_minhash, "BLOCK", 12)
+    monkeypatch.setattr(weighted_minhash, "DEEPEST", deepest)
     rng = random.Random(4)
     base = [f"w{rng.randrange(9999)}" for _ in range(120)]
     texts = {}
     for k in range(40):
         words = list(base)
         for _ in range(k % 5):
-            words[rng.randrange(120)] = f"n{rng.random()}"
+            words[rng.randrange(120)] = f"n{rng.randrange(10**9)}"
         texts[k] = " ".join(words)
+    for k in range(60):
+        texts[100 + k] = " ".join(base[:80] + [f"m{rng.randrange(10**9)}" for _ in range(40)])
+        if k % 6 == 0:
+            texts[200 + k] = texts[100 + k] + " end"
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     assert {r["doc_id"]: r["class_id"] for r in weighted_minhash.near_duplicates(df).collect()} == brute_classes(texts)
 
 
+def test_weights_are_exact_at_any_size(spark, monkeypatch):
+    """Document frequencies above one in RAREST are exact although counters are shared and tasks hand over early."""
+    monkeypatch.setattr(weighted_minhash, "RAREST", 20)
+    monkeypatch.setattr(weighted_minhash, "HELD", 50)
+    rng = random.Random(3)
+    texts = [" ".join([f"c{k}" for k in range(5)] * (i % 3 == 0) + [f"d{i % 40}"] * 5 + [f"r{rng.randrange(10**6)}" for _ in range(30)]) for i in range(300)]
+    w = weighted_minhash.weights(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    h = lambda t: weighted_minhash.shingles(*ragged(pa.array([t])))[0]
+    assert w(h("c0 c1 c2 c3 c4"))[0] == pytest.approx(1 + np.log(3)) and w(h("d7 d7 d7 d7 d7"))[0] == pytest.approx(1 + np.log(20))
+    assert (w(h(texts[1].split(" ", 9)[-1])) == 1 + np.log(20)).all() and len(w.hashes) < 40
+
+
+def test_near_duplicates_of_null_ids(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    df = spark.createDataFrame([(None, "a b c d e f"), (None, "A, b c d e f!"), (4, "a b c d e f"), (None, "x y z"), (7, long), (8, long + " end")], "doc_id bigint, text string")
+    got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in weighted_minhash.near_duplicates(df).collect())
+    assert got == sorted([("None", "4"), ("None", "4"), ("4", "4"), ("None", "None"), ("7", "7"), ("8", "7")])
+
+
 def vectors(spark, n=300, dims=32, odd=True):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(n, dims)).astype(np.float32)
