@@ -1,6 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the signs of a vector, cut into segments of ``segment_bits``. Radius s looks up, for every
+A code is the signs of a vector, cut into segments of about log2(rows) bits (or ``segment_bits``), so that a
+lookup meets a few codes however many rows there are. Radius s looks up, for every
 still open query code, all values of a segment that differ from its own in exactly s bits. With all
 segments searched to s - 1 and j of them to s, every code at a distance below segments * s + j has been
 met, so a query is finished when its k-th best distance is below that; the rest go on with the next
@@ -9,7 +10,8 @@ appears once in all rounds, and only if it is no farther than the k-th best so f
 
 Rows with equal codes are met as one: of each code the k + m smallest ids are kept, m being the most rows
 that one query's id has, which is exact since ties go to the smaller id and a query leaves out only its own rows. Query rows with equal codes are searched
-once. Rounds hand over staged tables; nothing is gathered on the driver.
+once. The radii below ``WHOLE_ROUNDS`` are one round, as their lookups are few. Rounds hand over staged tables; nothing is
+gathered on the driver. Where many codes share the value of a segment, that join's large partitions are split by Spark.
 
 Null vectors and null ids take no part; null, NaN and missing components are 0 bits. With fewer than k other rows all
 are returned. Repeated rows count as rows; extra columns are ignored; an empty table gives no rows.
@@ -17,27 +19,35 @@ are returned. Repeated rows count as rows; extra columns are ignored; an empty t
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import log2
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.llm.common import literal, staged
 
 
-#: Radii below this take all segments in one round: their lookups are few.
+#: Radii below this are searched in one round for all segments.
 WHOLE_ROUNDS = 3
 
 
 def codes(vectors: DataFrame, bits: int, segment_bits: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id and code (array<int>, one number for each segment) of every row with a vector."""
+    """id and code (one number for each segment) of every row with a vector."""
     v = F.col(vector_col)
+    zero = F.lit(0).cast(_kind(segment_bits))
 
     def segment(j: int):
         part = F.slice(v, j * segment_bits + 1, min(segment_bits, bits - j * segment_bits))
-        return F.aggregate(part, F.lit(0), lambda a, x: a * 2 + F.when((x > 0) & ~F.isnan(x), 1).otherwise(0))
+        return F.aggregate(part, zero, lambda a, x: a * 2 + F.when((x > 0) & ~F.isnan(x), 1).otherwise(0))
 
     return vectors.where(v.isNotNull()).select(F.col(id_col).alias("id"), F.array(*[segment(j) for j in range(-(-bits // segment_bits))]).alias("code"))
 
 
+def _kind(segment_bits: int) -> str:
+    return "int" if segment_bits <= 30 else "bigint"
+
+
 def _segment_distances(a: str, b: str):
     return F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
 
@@ -54,23 +64,24 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int =
     index = distinct.select(F.posexplode("code").alias("segment", "value"), F.col("code").alias("near"), "ids")
     still = queries.select("code").distinct().withColumn("far", F.lit(bits_in_all := segments * segment_bits))
     kind = rows.schema["id"].dataType.simpleString()
-    best = rows.sparkSession.createDataFrame([], f"code array<int>, id {kind}, distance int")
+    best = rows.sparkSession.createDataFrame([], f"code array<{_kind(segment_bits)}>, id {kind}, distance int")
     order = Window.partitionBy("code").orderBy("distance", "id")
-    steps = [(s, j) for s in range(segment_bits + 1) for j in (range(segments) if s >= WHOLE_ROUNDS else [None])]
-    for s, only in steps if segments else []:
+    steps = [(range(min(WHOLE_ROUNDS, segment_bits + 1)), None)] + [(range(s, s + 1), j) for s in range(WHOLE_ROUNDS, segment_bits + 1) for j in range(segments)]
+    for radii, only in steps if segments else []:
         probes = still.select("code", "far", F.posexplode("code").alias("segment", "own"))
         probes = probes if only is None else probes.where(F.col("segment") == only)
-        probes = probes.select("code", "far", "segment", "own", F.explode(literal(_masks(segment_bits, s))).alias("mask"))
-        probes = probes.select("code", "far", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        masks = literal([m for s in radii for m in _masks(segment_bits, s)], _kind(segment_bits))
+        probes = probes.select("code", "far", "segment", "own", F.explode(masks).alias("mask"))
+        probes = probes.select("code", "far", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"), F.bit_count("mask").alias("s"))
         # merged: the probes are many more than the size of their source tells the planner
         met = probes.join(index.hint("merge"), ["segment", "value"]).withColumn("apart", _segment_distances("code", "near"))
         met = met.withColumn("distance", F.aggregate("apart", F.lit(0), lambda a, x: a + x)).where(F.col("distance") <= F.col("far"))
-        met = met.where((F.array_min("apart") == s) & (F.array_position("apart", F.lit(s)) == F.col("segment") + 1))
+        met = met.where((F.array_min("apart") == F.col("s")) & (F.array_position("apart", F.col("s")) == F.col("segment") + 1))
         found = met.select("code", F.explode("ids").alias("id"), "distance")
         best = staged(best.unionByName(found).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= enough).drop("nth"), "best")
         last = best.groupBy("code").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
         # nothing nearer than this is unseen: each segment passed at s adds one, each at s - 1 had added its own
-        covered = segments * s + (segments if only is None else only + 1)
+        covered = segments * radii.stop if only is None else segments * radii.start + only + 1
         still = still.select("code").join(last, "code", "left").withColumn("far", F.when(F.col("n") == enough, F.col("last")).otherwise(bits_in_all))
         still = staged(still.where(F.coalesce(F.col("n") < enough, F.lit(True)) | (F.col("far") >= covered)).select("code", "far"), "still")
         if still.isEmpty():
@@ -81,12 +92,16 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int =
 
 
 def _masks(bits: int, ones: int) -> list[int]:
-    return [m for m in range(1 << bits) if m.bit_count() == ones]
+    return [sum(1 << i for i in chosen) for chosen in combinations(range(bits), ones)]
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, segment_bits: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, segment_bits: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest rows by Hamming distance of sign codes, for each row whose id is divisible by ``every``."""
-    bits = vectors.agg(F.max(F.size(vector_col))).first()[0] or 0
-    rows = staged(codes(vectors, max(bits, 0), segment_bits, id_col, vector_col), "rows")
+    whole = vectors.agg(F.max(F.size(vector_col)).alias("bits"), F.count("*").alias("n")).first()
+    bits = max(whole["bits"] or 0, 0)
+    if segment_bits is None:
+        segments = max(1, round(bits / max(8.0, log2(max(whole["n"], 2)))), -(-bits // 32))
+        segment_bits = max(1, -(-bits // segments))
+    rows = staged(codes(vectors, bits, segment_bits, id_col, vector_col), "rows")
     queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
     return top_k(rows, queries, k, segment_bits).withColumnRenamed("id", id_col)

@@ -33,6 +33,8 @@ from tarnwork.llm.ragged_bpe import NUMBER, SPACE, classes, load, split_contract
 
 #: Rows that a bucket of the ranking holds on average.
 BUCKET_ROWS = 50_000
+#: A column of small numbers by which ``pack`` also deals rows, so that rows of one id go to many buckets.
+SALT = "_salt"
 
 
 @lru_cache(2)
@@ -215,13 +217,14 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     total = sum(r["count"] for r in counted)
     slots = plan({r["length"]: r["count"] for r in counted}, capacity)
     buckets = max(8, total // BUCKET_ROWS)
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int"))
+    salt = [SALT] if SALT in pieces.columns else []
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", *salt), F.lit(buckets)).cast("int"))
     before = dealt.groupBy("length", "bucket").count().withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).drop("count")
     ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece")) - 1)
     ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth"))
     order = np.array(sorted(slots), np.int64).reshape(-1, 5)
-    names = [c for c in pieces.columns]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
+    names = [c for c in pieces.columns if c not in salt]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in names) + ", sequence_id bigint, offset bigint"
     scale = np.int64(1) << 40  # ranks stay below it
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,5 +240,6 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack ``docs``: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = staged(tokenize_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
+    pieces = tokenize_pieces(docs, vocabulary, capacity, end_id, id_col, text_col)
+    pieces = staged(pieces.withColumn(SALT, F.pmod(F.monotonically_increasing_id(), F.lit(997)).cast("int")), "pieces")  # parts rows that repeat an id
     return pack(pieces, capacity).withColumnRenamed("id", id_col)

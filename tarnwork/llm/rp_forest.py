@@ -7,8 +7,9 @@ always going on at the smallest margin yet passed over, until the leaves it has
 of the sample. The members of opened leaves are reranked by exact cosine in double precision, leaf by
 leaf, and the best of all leaves are merged. Leaves too large for one task are salted.
 
-``share`` sets recall: for vectors without structure (such as independent directions in 64 dimensions)
-a recall of 0.9 needs near half of all rows, for clustered ones far less.
+``share`` sets recall. Where it is not given, it is measured: some vectors of the sample search the others of it, and the
+least share at which they find ``recall`` of their true k nearest is taken. Vectors without structure (such as
+independent directions in 64 dimensions) need near half of all rows for 0.9, clustered ones far less.
 
 Equal vectors are met as one with their k + 1 smallest ids, which is exact since ties go to the smaller
 id. Vectors that are null, zero, of another dimension than the largest, or hold null or non-finite
@@ -31,6 +32,8 @@ from tarnwork.llm.common import staged
 
 #: Vectors that one rerank block holds on average at most.
 BLOCK_ROWS = 8192
+#: Rows that a leaf holds at least on average, whatever the sample allows.
+LEAF_ROWS = 64
 
 
 @dataclass
@@ -103,26 +106,51 @@ def _matrix(column) -> np.ndarray:
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id and v (array<double>) of the rows that take part."""
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(v.isNotNull() & F.col("id").isNotNull())
+    plain = dict(vectors.dtypes)[vector_col] == "array<float>"  # such vectors travel as they are; all sums are of doubles
+    rows = vectors.select(F.col(id_col).alias("id"), (F.col(vector_col) if plain else F.col(vector_col).cast("array<double>")).alias("v")).where(v.isNotNull() & F.col("id").isNotNull())
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(finite & F.exists(v, lambda x: x != 0))
     dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
     return rows.where(F.size("v") == dims)
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 16, sample_rows: int = 4096, share: float = 0.52, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def measured_share(x: np.ndarray, trees: int, depth: int, k: int, recall: float, tries: int = 80) -> float:
+    """The least share at which the first ``tries`` (unit) vectors find ``recall`` of their k nearest among the others."""
+    tries = min(tries, len(x) // 4)
+    asked, rest = x[:tries], x[tries:]
+    if not tries or len(rest) <= k:
+        return 1.0
+    forest = Forest.fit(rest, trees, depth)
+    needed = []
+    for q in asked:
+        true = np.argpartition(-(rest @ q), k)[:k]
+        seen, covered = np.zeros(len(rest), bool), 0
+        for t, leaf in forest.visit(q, 0.95):
+            rows = forest.leaves[t][leaf]
+            found = true[np.isin(true, rows) & ~seen[true]]
+            needed += [covered / len(rest)] * len(found)  # a leaf is opened if less than the share is covered
+            covered += int((~seen[rows]).sum())
+            seen[rows] = True
+            if seen[true].all():
+                break
+    return float(np.quantile(needed, recall)) + 1e-9
+
+
+def search(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 16, sample_rows: int = 8192, share: float | None = None, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id, score: the k nearest rows found for each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = staged(valid(vectors, id_col, vector_col), "vectors")
     total = rows.count()
-    kind = rows.schema["id"].dataType.simpleString()
+    kind, form = (rows.schema[c].dataType.simpleString() for c in ("id", "v"))
     if not total:
         return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
     ranked = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
     distinct = staged(ranked.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "distinct")
     sample = np.array([r["v"] for r in distinct.orderBy(F.xxhash64("v")).select("v").limit(sample_rows).collect()])
     unit = sample / np.linalg.norm(sample, axis=1)[:, None]
-    depth = max(0, min(7, int(np.log2(len(unit) / 24)) if len(unit) > 24 else 0))
+    depth = max(0, min(int(np.log2(len(unit) / 32)) if len(unit) > 32 else 0, int(np.log2(max(1, total / LEAF_ROWS)))))
+    if share is None:
+        share = measured_share(unit, trees, depth, k, recall)
     forest = spark.sparkContext.broadcast(Forest.fit(unit, trees, depth))
     salts = max(1, -(-total // (BLOCK_ROWS << depth)))
 
@@ -147,8 +175,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 16, sam
 
     asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
     queries = staged(asked.groupBy("v").agg(F.min("id").alias("query")), "queries")  # equal vectors ask once
-    members = distinct.mapInArrow(assign, f"tree int, leaf int, salt int, ids array<{kind}>, v array<double>")
-    visits = queries.select("query", "v").mapInArrow(walk, f"tree int, leaf int, salt int, query {kind}, v array<double>")
+    members = distinct.mapInArrow(assign, f"tree int, leaf int, salt int, ids array<{kind}>, v {form}")
+    visits = queries.select("query", "v").mapInArrow(walk, f"tree int, leaf int, salt int, query {kind}, v {form}")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         who, found, scores = [], [], []
