@@ -40,8 +40,8 @@ from tarnwork.llm.induced_sort import picked, sorted_suffixes
 SHARD_PAGES = 2000
 #: Hosts meet in so many buckets to be counted; a bucket's hosts share a number of shards.
 HOST_BUCKETS = 1 << 20
-#: Ranges of hashes for each shard of a host.
-PARTS = 8
+#: Ranges of hashes for each shard of a host, and for a host at most.
+PARTS, MOST_PARTS = 8, 4096
 TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[ \t\n\r\f\v \u0085  -     　]+")
@@ -326,28 +326,27 @@ def extract(pages: DataFrame, min_words: int = 6, min_pages: int = 3, id_col: st
         return written(group, own.texts(own.covered(start[many[number] >= min_pages], min_words)))
 
     def sent(group: pa.Table) -> pa.Table:
-        """Hashes (six bytes each, without the range) and pages of a shard's strings, by range of hashes."""
+        """Hashes (48 bits, besides the range) and pages of a shard's strings, by range of hashes."""
         own = streams(group)
         start, number, many = own.strings(min_words)
         first = np.flatnonzero(np.diff(number, prepend=-1))
         h = own.string_hashes(start[first], min_words)
-        parts = min(1 << 16, PARTS * group.column("shards")[0].as_py())
+        parts = min(MOST_PARTS, PARTS * group.column("shards")[0].as_py())
         part = (h & np.uint64(0xFFFF)).astype(np.int64) % parts
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((h, part))
         cut = np.searchsorted(part[order], np.arange(parts + 1))
-        values = (h[order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-        counts = np.minimum(many[order], min(min_pages, 255)).astype(np.uint8)
-        rows = [(p, values[a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        values, counts = h[order] >> np.uint64(16), np.minimum(many[order], min_pages)
+        rows = [(p, _rising(values[a:b]), _pressed(counts[a:b].astype("<u4"))) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
         keys = {c: pa.repeat(group.column(c)[0], len(rows)) for c in ("host", "shard")}
         return pa.table(keys | {"part": pa.array([r[0] for r in rows], pa.int32()), "strings": pa.array([r[1] for r in rows], pa.binary()), "pages": pa.array([r[2] for r in rows], pa.binary())})
 
     def met(group: pa.Table) -> pa.Table:
-        own = [_six(x.as_py()) for x in group.column("strings")]
+        own = [_risen(x.as_py()) for x in group.column("strings")]
         _, number = np.unique(np.concatenate(own), return_inverse=True)
-        total = np.bincount(number, np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in group.column("pages")]))
+        total = np.bincount(number, np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), "<u4") for x in group.column("pages")]))
         often = (total >= min_pages)[number]
         cut = np.cumsum([0, *map(len, own)])
-        kept = [x[often[a:b]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x, a, b in zip(own, cut, cut[1:])]
+        kept = [_rising(x[often[a:b]]) for x, a, b in zip(own, cut, cut[1:])]
         return pa.table({c: group.column(c) for c in ("host", "shard", "part")} | {"strings": pa.array(kept, pa.binary())})
 
     def apart(group: pa.Table, gone: pa.Table) -> pa.Table:
@@ -355,9 +354,9 @@ def extract(pages: DataFrame, min_words: int = 6, min_pages: int = 3, id_col: st
         start = np.arange(len(own.text) - 1)
         start = start[start + min_words < own.ends[np.searchsorted(own.ends, start, "right")]]
         h = own.string_hashes(start, min_words)
-        parts = min(1 << 16, PARTS * group.column("shards")[0].as_py())
+        parts = min(MOST_PARTS, PARTS * group.column("shards")[0].as_py())
         mine = (h & ~np.uint64(0xFFFF)) | ((h & np.uint64(0xFFFF)) % np.uint64(parts))
-        known = [(_six(x.as_py()) << np.uint64(16)) | np.uint64(p.as_py()) for x, p in zip(gone.column("strings"), gone.column("part"))]
+        known = [(_risen(x.as_py()) << np.uint64(16)) | np.uint64(p.as_py()) for x, p in zip(gone.column("strings"), gone.column("part"))]
         hit = np.isin(mine, np.concatenate(known)) if known else np.zeros(len(mine), bool)
         return written(group, own.texts(own.covered(start[hit], min_words)))
 
@@ -371,8 +370,19 @@ def extract(pages: DataFrame, min_words: int = 6, min_pages: int = 3, id_col: st
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-def _six(raw: bytes) -> np.ndarray:
-    """Numbers of six bytes each."""
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def _pressed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _rising(values: np.ndarray) -> bytes:
+    """Rising numbers of 48 bits: their steps, byte by byte, compressed."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return _pressed(np.ascontiguousarray(steps[:, :6].T))
+
+
+def _risen(raw: bytes) -> np.ndarray:
+    """The numbers that ``_rising`` has packed."""
+    data = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(6, -1)
+    steps = np.zeros((data.shape[1], 8), np.uint8)
+    steps[:, :6] = data.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
