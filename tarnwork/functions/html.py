@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwork.functions.urls import image_of
 
@@ -85,21 +86,24 @@ def product_metadata(parsed: DataFrame, url_col: str = "url") -> DataFrame:
 
     meta = lambda k: F.try_element_at("meta", F.lit(k))
     name = F.trim(F.replace(F.coalesce(_filled(meta("og:title")), F.col("title"), F.lit("")), F.lit(" — Amarket"), F.lit("")))
-    candidates = F.udf(_first_image, "string")
     out = parsed.withColumn("product_name", name)
     out = out.withColumn("description", F.coalesce(_filled(meta("og:description")), _filled(meta("description")), F.lit("")))
     inner = F.regexp_extract("html", r'"sku"\s*:\s*"([A-Za-z0-9._-]+)"', 1) if "html" in parsed.columns else F.lit("")
     out = out.withColumn("sku_id", F.coalesce(_filled(last_segment_sku(F.col(url_col))), inner))
-    out = out.withColumn("image_url", candidates("meta", "images", "product_name", F.col(url_col)))
+    # candidates in order: three meta keys, images whose text names the product, all images
+    named = F.filter("images", lambda i: (F.length("product_name") > 0) & F.contains(F.lower(i["alt"]), F.lower(F.col("product_name"))))
+    keys = F.array(*[F.coalesce(meta(k), F.lit("")) for k in ("og:image:secure_url", "og:image", "twitter:image")])
+    candidates = F.filter(F.concat(keys, F.transform(named, lambda i: i["url"]), F.transform("images", lambda i: i["url"])), lambda u: F.length(u) > 0)
+    out = out.withColumn("image_url", first_image(candidates, F.col(url_col)))
     reason = F.when(F.length("product_name") == 0, "PRODUCT_NAME_MISSING").when(F.length("sku_id") == 0, "SKU_MISSING").when(F.col("image_url").isNull(), "IMAGE_MISSING")
     return out.withColumn("metadata_reason", reason)
 
 
-def _first_image(meta, images, name, page) -> str | None:
-    meta, images = meta or {}, images or []
-    named = [i["url"] for i in images if name and name.lower() in (i["alt"] or "").lower()]
-    order = [meta.get(k) for k in ("og:image:secure_url", "og:image", "twitter:image")] + named + [i["url"] for i in images]
-    return next((u for u in (image_of(c, page) for c in order if c) if u), None)
+@F.pandas_udf(T.StringType())
+def first_image(candidates: pd.Series, page: pd.Series) -> pd.Series:
+    """The first candidate that is an address of the shop's own images."""
+    found = [next((u for u in (image_of(x, p) for x in ([] if c is None else c)) if u), None) for c, p in zip(candidates, page)]
+    return pd.Series(found, dtype=object)
 
 
 def next_page(links: DataFrame, page: str = "page_url", link: str = "link") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_reason(rules: list[tuple[Column, str]]) -> Column:
+def first_reason(rules: list[tuple[Column, str | Column]]) -> Column:
     """The reason of the first rule that fails (a rule holds for rows to reject), or null."""
     out = None
     for failed, reason in rules:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions.boxes import label_line, normalised
+from tarnwork.functions.images import measure
 from tarnwork.functions.reproducibility import parameters_hash
 from tarnwork.schemas import BOX_AUDIT
+from tarnwork.scratch import staged
 
 
 def raster(df: DataFrame, key: str, values: str, width: int) -> DataFrame:
@@ -49,6 +51,7 @@ def rgb_mask(pixels: DataFrame, key: str, channels: list[str], height, width, to
     marked = pixels.join(bg, key).where(distance(channels) > delta)
     counts = marked.groupBy(key).agg(F.count("*").alias("foreground_pixel_count"))
     verdict = bg.join(spread, key).join(counts, key, "left").fillna(0, ["foreground_pixel_count"])
+    # the reasons are fixed values
     reason = F.when(F.col("border_std") > tolerance, "fondo no uniforme").when(F.col("foreground_pixel_count") < min_pixels, "foreground insuficiente")
     verdict = verdict.withColumn("rejection_reason", reason)
     good = verdict.where("rejection_reason IS NULL").select(key)
@@ -93,7 +96,7 @@ def audit(assets: DataFrame, found: DataFrame, labels_dir: str, alpha_threshold:
     enter the parameters hash unless ``compatible_hash``.
     """
     kept = assets.join(found, "source_asset_id", "left")
-    empty = "Máscara vacía: no hay píxeles de foreground (rechazo, sin label)."
+    empty = "Máscara vacía: no hay píxeles de foreground (rechazo, sin label)."  # fixed value
     reason = F.coalesce("reason", F.when(F.lit(class_id != 0), f"class_id debe ser 0; recibido: {class_id}"), F.when(F.col("x_min").isNull(), empty))
     kept = boxed(kept.withColumn("rejection_reason", reason), 0)
     good = F.col("rejection_reason").isNull()
@@ -109,36 +112,13 @@ def audit(assets: DataFrame, found: DataFrame, labels_dir: str, alpha_threshold:
     return kept.select(*[pick(n).cast(t).alias(n) for n, t in BOX_AUDIT.items()], F.when(good, F.col("label_line")).alias("label_line"))
 
 
-def image_pixels(images: DataFrame, key: str = "source_asset_id") -> DataFrame:
-    """Long pixels (key, height, width, y, x, r, g, b, a) of decoded rows of Spark's image source (BGR or BGRA bytes)."""
-    i = "image."
-    n = F.col(i + "nChannels")
-    at = lambda k: F.conv(F.hex(F.substring(F.col(i + "data"), F.col("pos") * n + k + 1, F.lit(1))), 16, 10).cast("int")
-    rows = images.where(F.col(i + "height") > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), F.col(i + "height") * F.col(i + "width") - 1)))
-    grey = n == 1
-    return rows.select(
-        key, F.col(i + "height").alias("height"), F.col(i + "width").alias("width"),
-        F.floor(F.col("pos") / F.col(i + "width")).cast("int").alias("y"), (F.col("pos") % F.col(i + "width")).alias("x"),
-        F.when(grey, at(0)).otherwise(at(2)).alias("r"), F.when(grey, at(0)).otherwise(at(1)).alias("g"), at(0).alias("b"),
-        F.when(n == 4, at(3)).otherwise(255).alias("a"),
-    )
-
-
 def audit_images(images: DataFrame, labels_dir: str, alpha_threshold: int = 127, algorithm_version: str = "pixel-extremes-v1", class_id: int = 0, rgb: dict | None = None, compatible_hash: bool = False) -> DataFrame:
     """Audit rows of an image table: source_asset_id, sku_id, image_path, source_sha256, image (Spark's struct, may be undecodable).
 
     The alpha mask comes first; images that are opaque throughout take the RGB mask if ``rgb`` gives tolerance, delta and min_pixels.
     """
     key = "source_asset_id"
-    pixels = image_pixels(images, key)
-    masked, opaque = alpha_mask(pixels, key, alpha_threshold)
-    found = extremes(masked, key).withColumn("mask_method", F.lit("alpha"))
-    why = opaque.withColumn("reason", F.lit("imagen sin transparencia: alpha es 255 en todos los píxeles"))
-    if rgb:
-        solid = pixels.join(opaque, key, "left_semi")
-        fg, verdict = rgb_mask(solid, key, ["r", "g", "b"], F.col("height"), F.col("width"), rgb["tolerance"], rgb["delta"], rgb["min_pixels"])
-        found = found.unionByName(extremes(fg, key).withColumn("mask_method", F.lit("rgb")))
-        why = verdict.select(key, F.col("rejection_reason").alias("reason"))
-    broken = F.when(F.coalesce(F.col("image.height"), F.lit(-1)) <= 0, "imagen no decodificable")
-    assets = images.join(why, key, "left").select(key, "sku_id", "image_path", F.greatest(F.coalesce("image.width", F.lit(0)), F.lit(0)).alias("image_width_px"), F.greatest(F.coalesce("image.height", F.lit(0)), F.lit(0)).alias("image_height_px"), "source_sha256", F.coalesce(broken, "reason").alias("reason"))
-    return audit(assets, found, labels_dir, alpha_threshold, algorithm_version, class_id, rgb, compatible_hash)
+    found = staged(measure(images, key, alpha_threshold, rgb), "measured")  # a row an image; decoding is not repeated
+    size = lambda c: F.greatest(F.coalesce(f"image.{c}", F.lit(0)), F.lit(0)).alias(f"image_{c}_px")
+    assets = images.select(key, "sku_id", "image_path", size("width"), size("height"), "source_sha256").join(found.select(key, "reason"), key, "left")
+    return audit(assets, found.where("x_min IS NOT NULL").drop("reason"), labels_dir, alpha_threshold, algorithm_version, class_id, rgb, compatible_hash)

@@ -102,7 +102,7 @@ def test_parsed_label_and_iou(spark):
 
 def test_fingerprints(tmp_path):
     assert reproducibility.fingerprint({"b": [1, (2,)], "a": tmp_path}) == reproducibility.fingerprint({"a": tmp_path, "b": (1, [2])})
-    assert reproducibility.canonical_json({"b": "é", "a": None}) == '{"a":null,"b":"é"}'
+    assert reproducibility.canonical_json({"b": "é", "a": None, 2: {"z": 1, "y": ()}}) == '{"2":{"y":[],"z":1},"a":null,"b":"é"}'
     for bad in ({"a": {1, 2}}, {"a": b"x"}):
         with pytest.raises(TypeError):
             reproducibility.canonical_json(bad)
@@ -125,7 +125,7 @@ def test_seeds(seed, error):
 
 def config(**changes):
     base = {
-        "source": {"name": "AMARKET", "collection_url": "u"}, "http": {k: 1 for k in ("user_agent", "delay_seconds", "timeout_seconds", "max_retries", "backoff_seconds")},
+        "source": {"name": "SHOP", "collection_url": "u"}, "http": {k: 1 for k in ("user_agent", "delay_seconds", "timeout_seconds", "max_retries", "backoff_seconds")},
         "limits": {"max_products": 3, "max_images_per_product": 1, "max_image_bytes": 100}, "outputs": {k: "x" for k in ("images_dir", "manifest", "rejects", "summary")}, "rights": {"status": "REDISTRIBUTION_PROHIBITED"},
     }
     for path, value in changes.items():
@@ -138,19 +138,25 @@ def config(**changes):
 
 
 @pytest.mark.parametrize("mode, changes, text", [
-    ("smoke", {"http": None}, "Falta la sección"), ("smoke", {"limits__max_products": None}, "limits.max_products"), ("full", {"rights": None}, "rights"),
-    ("smoke", {"source__name": "x"}, "AMARKET"), ("smoke", {"limits__max_images_per_product": 2}, "imagen"), ("smoke", {"limits__max_image_bytes": "x"}, "entero positivo"),
-    ("full", {"limits__max_image_bytes": 5242881}, "5 MiB"), ("full", {"rights__status": "x"}, "REDISTRIBUTION_PROHIBITED"),
+    ("smoke", {"http": None}, "http.user_agent must be given; http.delay_seconds"), ("smoke", {"limits__max_products": None}, "limits.max_products"), ("full", {"rights": None}, "rights"),
+    ("smoke", {"source__name": None}, "source.name"), ("smoke", {"limits__max_images_per_product": 2}, "max_images_per_product must be 1"), ("smoke", {"limits__max_image_bytes": "x"}, "whole number above 0"),
+    ("full", {"limits__max_image_bytes": 5242881}, "5242880 at most"), ("full", {"rights__status": "x"}, "REDISTRIBUTION_PROHIBITED"),
 ])
 def test_crawl_config(mode, changes, text):
     with pytest.raises(ValueError, match=text):
         reproducibility.check_crawl_config(config(**changes), mode)
     assert reproducibility.check_crawl_config(config(), mode)
+    with pytest.raises(ValueError, match="source.name must be OTHER"):
+        reproducibility.check_crawl_config(config(), mode, source="OTHER")
     full = config(limits__max_products=None)
     assert reproducibility.check_crawl_config(full, "full")
 
 
-def test_hyperparameters():
-    got = reproducibility.resolve_hyperparameters({"train": {"epochs": 40, "seed": 42}}, seed=1, smoke={"epochs": 1})
-    assert got == {"epochs": 1, "seed": 1}
+def test_hyperparameters(tmp_path):
+    config_ = {"modelo": "m", "epochs": 40, "imgsz": 416, "batch": 8, "seed": 42, "smoke": {"epochs": 2}}
+    got = reproducibility.resolve_hyperparameters(config_, seed=1, smoke=True)
+    assert (got["epochs"], got["imgsz"], got["batch"], got["seed"], got["smoke"], got["optimizer"]) == (2, 64, 2, 1, True, "auto")
+    assert reproducibility.resolve_hyperparameters(config_)["epochs"] == 40
+    (tmp_path / "d.yaml").write_text("path: data\ntrain: images/train\nval: images/val\n")
+    assert reproducibility.dataset_folders(tmp_path / "d.yaml") == {s: str(tmp_path / "data" / "images" / s) for s in ("train", "val")}
     assert "python" in reproducibility.environment()

@@ -78,10 +78,10 @@ def test_singletons_split(spark):
 
 def test_split_errors(spark):
     rows = spark.createDataFrame([(k, f"s{k}", f"a{k}", f"d{k}") for k in range(2)], "row_idx bigint, sku_id string, source_asset_id string, duplicate_group_id string")
-    for change, text in ((rows, "grupos insuficientes"), (rows.drop("sku_id"), "columnas obligatorias faltantes"), (rows.withColumn("sku_id", F.lit(None).cast("string")), "valores nulos"), (rows.withColumn("class_id", F.lit(1)), "class_id debe ser 0")):
+    for change, text in ((rows, "too few groups"), (rows.drop("sku_id"), "columns are missing"), (rows.withColumn("sku_id", F.lit(None).cast("string")), "null values"), (rows.withColumn("class_id", F.lit(1)), "class_id must be 0")):
         with pytest.raises(ValueError, match=text):
             splits.make_splits(change)
-    for ratios, text in (((1,), "exactamente 3"), (("a", 0, 0), "solo numeros"), ((True, 0, 0), "solo numeros"), ((-1, 1, 1), "negativos"), ((0.5, 0.1, 0.1), "sumar 1.0"), ((float("nan"), 0, 1), "numeros")):
+    for ratios, text in (((1,), "1 ratios for 3"), (("a", 0, 0), "numbers"), ((True, 0, 0), "numbers"), ((-1, 1, 1), "below 0"), ((0.5, 0.1, 0.1), "add up to 0.7"), ((float("nan"), 0, 1), "numbers")):
         with pytest.raises(ValueError, match=text):
             splits.validate_ratios(ratios)
 
