@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import code_points, literal, ragged, slices, small_batches, spread, unique_pieces
+from tarnwork.llm.common import code_points, literal, ragged, slices, small_batches, spread, unique_pieces, tidy
 from tarnwork.llm.ragged_bpe import Merges
 from tarnwork.llm.token_counts import pre_tokens
 
@@ -253,7 +253,7 @@ def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", id_co
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(packed, pa.string()), pa.array(plain, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(run), f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def round_trip_native(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:

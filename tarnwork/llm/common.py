@@ -61,6 +61,16 @@ def _trim():
 _TRIM = _trim()
 
 
+def tidy(run):
+    """``run`` (batches -> batches), after which its memory is handed back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut (between rows only) to about ``limit`` bytes of text each."""
     release()
@@ -169,4 +179,4 @@ def filtered(docs: DataFrame, text_col: str, verdict, limit: int = CHUNK_BYTES)
             yield batch.filter(pa.array(verdict(batch.column(text))))
 
     schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes)
-    return plain.mapInArrow(run, schema).toDF(*docs.columns)
+    return plain.mapInArrow(tidy(run), schema).toDF(*docs.columns)

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import _mix, _words, piece_hashes, slices, small_batches, spread, unique_pieces
+from tarnwork.llm.common import _mix, _words, piece_hashes, release, slices, small_batches, spread, unique_pieces, tidy
 from tarnwork.llm.induced_sort import picked, sorted_suffixes
 
 SHARD_PAGES = 2000
@@ -314,6 +314,8 @@ def extract(pages: DataFrame, min_words: int = 6, min_pages: int = 3, id_col: st
     form = f"host string, shard int, shards int, id {kind}, url string, key bigint, packed binary"
 
     def streams(group: pa.Table) -> Streams:
+        if group.num_rows > SHARD_PAGES // 4:
+            release()  # what the group before has left
         open_ = zstandard.ZstdDecompressor()
         return Streams([open_.decompress(x.as_py()) for x in group.column("packed")], group.column("key").to_numpy())
 
@@ -361,9 +363,9 @@ def extract(pages: DataFrame, min_words: int = 6, min_pages: int = 3, id_col: st
         return written(group, own.texts(own.covered(start[hit], min_words)))
 
     kept = f"id {kind}, url string, text string"
-    small = source.where("shards IS NULL").mapInArrow(read, form).groupBy("host").applyInArrow(whole, kept)
+    small = source.where("shards IS NULL").mapInArrow(tidy(read), form).groupBy("host").applyInArrow(whole, kept)
     keys = ["host", "shard"]
-    split = source.where("shards IS NOT NULL").mapInArrow(read, form)
+    split = source.where("shards IS NOT NULL").mapInArrow(tidy(read), form)
     strings = split.groupBy(*keys).applyInArrow(sent, "host string, shard int, part int, strings binary, pages binary")
     boilerplate = strings.groupBy("host", "part").applyInArrow(met, "host string, shard int, part int, strings binary")
     done = small.unionByName(split.groupBy(*keys).cogroup(boilerplate.groupBy(*keys)).applyInArrow(apart, kept))

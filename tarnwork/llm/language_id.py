@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import code_points, crc_mod, filtered, ragged, slices, small_batches
+from tarnwork.llm.common import code_points, crc_mod, filtered, ragged, slices, small_batches, tidy
 from tarnwork.llm.ragged_bpe import LETTER, classes
 
 ORDER = 4
@@ -286,7 +286,7 @@ def identify(docs: DataFrame, model: Model | None, modulus: int = 3, held_out: i
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(accepted)], ["id", "held_out", "lang_pred", "score", "accepted"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double, accepted boolean").withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(run), f"id {kind}, held_out boolean, lang_pred string, score double, accepted boolean").withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, model: Model | None, reject_below: float = 0.02, text_col: str = "text") -> DataFrame:

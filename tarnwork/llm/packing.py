@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import code_points, ragged, slices, small_batches, spread, staged, unique_pieces
+from tarnwork.llm.common import code_points, ragged, slices, small_batches, spread, staged, unique_pieces, tidy
 from tarnwork.llm.ragged_bpe import NUMBER, SPACE, classes, load, split_contractions
 
 #: Rows that a bucket of the ranking holds on average.
@@ -147,7 +147,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capa
             yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+    return source.mapInArrow(tidy(run), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import _words, code_points, crc_mod, filtered, piece_hashes, ragged, slices, small_batches
+from tarnwork.llm.common import _words, code_points, crc_mod, filtered, piece_hashes, ragged, slices, small_batches, tidy
 from tarnwork.llm.ragged_bpe import LETTER, NUMBER, SPACE, classes
 
 BLANK, LOWER, UPPER, DIGIT, STOP, COMMA, SHOUT, BAR, SIGN, MARK, REST = range(11)
@@ -290,7 +290,7 @@ def score(docs: DataFrame, field: Field, threshold: float = 0.3, modulus: int =
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(run), f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, field: Field, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

@@ -41,13 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import _words, piece_hashes, ragged, slices, small_batches, spread, staged
+from tarnwork.llm.common import _words, piece_hashes, ragged, slices, small_batches, spread, staged, tidy
 from tarnwork.llm.induced_sort import Text, picked, sorted_suffixes
 
 #: Bytes of an anchor, a multiple of 8; short ones repeat by chance and so send unlike segments to be sorted.
 GRAM = 32
 #: Bytes of segments that a shard holds on average.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 #: Bytes that the sort of a shard keeps in memory.
 SORT_MEMORY = 256 << 20
 #: Different segments from which on an anchor is split (about an eighth of a shard), and one row in how many is looked at for it.
@@ -60,6 +60,8 @@ _LOW = np.uint64((1 << 31) - 1)
 
 def segments(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """(row, start in the row, windows, anchor hash, segment hash) of every segment of ragged bytes."""
+    if width < GRAM:
+        raise ValueError(f"strings of {width} bytes are shorter than an anchor of {GRAM}")
     size = np.diff(at)
     long = np.flatnonzero(size >= width)
     if not len(long):
@@ -143,7 +145,7 @@ def find(docs: DataFrame, width: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(segment)], ["anchor", "segment"])
 
     small_batches(spark)
-    some = total.where(F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(sampled, "anchor bigint, segment bigint")
+    some = total.where(F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(tidy(sampled), "anchor bigint, segment bigint")
     often = some.distinct().groupBy("anchor").count().where(F.col("count") >= max(2, HOT_SEGMENTS // SAMPLE))
     hot = np.array([r["anchor"] for r in often.collect()], np.int64)
 
@@ -245,9 +247,9 @@ def find(docs: DataFrame, width: int = 100) -> DataFrame:
             i, s, n = _runs(doc, place, np.full(len(doc), width))
             yield _table(COVERED, np.zeros(len(i), np.int64), s, i, s, n)
 
-    candidates = total.select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(local, ROW)
+    candidates = total.select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(tidy(local), ROW)
     sorted_ = candidates.repartition("anchor").sortWithinPartitions("anchor", "segment", "id", "start")
-    met = staged(sorted_.mapInArrow(grouped, ROW), "met")
+    met = staged(sorted_.mapInArrow(tidy(grouped), ROW), "met")
     wanted = met.where(F.col("kind") == WANTED)
     size = wanted.agg(F.sum("n")).first()[0] or 0
     covered = met.where(F.col("kind") == COVERED).select("id", "start", "n")
@@ -255,9 +257,9 @@ def find(docs: DataFrame, width: int = 100) -> DataFrame:
         return covered
     lists = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("wanted"))
     texts = total.select(F.col("id").cast("bigint").alias("id"), "text").join(lists, "id")
-    bytes_ = texts.mapInArrow(fetch, "anchor bigint, id bigint, start bigint, bytes binary")
+    bytes_ = texts.mapInArrow(tidy(fetch), "anchor bigint, id bigint, start bigint, bytes binary")
     dealt = bytes_.repartition(max(2, -(-size // SHARD_BYTES)), "anchor")
-    found = staged(dealt.mapInArrow(shard, ROW), "found")
+    found = staged(dealt.mapInArrow(tidy(shard), ROW), "found")
     return covered.unionByName(found.select("id", "start", "n"))
 
 
@@ -334,7 +336,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
             columns = [batch.column(c) for c in own] + [pa.array([o[1] for o in out], pa.binary()), *(pa.array([o[k] for o in out], pa.int64()) for k in (0, 2, 3))]
             yield pa.RecordBatch.from_arrays(columns, [*own, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return joined.mapInArrow(cut, schema).toDF(*docs.columns, "kept", "n_bytes", "n_removed", "n_spans")
+    return joined.mapInArrow(tidy(cut), schema).toDF(*docs.columns, "kept", "n_bytes", "n_removed", "n_spans")
 
 
 def digest(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

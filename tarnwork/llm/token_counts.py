@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import code_points, ragged, slices, small_batches, spread, unique_pieces
+from tarnwork.llm.common import code_points, ragged, slices, small_batches, spread, unique_pieces, tidy
 from tarnwork.llm.ragged_bpe import SPACE, Merges, classes, load, split_contractions
 
 def pre_tokens(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -103,4 +103,4 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(run), f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)

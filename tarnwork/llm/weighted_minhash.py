@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import _mix, _words, code_points, piece_hashes, ragged, slices, small_batches, spread, staged
+from tarnwork.llm.common import _mix, _words, code_points, piece_hashes, ragged, slices, small_batches, spread, staged, tidy
 from tarnwork.llm.ragged_bpe import LETTER, NUMBER, classes
 from tarnwork.operators.graph import components
 
@@ -191,7 +191,7 @@ def counters(docs: DataFrame, words: int, bits: int) -> np.ndarray:
             total += np.frombuffer(value.as_buffer(), np.int64)
         return pa.table({"part": group.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    partial = docs.select("text").mapInArrow(count, "part int, counts binary")
+    partial = docs.select("text").mapInArrow(tidy(count), "part int, counts binary")
     spread_over = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
     partial = partial.withColumn("salt", F.spark_partition_id() % spread_over)
     partial = partial.groupBy("part", "salt").applyInArrow(lambda g: add(g.select(["part", "counts"])), "part int, counts binary")
@@ -232,7 +232,7 @@ def weights(docs: DataFrame, words: int = 5) -> Weights:
             hashes, n = merged()
             yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(n)], ["hash", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(tidy(count), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= least).collect()  # RAREST times the average number of a text's shingles at most
     return Weights(np.array([r["hash"] for r in rows], np.uint32), np.array([r["n"] for r in rows], np.int64), total)
 
@@ -304,14 +304,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
             ends = 8 * np.cumsum(n)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([raw[e - 8 * k : e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary())], ["id", "shingles"])
 
-    signed = staged(source.mapInArrow(sign, f"id {kind}, k0 bigint, k1 bigint, full boolean, bands array<bigint>"), "signed")
+    signed = staged(source.mapInArrow(tidy(sign), f"id {kind}, k0 bigint, k1 bigint, full boolean, bands array<bigint>"), "signed")
     classes_ = signed.groupBy("k0", "k1").agg(F.min("id").alias("rep"), F.first("full").alias("full"), F.first("bands").alias("bands"))
     reps = staged(classes_, "classes")
     banded = reps.where("full").select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "sample"))
     shared_buckets = banded.groupBy("band", "sample").agg(F.count("*").alias("n")).where("n > 1")
     work = staged(banded.join(shared_buckets.drop("n"), ["band", "sample"]), "buckets")
     wanted = work.select("id").distinct()
-    sets = staged(source.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(shingled, f"id {kind}, shingles binary"), "sets")
+    sets = staged(source.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(tidy(shingled), f"id {kind}, shingles binary"), "sets")
     edges = spark.createDataFrame([], f"a {kind}, b {kind}")
     roots = spark.createDataFrame([], f"id {kind}, component {kind}")
 
@@ -360,7 +360,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
                 left = left.join(roots.withColumnRenamed("component", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
                 still = left.groupBy("band", "sample").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
                 left = left.drop("root").join(still.withColumn("large", F.col("n") > 2 * BLOCK).select("band", "sample", "large"), ["band", "sample"])
-                again = left.where("large").select("id", "band", "sample").join(sets, "id").mapInArrow(deal(depth), f"id {kind}, band int, sample bigint")
+                again = left.where("large").select("id", "band", "sample").join(sets, "id").mapInArrow(tidy(deal(depth)), f"id {kind}, band int, sample bigint")
                 left = staged(left.where("NOT large").select("id", "band", "sample").unionByName(again), "left")
     joined = signed.select("id", "k0", "k1").join(reps.select("k0", "k1", "rep"), ["k0", "k1"])
     final = joined.join(roots.select(F.col("id").alias("rep"), "component"), "rep", "left")
