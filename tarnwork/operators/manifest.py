@@ -14,22 +14,25 @@ def first_reason(rules: list[tuple[Column, str | Column]]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def crawl_rules(max_bytes: int) -> list[tuple[Column, str]]:
-    """The checks of one fetched product and its image, in the order in which they are made."""
-    from tarnwork.functions.urls import is_html, is_image
+def crawl_rules(max_bytes: int) -> list[tuple[Column, str | Column]]:
+    """The checks of one fetched product and its image, in the order in which they are made (``plans.crawl`` has the columns)."""
+    from tarnwork.functions.urls import extension, is_html, is_image
 
     c = F.col
     return [
         (~c("robots_product"), "PermissionError: ROBOTS_PRODUCT_BLOCKED"),
+        (c("product_error").isNotNull(), c("product_error")),
         (F.coalesce(c("product_status"), F.lit(0)) != 200, "RuntimeError: PRODUCT_HTTP_NOT_200"),
         (~is_html(c("product_type")), "ValueError: PRODUCT_NOT_HTML"),
-        (c("metadata_reason").isNotNull(), "ValueError: METADATA"),
+        (c("metadata_reason").isNotNull(), F.concat(F.lit("ValueError: "), "metadata_reason")),
         (~c("robots_image"), "PermissionError: ROBOTS_IMAGE_BLOCKED"),
+        (c("image_error").isNotNull(), c("image_error")),
         (F.coalesce(c("image_status"), F.lit(0)) != 200, "RuntimeError: IMAGE_HTTP_NOT_200"),
         (F.length("image_body") > max_bytes, "RuntimeError: REJECTED_MAX_BYTES"),
         (~is_image(c("image_type")), "ValueError: IMAGE_NOT_IMAGE"),
-        (~c("image_decoded"), "ValueError: IMAGE_UNDECODABLE"),
+        (~c("decoded"), "ValueError: IMAGE_UNDECODABLE"),
         (~F.coalesce(c("background_mode"), F.lit("COMPLEX")).isin("TRANSPARENT_ALPHA", "UNIFORM_RGB"), "ValueError: BACKGROUND_COMPLEX"),
+        (extension(c("image_format"), c("image_type")).isNull(), "ValueError: IMAGE_FORMAT_NOT_ALLOWED"),
     ]
 
 

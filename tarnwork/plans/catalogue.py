@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions import boxes, html, identity, urls
 from tarnwork.operators import evaluation, manifest, masks, quality, splits
 from tarnwork.operators.graph import components
+from tarnwork.plans import crawl
 from tarnwork.streaming.ingest import tumbling_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,14 +182,15 @@ def rejection_dedup(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CASE WHEN lang = 'de' THEN 'PermissionError: ROBOTS_PRODUCT_BLOCKED' WHEN n_chars < 500 THEN 'RuntimeError: PRODUCT_HTTP_NOT_200'
-    WHEN source = 'src3' THEN 'ValueError: PRODUCT_NOT_HTML' WHEN doc_id % 7 = 0 THEN 'RuntimeError: IMAGE_HTTP_NOT_200' WHEN n_chars > 5000 THEN 'RuntimeError: REJECTED_MAX_BYTES'
-    WHEN doc_id % 5 = 0 THEN 'ValueError: BACKGROUND_COMPLEX' END AS reason FROM documents""")
+    WHEN source = 'src3' THEN 'ValueError: PRODUCT_NOT_HTML' WHEN doc_id % 13 = 0 THEN 'OSError: x' WHEN doc_id % 7 = 0 THEN 'RuntimeError: IMAGE_HTTP_NOT_200' WHEN n_chars > 5000 THEN 'RuntimeError: REJECTED_MAX_BYTES'
+    WHEN doc_id % 5 = 0 THEN 'ValueError: BACKGROUND_COMPLEX' WHEN doc_id % 3 <> 0 AND doc_id % 11 = 0 THEN 'ValueError: IMAGE_FORMAT_NOT_ALLOWED' END AS reason FROM documents""")
 def first_failing_reason(spark, sf_dir):
     c, yes = F.col, F.lit(True)
     docs = read(spark, sf_dir, "documents").withColumns({
         "robots_product": c("lang") != "de", "product_status": F.when(c("n_chars") < 500, 404).otherwise(200), "product_type": F.when(c("source") == "src3", "image/png").otherwise("text/html; x"),
         "metadata_reason": F.lit(None).cast("string"), "robots_image": yes, "image_status": F.when(c("doc_id") % 7 == 0, 500).otherwise(200), "image_body": F.repeat(F.lit("x"), F.when(c("n_chars") > 5000, 2).otherwise(1)),
-        "image_type": F.lit("image/png"), "image_decoded": yes, "background_mode": F.when(c("doc_id") % 5 == 0, "COMPLEX").otherwise("UNIFORM_RGB"),
+        "product_error": F.lit(None).cast("string"), "image_error": F.when(c("doc_id") % 13 == 0, "OSError: x"), "image_format": F.when(c("doc_id") % 3 == 0, "PNG"),
+        "image_type": F.when(c("doc_id") % 11 == 0, "image/tiff").otherwise("image/png"), "decoded": yes, "background_mode": F.when(c("doc_id") % 5 == 0, "COMPLEX").otherwise("UNIFORM_RGB"),
     })
     return docs.select("doc_id", manifest.first_reason(manifest.crawl_rules(1)).alias("reason"))
 
@@ -199,11 +201,53 @@ def crawl_summary(spark, sf_dir):
     return manifest.summary(docs.where("n_chars >= 600"), docs.where("n_chars < 600"))
 
 
-@query("""SELECT (SELECT count(*) FROM documents) AS accepted, CAST(0 AS BIGINT) AS rejected, (SELECT count(*) FROM documents) AS attempted, (SELECT count(*) FROM labels) AS files,
-    (SELECT count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) AS missing, (SELECT count(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id)) AS extra""")
+@query("""WITH a AS (SELECT * FROM documents WHERE n_chars >= 600) SELECT (SELECT count(*) FROM a) AS accepted, (SELECT count(*) FROM documents WHERE n_chars < 600) AS rejected, (SELECT count(*) FROM documents WHERE n_chars IS NOT NULL) AS attempted, (SELECT count(*) FROM labels) AS files,
+    (SELECT count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.doc_id)) AS missing, (SELECT count(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM a WHERE l.doc_id = a.doc_id)) AS extra""")
 def reconcile_counts(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("f"), "doc_id").alias("local_path"))
-    return manifest.reconcile(docs, docs.limit(0), read(spark, sf_dir, "labels").select(F.concat(F.lit("f"), "doc_id").alias("path")))
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("f"), "doc_id").alias("local_path"), "n_chars")
+    return manifest.reconcile(docs.where("n_chars >= 600"), docs.where("n_chars < 600"), read(spark, sf_dir, "labels").select(F.concat(F.lit("f"), "doc_id").alias("path")))
+
+
+@query("SELECT 'p/' || doc_id AS product_page_url, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS image_url, '2024-01-01T00:00:00+00:00' AS retrieved_at, 'run' AS retrieval_run_id, 'ValueError: ' || lang AS rejection_reason FROM documents")
+def rejection_records(spark, sf_dir):
+    image, reason = F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.concat(F.lit("ValueError: "), "lang")
+    return read(spark, sf_dir, "documents").select(*crawl.rejection(F.concat(F.lit("p/"), "doc_id"), image, "2024-01-01T00:00:00+00:00", "run", reason))
+
+
+_NAME = "trim(CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END)"
+_SHOP = urls.IMAGE_ROOT
+
+
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE {_NAME} END AS product_name, CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE '' END AS description,
+    CASE WHEN p_partkey % 2 = 0 THEN 'item-' || p_partkey WHEN p_partkey % 11 = 0 THEN '' ELSE 'S' || p_size END AS sku_id,
+    CASE WHEN p_partkey % 5 <> 0 THEN '{_SHOP}/cdn/shop/files/' || p_partkey || '.png?v=1&w=2' WHEN p_partkey % 13 <> 0 THEN '{_SHOP}/cdn/shop/files/named.jpg' WHEN p_partkey % 7 <> 0 THEN '{_SHOP}/cdn/shop/files/last.webp' END AS image_url,
+    CASE WHEN p_partkey % 13 = 0 THEN 'PRODUCT_NAME_MISSING' WHEN p_partkey % 2 = 1 AND p_partkey % 11 = 0 THEN 'SKU_MISSING' END AS metadata_reason FROM part""")
+def product_metadata(spark, sf_dir):
+    """Product pages made of parts: names, descriptions, skus and image candidates in several places."""
+    c, n = F.col, F.col("p_partkey")
+    some = lambda test, *x: F.when(test, F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])).otherwise("")
+    named = F.when(n % 3 == 0, c("p_brand")).otherwise(c("p_name"))
+    page = F.concat(
+        some(n % 13 != 0, "<title> ", c("p_name"), " </title>"), some((n % 3 == 0) & (n % 13 != 0), '<meta property="og:title" content="', c("p_brand"), ' — Amarket">'),
+        some(n % 4 == 0, '<meta name="description" content="', c("p_type"), '">'), some(n % 5 != 0, '<meta property="og:image" content="//cdn.x/cdn/shop/files/', n.cast("string"), '.png?v=1&amp;w=2">'),
+        F.lit('<img src="/other/x.png" alt="x">'), some(n % 7 != 0, '<img src="https://z.x/cdn/shop/files/last.webp" alt="">'), some(n % 13 != 0, '<img src="/cdn/shop/files/named.jpg" alt="A ', F.upper(named), '!">'),
+        some(n % 11 != 0, '<script>{"sku" : "S', c("p_size").cast("string"), '"}</script>'),
+    )
+    url = F.concat(F.lit(f"{_SHOP}/"), F.when(n % 2 == 0, F.concat(F.lit("products/item-"), n.cast("string"), F.lit("/?x=1"))).otherwise("pages/item"))
+    made = read(spark, sf_dir, "part").select("p_partkey", url.alias("url"), page.alias("html"))
+    found = html.product_metadata(html.parse(made).join(made.select("p_partkey", "html"), "p_partkey"))
+    return found.select("p_partkey", "product_name", "description", "sku_id", "image_url", "metadata_reason")
+
+
+_LINKS = "links AS (SELECT 'https://s.x/c' || o_custkey || CASE WHEN o_custkey % 2 = 0 THEN '?page=3' ELSE '' END AS page_url, o_orderkey AS pos, CASE WHEN o_custkey % 2 = 0 THEN 3 ELSE 1 END AS here, CAST(o_orderkey % 9 AS INTEGER) AS there, o_orderkey % 4 <> 0 AS same, 'https://' || CASE WHEN o_orderkey % 4 = 0 THEN 'other.x' ELSE 'S.x' END || '/c' || o_custkey || '?page=' || o_orderkey % 9 || '&o=' || o_orderkey AS link FROM orders)"
+
+
+@query(f"WITH {_LINKS} SELECT page_url, arg_min(link, there * 10000000000 + pos) AS next_url FROM links WHERE same AND there > here GROUP BY page_url")
+def next_collection_page(spark, sf_dir):
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    page = F.concat(F.lit("https://s.x/c"), k, F.when(k % 2 == 0, "?page=3").otherwise(""))
+    link = F.concat(F.lit("https://"), F.when(o % 4 == 0, "other.x").otherwise("S.x"), F.lit("/c"), k, F.lit("?page="), o % 9, F.lit("&o="), o)
+    return html.next_page(read(spark, sf_dir, "orders").select(page.alias("page_url"), o.alias("pos"), link.alias("link")))
 
 
 # --- rasters, boxes, audit -------------------------------------------------------------------------------
@@ -241,17 +285,36 @@ def mask_empty_rejected(spark, sf_dir):
     return found.select("vec_id", F.when(F.col("x_min").isNull(), "rejected").otherwise("accepted").alias("status"))
 
 
-@query(f"""WITH {_PIX} SELECT CAST(e.vec_id AS VARCHAR) AS source_asset_id, CAST(label AS VARCHAR) AS sku_id, CASE WHEN l.x_min IS NULL THEN '' ELSE 'labels/' || e.vec_id || '.txt' END AS label_path,
-    CAST(coalesce(foreground_pixel_count, 0) AS INTEGER) AS foreground_pixel_count, coalesce(x_min, 0) AS x0, coalesce(y_min, 0) AS y0, coalesce(x_max + 1, 0) AS x1, coalesce(y_max + 1, 0) AS y1,
-    coalesce(x_min + (x_max + 1 - x_min) / 2.0::DOUBLE, 0) AS x_center_px, coalesce(CAST(split_part(label_line, ' ', 2) AS DOUBLE), 0) AS x_center, coalesce(CAST(split_part(label_line, ' ', 5) AS DOUBLE), 0) AS height,
+_ZERO = ", ".join(f"coalesce({e}, 0) AS {n}" for n, e in {
+    "foreground_pixel_count": "CAST(foreground_pixel_count AS INTEGER)", "x_min": "x_min", "y_min": "y_min", "x_max": "x_max", "y_max": "y_max", "x0": "x_min", "y0": "y_min", "x1": "x_max + 1", "y1": "y_max + 1",
+    "x_center_px": "x_min + (x_max + 1 - x_min) / 2.0::DOUBLE", "y_center_px": "y_min + (y_max + 1 - y_min) / 2.0::DOUBLE", "box_width_px": "x_max + 1 - x_min", "box_height_px": "y_max + 1 - y_min",
+    "x_center": "CAST(split_part(label_line, ' ', 2) AS DOUBLE)", "y_center": "CAST(split_part(label_line, ' ', 3) AS DOUBLE)", "width": "CAST(split_part(label_line, ' ', 4) AS DOUBLE)", "height": "CAST(split_part(label_line, ' ', 5) AS DOUBLE)",
+}.items())
+
+
+@query(f"""WITH {_PIX} SELECT CAST(e.vec_id AS VARCHAR) AS source_asset_id, CAST(label AS VARCHAR) AS sku_id, 0 AS class_id, 'i/' || e.vec_id || '.png' AS image_path, CASE WHEN l.x_min IS NULL THEN '' ELSE 'labels/' || e.vec_id || '.txt' END AS label_path,
+    {SIDE} AS image_width_px, {SIDE} AS image_height_px, CASE WHEN l.x_min IS NOT NULL AND label = 1 THEN 'rgb' ELSE 'alpha' END AS mask_method, 'pixel-extremes-v1' AS algorithm_version,
+    sha256('{{"algorithm_version": "pixel-extremes-v1", "alpha_threshold": 127}}') AS parameters_hash, {_ZERO}, sha256(CAST(e.vec_id AS VARCHAR)) AS source_sha256,
     CASE WHEN l.x_min IS NULL THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN l.x_min IS NULL THEN 'Máscara vacía: no hay píxeles de foreground (rechazo, sin label).' ELSE '' END AS rejection_reason
     FROM embeddings e LEFT JOIN line l USING (vec_id)""")
 def box_audit(spark, sf_dir):
-    key = F.col("vec_id").cast("string").alias("source_asset_id")
-    rows = read(spark, sf_dir, "embeddings").select(key, F.col("label").cast("string").alias("sku_id"), F.lit("").alias("image_path"), F.lit(SIDE).alias("image_width_px"), F.lit(SIDE).alias("image_height_px"), F.lit("").alias("source_sha256"), F.lit(None).cast("string").alias("reason"))
-    found = _extremes(spark, sf_dir).select(key, "x_min", "y_min", "x_max", "y_max", "foreground_pixel_count", F.lit("alpha").alias("mask_method"))
-    wanted = ["source_asset_id", "sku_id", "label_path", "foreground_pixel_count", "x0", "y0", "x1", "y1", "x_center_px", "x_center", "height", "status", "rejection_reason"]
-    return masks.audit(rows, found, "labels", 127, "pixel-extremes-v1").select(*wanted)
+    """All thirty columns."""
+    name = F.col("vec_id").cast("string")
+    rows = read(spark, sf_dir, "embeddings").select(name.alias("source_asset_id"), F.col("label").cast("string").alias("sku_id"), F.concat(F.lit("i/"), name, F.lit(".png")).alias("image_path"), F.lit(SIDE).alias("image_width_px"), F.lit(SIDE).alias("image_height_px"), F.sha2(name.cast("binary"), 256).alias("source_sha256"), F.lit(None).cast("string").alias("reason"))
+    method = read(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") == 1, "rgb").otherwise("alpha").alias("mask_method"))
+    found = _extremes(spark, sf_dir).join(method, "vec_id").select(name.alias("source_asset_id"), "x_min", "y_min", "x_max", "y_max", "foreground_pixel_count", "mask_method")
+    return masks.audit(rows, found, "labels", 127, "pixel-extremes-v1").drop("label_line")
+
+
+@query(f"""WITH {_PIX}, a AS (SELECT vec_id, CASE WHEN label = 0 THEN 255 WHEN value > CAST({LEVEL} AS FLOAT) THEN 200 ELSE 100 END AS a FROM pix JOIN embeddings USING (vec_id))
+    SELECT vec_id, min(a) = 255 AS opaque, CASE WHEN min(a) = 255 THEN 0 ELSE count(*) FILTER (WHERE a > 127) END AS foreground_pixel_count FROM a GROUP BY vec_id""")
+def alpha_mask(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    alpha = F.when(F.col("label") == 0, 255).when(F.col("value") > F.lit(LEVEL).cast("float"), 200).otherwise(100)
+    mask, opaque = masks.alpha_mask(_pixels(spark, sf_dir).join(rows, "vec_id").withColumn("a", alpha), "vec_id", 127)
+    counts = mask.groupBy("vec_id").agg(F.count("*").alias("foreground_pixel_count"))
+    out = rows.join(opaque.withColumn("opaque", F.lit(True)), "vec_id", "left").join(counts, "vec_id", "left")
+    return out.select("vec_id", F.coalesce("opaque", F.lit(False)).alias("opaque"), F.coalesce("foreground_pixel_count", F.lit(0)).alias("foreground_pixel_count"))
 
 
 _EDGE = "edge AS (SELECT * FROM pix WHERE y = 0 UNION ALL SELECT * FROM pix WHERE y = 7 UNION ALL SELECT * FROM pix WHERE x = 0 UNION ALL SELECT * FROM pix WHERE x = 7), bg AS (SELECT vec_id, median(CAST(value AS DOUBLE)) AS background FROM edge GROUP BY vec_id)"
@@ -306,15 +369,19 @@ def orphans_right(spark, sf_dir):
     return found.where("side = 'label'").select("doc_id")
 
 
-@query(f"""WITH {_PIX} SELECT CAST(0 AS BIGINT) AS rejected_without_reason, (SELECT count(*) FROM embeddings WHERE label = 3 AND vec_id IN (SELECT vec_id FROM box)) AS bad_background, CAST(0 AS BIGINT) AS invalid_boxes,
-    (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM box)) AS orphans, CAST(0 AS BIGINT) AS cross_split, false AS passed""")
+@query(f"""WITH {_PIX}, g AS (SELECT e.vec_id, label, b.vec_id IS NULL AS empty FROM embeddings e LEFT JOIN box b ON b.vec_id = e.vec_id), x AS (SELECT doc_id // 3 AS sku FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 10 < 8) > 1)
+    SELECT *, rejected_without_reason + bad_background + invalid_boxes + orphans + cross_split = 0 AS passed FROM (SELECT (SELECT count(*) FROM g WHERE empty AND label % 2 = 0) AS rejected_without_reason, (SELECT count(*) FROM g WHERE NOT empty AND label = 3) AS bad_background,
+    (SELECT count(*) FROM line WHERE vec_id % 11 = 0) AS invalid_boxes, (SELECT count(*) FROM g WHERE empty) AS orphans, (SELECT count(*) FROM x) AS cross_split)""")
 def quality_gate(spark, sf_dir):
+    """Every rule has something to find: reasons left out, complex grounds, labels of another class, orphans, ids in two splits."""
     found = read(spark, sf_dir, "embeddings").join(_extremes(spark, sf_dir).select("vec_id", "x_min"), "vec_id", "left")
     empty = F.col("x_min").isNull()
-    audit = found.select(F.when(empty, "rejected").otherwise("accepted").alias("status"), F.when(empty, "vacía").otherwise("").alias("rejection_reason"), F.when(F.col("label") == 3, "COMPLEX").otherwise("UNIFORM_RGB").alias("background_mode"))
-    labels = _labels(spark, sf_dir)
+    reason = F.when(empty & (F.col("label") % 2 == 1), "vacía").otherwise("")
+    audit = found.select(F.when(empty, "rejected").otherwise("accepted").alias("status"), reason.alias("rejection_reason"), F.when(F.col("label") == 3, "COMPLEX").otherwise("UNIFORM_RGB").alias("background_mode"))
+    labels = _labels(spark, sf_dir).withColumn("class", F.when(F.col("source_asset_id").cast("bigint") % 11 == 0, 1).otherwise(F.col("class")))
     orphan_rows = quality.orphans(found.select(F.col("vec_id").cast("string").alias("stem")), labels.select(F.col("source_asset_id").alias("stem")))
-    return quality.gate(audit, labels, orphan_rows, orphan_rows.limit(0))
+    split = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 3).alias("sku_id"), F.when(F.col("doc_id") % 10 < 8, "train").otherwise("val").alias("split"))
+    return quality.gate(audit, labels, orphan_rows, splits.leakage(split, ["sku_id"]))
 
 
 # --- groups and splits -----------------------------------------------------------------------------------
@@ -642,6 +709,17 @@ def sorted_prefix(spark, sf_dir):
     return read(spark, sf_dir, "pages").orderBy("url", "page_id").limit(20).select("url")
 
 
+@query("""WITH s AS (SELECT doc_id // 3 AS sku_id, doc_id AS source_asset_id, sha256(text) AS duplicate_group_id, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 = 7 THEN 'val' ELSE 'test' END AS split FROM documents)
+    SELECT *, violations_sku_id + violations_source_asset_id + violations_duplicate_group_id = 0 AS cero_leakage, n_train > 0 AND n_val > 0 AND n_test > 0 AS all_splits_non_empty FROM
+    (SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test,
+        (SELECT count(*) FROM (SELECT 1 FROM s GROUP BY sku_id HAVING count(DISTINCT split) > 1)) AS violations_sku_id, (SELECT count(*) FROM (SELECT 1 FROM s GROUP BY source_asset_id HAVING count(DISTINCT split) > 1)) AS violations_source_asset_id,
+        (SELECT count(*) FROM (SELECT 1 FROM s GROUP BY duplicate_group_id HAVING count(DISTINCT split) > 1)) AS violations_duplicate_group_id FROM s)""")
+def leakage_report_of_a_bad_split(spark, sf_dir):
+    """Rows dealt one by one, so that groups are torn."""
+    nth = F.col("row_idx") % 10
+    return splits.leakage_report(_manifest(spark, sf_dir).withColumn("split", F.when(nth < 7, "train").when(nth == 7, "val").otherwise("test")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content identity, connected groups, split, leakage report: the whole chain."""
     return splits.leakage_report(splits.make_splits(_manifest(spark, sf_dir), order="hash"))

@@ -70,21 +70,7 @@ def attempts(spark: SparkSession, products: list[str], get: Get, allowed: Callab
     known = known.withColumn("wanted", F.when(good & c("metadata_reason").isNull(), c("image_url")))
     pictures = staged(fetched(known, get, allowed, "wanted", "image", max_bytes), "product-images")
     shown = images.inspect(pictures, "image_body")
-    reason = merging.first_reason([
-        (~c("robots_product"), F.lit("PermissionError: ROBOTS_PRODUCT_BLOCKED")),
-        (c("product_error").isNotNull(), c("product_error")),
-        (c("product_status") != 200, F.lit("RuntimeError: PRODUCT_HTTP_NOT_200")),
-        (~urls.is_html(c("product_type")), F.lit("ValueError: PRODUCT_NOT_HTML")),
-        (c("metadata_reason").isNotNull(), F.concat(F.lit("ValueError: "), "metadata_reason")),
-        (~c("robots_image"), F.lit("PermissionError: ROBOTS_IMAGE_BLOCKED")),
-        (c("image_error").isNotNull(), c("image_error")),
-        (c("image_status") != 200, F.lit("RuntimeError: IMAGE_HTTP_NOT_200")),
-        (F.length("image_body") > max_bytes, F.lit("RuntimeError: REJECTED_MAX_BYTES")),
-        (~urls.is_image(c("image_type")), F.lit("ValueError: IMAGE_NOT_IMAGE")),
-        (~c("decoded"), F.lit("ValueError: IMAGE_UNDECODABLE")),
-        (~c("background_mode").isin("TRANSPARENT_ALPHA", "UNIFORM_RGB"), F.lit("ValueError: BACKGROUND_COMPLEX")),
-        (urls.extension(c("image_format"), c("image_type")).isNull(), F.lit("ValueError: IMAGE_FORMAT_NOT_ALLOWED")),
-    ])
+    reason = merging.first_reason(merging.crawl_rules(max_bytes))
     return shown.withColumn("reason", reason).withColumn("sha256", identity.content_sha256(c("image_body")))
 
 
