@@ -35,10 +35,11 @@ WHOLE_ROUNDS = 3
 def codes(vectors: DataFrame, bits: int, segment_bits: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id and code (one number for each segment) of every row with a vector."""
     v = F.col(vector_col)
+    padded = F.concat(v, F.array_repeat(F.lit(0), F.lit(bits) - F.size(v)))
     zero = F.lit(0).cast(_kind(segment_bits))
 
     def segment(j: int):
-        part = F.slice(v, j * segment_bits + 1, min(segment_bits, bits - j * segment_bits))
+        part = F.slice(padded, j * segment_bits + 1, min(segment_bits, bits - j * segment_bits))
         return F.aggregate(part, zero, lambda a, x: a * 2 + F.when((x > 0) & ~F.isnan(x), 1).otherwise(0))
 
     return vectors.where(v.isNotNull()).select(F.col(id_col).alias("id"), F.array(*[segment(j) for j in range(-(-bits // segment_bits))]).alias("code"))

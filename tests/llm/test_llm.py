@@ -601,20 +601,123 @@ def test_pipeline_keeps_own_replacement_characters(spark, docs):
     assert got == {0: (texts[0], len(texts[0])), 1: (left := "own \ufffd mark x", len(left))}
 
 
-def test_pipeline(spark, docs):
+@pytest.fixture(scope="module")
+def stages(spark, docs):
+    """(name, input, output) of every stage over the fixture, each working on what the one before kept."""
+    import corpus_pipeline
+
+    out, kept = [], docs
+    for name, stage in corpus_pipeline.STAGES:
+        done = spark.createDataFrame((df := stage(spark, kept, SF)).collect(), df.schema)
+        out.append((name, kept, done))
+        kept = done
+    return {name: (a, b) for name, a, b in out}
+
+
+def keys(df, *columns):
+    return sorted(tuple(str(r[c]) for c in columns or df.columns) for r in df.collect())
+
+
+def test_pipeline_filters(spark, docs, stages):
+    """The first two stages keep whole rows, those that the operators' own scores accept."""
+    names = list(stages)
+    assert names == ["quality classifier", "language id", "minhash near-dedup", "suffix-array dedup", "best-fit packing"]
+    source, kept = stages["quality classifier"]
+    scores = rows(quality_crf.score(source, quality_crf.fit(source, spark.read.parquet(f"{SF}/labels.parquet"))))
+    assert keys(kept) == keys(source.where(F.col("doc_id").isin([k for k, r in scores.items() if r["score"] >= 0.3])))
+    source, kept = stages["language id"]
+    judged = rows(language_id.identify(source, language_id.fit(source)))
+    assert keys(kept) == keys(source.where(F.col("doc_id").isin([k for k, r in judged.items() if r["accepted"]])))
+    assert 0 < kept.count() < docs.count()
+
+
+def test_pipeline_near_duplicates_against_brute_force(stages):
+    source, kept = stages["minhash near-dedup"]
+    classes = brute_classes({r["doc_id"]: r["text"] for r in source.collect()})
+    assert keys(kept) == keys(source.where(F.col("doc_id").isin(sorted(set(classes.values()))))) and len(set(classes.values())) < len(classes)
+
+
+def test_pipeline_repeats_against_brute_force(stages):
+    source, kept = stages["suffix-array dedup"]
+    want, seen = {}, set()
+    for k, text in sorted((r["doc_id"], r["text"]) for r in source.collect()):
+        raw = text.encode()
+        gone = [False] * len(raw)
+        for i in range(len(raw) - 99):
+            if raw[i : i + 100] in seen:
+                gone[i : i + 100] = [True] * 100
+            seen.add(raw[i : i + 100])
+        left, at = [], 0
+        for c in text:  # a code point goes if any of its bytes does
+            n = len(c.encode())
+            left.append("" if any(gone[at : at + n]) else c)
+            at += n
+        want[k] = "".join(left)
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept.collect()} == {k: (t, len(t)) for k, t in want.items()}
+    assert kept.columns == source.columns and want != {r["doc_id"]: r["text"] for r in source.collect()}
+
+
+def test_pipeline_packing_and_run(spark, stages):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    source, packed = stages["best-fit packing"]
+    want = []
+    for r in source.collect():
+        ids = t.encode(r["text"], add_special_tokens=False).ids + [0]
+        want += [(r["doc_id"], k, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 2048))]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(tuple(r[c] for c in columns) for r in packed.collect()) == sorted(want)
+    assert keys(corpus_pipeline.run(spark, SF), *columns) == keys(packed, *columns)
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs):
+    """Empty tables, null, empty, repeated and very long texts, null ids and columns whose names clash with the operators' own."""
     import corpus_pipeline
 
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    kept = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, SF)
-        assert kept.columns == docs.columns
-        kept = spark.createDataFrame(kept.collect(), docs.schema)
-    ids = {r["doc_id"] for r in kept.collect()}
-    done = corpus_pipeline.run(spark, SF).collect()
-    assert {r["doc_id"] for r in done} == ids and 0 < len(ids) < docs.count()
-    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
-    again = brute_repeats(texts, 100)
-    before = sum(v[0] for v in again.values())
-    assert before > 0
+    odd = docs.limit(60).unionByName(spark.createDataFrame([(None, None, None, None, None), (None, "", "x", "y", 0), (5, None, None, "y", None), (7, "a b c", "en", None, 5), (7, "a b c", "en", None, 5), (8, "word " * 900_000, "en", "s", 1)], docs.schema))
+    odd = odd.withColumns({"id": F.lit("own"), "spans": F.lit(1), "bands": F.lit(2.0), "_row": F.lit("r")})
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (odd, odd.limit(0)):
+            done = stage(spark, df, SF)
+            assert (done.columns == df.columns) == (name != "best-fit packing")
+            n = done.count()
+            assert n == 0 if df is not odd else n > 0
+            if name == "best-fit packing" and df is odd:
+                assert done.select("doc_id").where("doc_id IS NULL").count() == 2
+            if name == "suffix-array dedup" and df is odd:
+                assert n == odd.count()
+
+
+def test_empty_tables(spark, edge_docs, docs):
+    none, labels = edge_docs.limit(0), spark.read.parquet(f"{SF}/labels.parquet")
+    field = quality_crf.fit(none, labels.limit(0))
+    assert field.prior == 0.5 and quality_crf.score(none, field).count() == 0 and quality_crf.keep(none, field).count() == 0
+    assert language_id.identify(none, language_id.fit(none)).count() == 0 and byte_bpe.round_trip(none).count() == 0
+    assert {r["score"] for r in quality_crf.score(edge_docs, field).collect()} == {0.5}
+
+
+def test_a_text_beyond_one_slice(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(800_000))
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id bigint, text string")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert rows(token_counts.token_counts(df))[1]["n_tokens"] == len(t.encode(text, add_special_tokens=False).ids)
+    assert rows(byte_bpe.round_trip(df))[1]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert rows(suffix_dedup.digest(df))[1]["n_removed"] == 0
+
+
+def test_hamming_of_odd_vectors(spark):
+    """Null vectors take no part, null, NaN and missing components are 0 bits; segments follow the number of rows."""
+    df, x = vectors(spark)
+    got = {}
+    for r in hamming_topk.search(df.union(spark.createDataFrame([(500, [1.0, 2.0], 1)], df.schema)), every=100, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["distance"]))
+    bits = {k: x[k] > 0 for k in range(300)} | {k: np.zeros(32, bool) for k in (901, 902, 950)} | {500: np.array([True, True] + [False] * 30)}
+    assert set(got) == {0, 100, 200, 500}
+    for q, own in got.items():
+        want = sorted((int((bits[q] != b).sum()), k) for k, b in bits.items() if k != q)[:5]
+        assert sorted(own) == [(i + 1, k, d) for i, (d, k) in enumerate(want)]
