@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.llm.common import _words, piece_hashes, ragged, slices, small_batches, spread, staged, tidy
-from tarnwork.llm.induced_sort import Text, picked, sorted_suffixes
+from tarnwork.llm.induced_sort import Disk, Text, picked, sorted_suffixes
 
 #: Bytes of an anchor, a multiple of 8; short ones repeat by chance and so send unlike segments to be sorted.
 GRAM = 32
@@ -173,42 +173,35 @@ def find(docs: DataFrame, width: int = 100) -> DataFrame:
         yield _table(COVERED, i * 0x9E3779B97F4A7 % (1 << 61), s, i, s, n)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor, segment, id, start; an anchor may reach over batches."""
-        held: list[np.ndarray] | None = None
+        """Rows come sorted by anchor, segment, id, start; of an anchor that goes on in a next batch one row is held."""
         names = ["anchor", "segment", "id", "start", "n"]
-
-        def judge(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the first row of the segment met last
+        several = False  # whether its anchor has had other segments, so that the row has gone on
+        for batch in batches:
+            done = batch.column("kind").to_numpy() == COVERED
+            rows = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+            if done.any():
+                yield _table(COVERED, *(r[done] for r in rows))
+            rows = [r[~done] for r in rows]
+            if not len(rows[0]):
+                continue
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
             anchor, segment, ids, start, n = rows
-            if not len(ids):
-                return
             group = np.ones(len(ids), bool)
             group[1:] = anchor[1:] != anchor[:-1]
             new = group.copy()
             new[1:] |= segment[1:] != segment[:-1]
             number = np.cumsum(group) - 1
             different = np.bincount(number[new])
+            different[0] += several
             origin = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
             later = (ids != ids[origin]) | (start != start[origin])
             yield _table(COVERED, anchor[later], segment[later], ids[later], start[later], n[later] + width - 1)
             wanted = new & (different[number] > 1)
+            wanted[0] &= not several
             yield _table(WANTED, anchor[wanted], segment[wanted], ids[wanted], start[wanted], n[wanted] + width - 1)
-
-        for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            rows = [batch.column(c).to_numpy().astype(np.int64) for c in names]
-            done = kind == COVERED
-            if done.any():
-                yield _table(COVERED, *(r[done] for r in rows))
-            rows = [r[~done] for r in rows]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-            if not len(rows[0]):
-                continue
-            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-            held = [r[cut:] for r in rows]
-            yield from judge([r[:cut] for r in rows])
-        if held is not None:
-            yield from judge(held)
+            held, several = [r[origin[-1] :][:1] for r in rows], bool(different[-1] > 1)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +215,7 @@ def find(docs: DataFrame, width: int = 100) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.repeat(batch.column("id")[i].as_py(), len(n))), pa.array(start), pa.array(pieces, pa.binary())], ["anchor", "id", "start", "bytes"])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, parts = Text(SORT_MEMORY // 4), []
+        text, kept, parts, many = Text(SORT_MEMORY // 4), Disk(SORT_MEMORY // 8), [], 0
         for batch in batches:
             column = batch.column("bytes").cast(pa.large_binary())
             at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
@@ -230,13 +223,19 @@ def find(docs: DataFrame, width: int = 100) -> DataFrame:
             part = np.ones(int(size.sum()) + len(size), np.int16)  # 1 parts segments, the end is 0
             part[spread(np.cumsum(size + 1) - size - 1, size)] = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].astype(np.int16) + np.int16(2)
             text.add(part)
-            parts.append((batch.column("id").to_numpy().copy(), batch.column("start").to_numpy().copy(), size.astype(np.int32)))
-        if not parts:
+            parts.append(kept.put((batch.column("id").to_numpy().copy(), batch.column("start").to_numpy().copy(), size)))
+            many += len(size)
+        if not many:
             return
         text.add(np.zeros(1, np.int16))
-        ids, starts, sizes = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
-        ends = np.cumsum(sizes + 1, dtype=np.int64)
+        ids, starts, sizes, ends = (kept.array(many, np.int64) for _ in range(4))
+        at, end = 0, 0
+        for part in parts:
+            own = kept.take(part)
+            for whole, values in zip((ids, starts, sizes, ends), (*own, end + np.cumsum(own[2] + 1))):
+                whole[at : at + len(values)] = values
+            at += len(own[0])
+            end = int(ends[at - 1]) if at else 0
         whole = text.whole()
 
         def windows(positions: np.ndarray) -> np.ndarray:

@@ -297,6 +297,18 @@ def test_suffix_dedup_of_a_shard_beyond_memory(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(df).collect()} == brute_repeats(texts, 100)
 
 
+def test_suffix_dedup_of_anchors_over_many_batches(spark):
+    rng = random.Random(14)
+    phrase = "".join(rng.choice("abcdefgh") for _ in range(70))
+    texts = {k: "".join(rng.choice("xyz") for _ in range(rng.choice([20, 40]))) + phrase + "".join(rng.choice("xyz") for _ in range(60)) for k in range(40)}
+    texts |= {100 + k: texts[k % 5] for k in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    for rows_ in ("2", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_)
+        assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(df).collect()} == brute_repeats(texts, 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 @pytest.mark.parametrize("width", [40, 100, 300])
 def test_suffix_dedup_of_other_widths(spark, width):
     rng = random.Random(9)
