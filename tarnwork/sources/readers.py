@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +57,22 @@ def images(spark: SparkSession, folder: str, keep_undecodable: bool = True) -> D
 
 
 def file_hashes(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ANY_IMAGE) -> DataFrame:
-    return files(spark, folder, extensions).select("path", "stem", F.sha2("content", 256).alias("sha256"))
+    """path, stem and sha256 of the folder's files, read block by block by the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(sha256=[_streamed_hash(p) for p in batch.path])
+
+    return files(spark, folder, extensions).select("path", "stem").mapInPandas(run, "path string, stem string, sha256 string")
+
+
+def _streamed_hash(address: str, block: int = 1 << 20) -> str:
+    store, path = FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", address), safe=":/?&=@"))
+    digest = hashlib.sha256()
+    with store.open_input_stream(path) as f:
+        while part := f.read(block):
+            digest.update(part)
+    return digest.hexdigest()
 
 
 def labels(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -28,13 +29,20 @@ def _publish(write, dest: Path) -> None:
 
 
 def csv(df: DataFrame, dest: str, columns: list[str]) -> None:
-    """One CSV file in this column order: absent columns and nulls are empty, others are left out."""
+    """One CSV file in this column order: absent columns and nulls are empty, others are left out.
+
+    ``dest`` is a local path, replaced at once, or an address that Spark's writers can open (``scheme://...``), whose old file is
+    taken away just before the new one gets its name.
+    """
     picked = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
+    if "://" in dest:
+        _remote_csv(picked, dest)
+        return
     target = Path(dest)
     target.parent.mkdir(parents=True, exist_ok=True)
     folder = tempfile.mkdtemp(dir=target.parent, prefix=f".{target.name}.")
     try:
-        picked.coalesce(1).write.mode("overwrite").csv(f"{folder}/out", header=True, quote='"', escape='"', emptyValue="", nullValue="", lineSep="\n")
+        _write_csv(picked, f"{folder}/out")
         part = next(Path(f"{folder}/out").glob("part-*.csv"), None)
         if part is None:
             _publish(lambda f: f.write((",".join(columns) + "\n").encode()), target)
@@ -44,6 +52,30 @@ def csv(df: DataFrame, dest: str, columns: list[str]) -> None:
         shutil.rmtree(folder, ignore_errors=True)
 
 
+def _write_csv(df: DataFrame, folder: str) -> None:
+    df.coalesce(1).write.mode("overwrite").csv(folder, header=True, quote='"', escape='"', emptyValue="", nullValue="", lineSep="\n")
+
+
+def _remote_csv(df: DataFrame, dest: str) -> None:
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    target, made = path(dest), path(f"{dest}.{uuid.uuid4().hex}")
+    store = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    try:
+        _write_csv(df, made.toString())
+        parts = [f.getPath() for f in store.listStatus(made) if f.getPath().getName().startswith("part-")]
+        if not parts:  # an empty table has no part
+            out = store.create(path(made, "part-0.csv"), True)
+            out.write(bytearray((",".join(df.columns) + "\n").encode()))
+            out.close()
+            parts = [path(made, "part-0.csv")]
+        store.delete(target, False)
+        if not store.rename(parts[0], target):
+            raise OSError(f"could not write {dest}")
+    finally:
+        store.delete(made, True)
+
+
 def json_document(value, dest: str) -> None:
     """Indented UTF-8 JSON, published whole."""
     _publish(lambda f: f.write((json.dumps(value, indent=2, ensure_ascii=False) + "\n").encode()), Path(dest))

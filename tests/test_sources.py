@@ -1,5 +1,6 @@
 """Readers, writers, web sources, streams, entry points."""
 
+import hashlib
 from urllib.error import URLError
 
 import pytest
@@ -70,6 +71,23 @@ def test_csv_round_trip(spark, tmp_path):
     assert readers.typed_assets(readers.source_assets(spark, path)).first()["http_status"] is None
 
 
+def test_csv_by_address(spark, tmp_path):
+    """Through Spark's file systems: a new file, one that is replaced, an empty table, no leftovers."""
+    rows = spark.createDataFrame([("1", "a,b"), ("2", None)], "x string, y string")
+    for df, want in ((rows, 'y,x\n"a,b",1\n,2\n'), (rows.where("x = '2'"), "y,x\n,2\n"), (rows.limit(0), "y,x\n")):
+        sinks.csv(df, f"file://{tmp_path}/m.csv", ["y", "x"])
+        assert (tmp_path / "m.csv").read_text() == want
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["m.csv"]
+
+
+def test_file_hashes(spark, tmp_path):
+    body = bytes(range(256)) * 9000
+    (tmp_path / "a b.png").write_bytes(body)
+    (tmp_path / "c.png").write_bytes(b"")
+    got = {r["stem"]: r["sha256"] for r in readers.file_hashes(spark, str(tmp_path)).collect()}
+    assert got == {"a b": hashlib.sha256(body).hexdigest(), "c": hashlib.sha256(b"").hexdigest()}
+
+
 def test_writers(spark, tmp_path):
     assert sinks.blob(str(tmp_path / "x" / "b"), b"1") == "created"
     assert sinks.blob(str(tmp_path / "x" / "b"), b"1") == "existing"
