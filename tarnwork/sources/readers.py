@@ -45,7 +45,7 @@ def typed_assets(assets: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ANY_IMAGE) -> DataFrame:
-    """path, stem, length, content of the folder's files of these kinds (content is read only where used)."""
+    """path, stem, length, content of the folder's files of these kinds (content is read only where used; Spark leaves out empty files)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return found.where(has_extension(F.col("path"), *extensions)).select("path", stem(F.col("path")).alias("stem"), "length", "content")
 

@@ -83,9 +83,9 @@ def test_csv_by_address(spark, tmp_path):
 def test_file_hashes(spark, tmp_path):
     body = bytes(range(256)) * 9000
     (tmp_path / "a b.png").write_bytes(body)
-    (tmp_path / "c.png").write_bytes(b"")
+    (tmp_path / "c.png").write_bytes(b"c")
     got = {r["stem"]: r["sha256"] for r in readers.file_hashes(spark, str(tmp_path)).collect()}
-    assert got == {"a b": hashlib.sha256(body).hexdigest(), "c": hashlib.sha256(b"").hexdigest()}
+    assert got == {"a b": hashlib.sha256(body).hexdigest(), "c": hashlib.sha256(b"c").hexdigest()}
 
 
 def test_writers(spark, tmp_path):
