@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.scratch import staged
+from tarnwork.scratch import staged, unstage
 
 #: Edge tables up to this many rows (counted first) are solved by one task in memory.
 LOCAL_EDGES = 1_000_000
@@ -20,14 +20,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step hands every node's neighbours the least of them, so the edges turn into stars around the
     least ids in a logarithmic number of steps. No neighbourhood is gathered: hubs cost a partial
-    minimum and a join whose large side can be split.
+    minimum and a join whose large side can be split. ``scraps`` of the result are the staged tables that it reads;
+    once it is written, ``unstage`` may drop them.
     """
     a, b = F.col("a"), F.col("b")
     edges = edges.where(a.isNotNull() & b.isNotNull())
     edges = staged(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")), "edges")
     if edges.count() <= LOCAL_EDGES:
         kind = edges.schema["a"].dataType.simpleString()
-        return edges.coalesce(1).mapInArrow(_local, f"id {kind}, component {kind}")
+        found = edges.coalesce(1).mapInArrow(_local, f"id {kind}, component {kind}")
+        found.scraps = [edges]
+        return found
     now = staged(edges.where(a != b).distinct(), "distinct")
     while not _stars(now):
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
@@ -36,9 +39,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = staged(large.where(a != b).distinct(), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(b != F.col("m")).select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        now = staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        done, now = now, staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small")
+        unstage(done, large)
     ends = edges.select(a.alias("id")).unionByName(edges.select(b.alias("id"))).distinct()
-    return ends.join(now.select(a.alias("id"), b.alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+    found = ends.join(now.select(a.alias("id"), b.alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+    found.scraps = [edges, now]
+    return found
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,4 +26,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing lazy reads any more."""
+    for df in tables:
+        if path := vars(df).get("staged_at"):
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
