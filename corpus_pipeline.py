@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm import language_id, packing, quality_crf, suffix_dedup, weighted_minhash
-from tarnwork.llm.common import staged, table
+from tarnwork.llm.common import table
 from tarnwork.scratch import scratch
 
 #: A document goes if its chance of good quality is below this.
@@ -21,10 +21,18 @@ QUALITY_FROM = 0.3
 LANGUAGE_FROM = 0.02
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row, in order of ids (null ids last), then of texts' hashes."""
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return staged(ordered.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+def _keyed(docs: DataFrame, shared: bool) -> tuple[DataFrame, str]:
+    """``docs`` and a column that keys them, in order of ids (null ids last), then of texts' hashes.
+
+    That is doc_id itself where none is null (nor, if it is asked for, ``shared`` by rows), as nearly always; else a new column.
+    """
+    wrong = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1") if shared else docs.where("doc_id IS NULL")
+    if wrong.isEmpty():
+        return docs, "doc_id"
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    return suffix_dedup.keyed(docs, key=key), key
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +48,16 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate class: the one with the least id (null ids last; if ids repeat, any one of the class)."""
-    keyed = _keyed(docs)
-    classes = weighted_minhash.near_duplicates(keyed, threshold=0.8, words=5, id_col="_row")
-    return keyed.join(classes.where(F.col("_row") == F.col("class_id")), "_row", "left_semi").select(*docs.columns)
+    keyed, key = _keyed(docs, shared=True)
+    classes = weighted_minhash.near_duplicates(keyed, threshold=0.8, words=5, id_col=key)
+    firsts = classes.where(F.col(key) == F.col("class_id")).select(key)
+    return keyed.join(firsts, key, "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes that 100-byte strings starting earlier cover and code points that this splits (rows in order of ids, null ids last)."""
-    left = suffix_dedup.remove_repeats(_keyed(docs), width=100, id_col="_row", whole=True)
+    keyed, key = _keyed(docs, shared=False)
+    left = suffix_dedup.remove_repeats(keyed, width=100, id_col=key, whole=True)
     left = left.withColumn("kept_text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string")))
     return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.scratch import staged  # noqa: F401  (for the operators)
+from tarnwork.scratch import staged, unstage  # noqa: F401  (for the operators)
 
 
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory whatever the Arrow batch holds.

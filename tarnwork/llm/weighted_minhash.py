@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import _mix, _words, code_points, piece_hashes, ragged, slices, small_batches, spread, staged, tidy
+from tarnwork.llm.common import _mix, _words, code_points, piece_hashes, ragged, slices, small_batches, spread, staged, tidy, unstage
 from tarnwork.llm.ragged_bpe import LETTER, NUMBER, classes
 from tarnwork.operators.graph import components
 
@@ -338,6 +338,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
 
         return run
 
+    scraps: list[DataFrame] = []
     for bands in ROUNDS:
         left, depth = work.where(F.col("band").isin(*bands)), 0
         while True:
@@ -346,14 +347,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
             parts = F.when(F.col("n") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int")
             dealt = rooted.join(mixed.select("band", "sample", parts.alias("parts")), ["band", "sample"])
             dealt = staged(dealt.withColumn("part", F.pmod(F.xxhash64("id", "band"), F.col("parts")).cast("int")), "dealt")
+            scraps.append(dealt)
             if dealt.isEmpty():
                 break
             first = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(F.col("part") == 0, F.sequence(F.lit(1), F.col("parts") - 1)).otherwise(F.array("part"))
             blocks = dealt.withColumn("block", F.explode(first)).join(sets, "id").select("band", "sample", "block", "id", "root", "shingles")
             new = staged(blocks.groupBy("band", "sample", "block").applyInArrow(compare, f"a {kind}, b {kind}"), "links")
+            scraps.append(new)
             if not new.isEmpty():
-                edges = edges.unionByName(new)
-                roots = staged(components(edges), "roots")
+                edges, found = edges.unionByName(new), roots
+                stars = components(edges)
+                roots = staged(stars, "roots")
+                scraps += [found, *stars.scraps]
+            if dealt.where("parts > 1").isEmpty():
+                break
             left = dealt.where("parts > 1 AND part > 0").select("id", "band", "sample")
             if depth < DEEPEST:
                 depth += 1
@@ -362,6 +369,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
                 left = left.drop("root").join(still.withColumn("large", F.col("n") > 2 * BLOCK).select("band", "sample", "large"), ["band", "sample"])
                 again = left.where("large").select("id", "band", "sample").join(sets, "id").mapInArrow(tidy(deal(depth)), f"id {kind}, band int, sample bigint")
                 left = staged(left.where("NOT large").select("id", "band", "sample").unionByName(again), "left")
+                scraps.append(left)
+    unstage(work, sets, *scraps)  # the result reads none of these
     joined = signed.select("id", "k0", "k1").join(reps.select("k0", "k1", "rep"), ["k0", "k1"])
     final = joined.join(roots.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return final.select(F.col("id").alias(id_col), F.coalesce("component", "rep").alias("class_id"))
