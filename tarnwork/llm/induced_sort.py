@@ -52,11 +52,11 @@ class Disk:
             self.file.write(np.ascontiguousarray(a).data)
         return at, [(a.dtype, len(a)) for a in arrays]
 
-    def take(self, kept, last: bool = True) -> tuple[np.ndarray, ...]:
-        """The arrays; ``last``: they are not asked for again."""
+    def take(self, kept) -> tuple[np.ndarray, ...]:
+        """The arrays that ``put`` has kept; they are asked for once."""
         at, what = kept
         if isinstance(what, tuple):
-            self.held -= at * last
+            self.held -= at
             return what
         self.file.seek(at)
         return tuple(np.frombuffer(self.file.read(t.itemsize * n), t) for t, n in what)
@@ -67,7 +67,8 @@ class Disk:
         if self.held + size <= self.memory or not n:
             self.held += size
             return np.empty(n, kind)
-        return np.memmap(self.file if self._at(0) >= 0 else None, kind, "r+", self._at(size), (n,))
+        at = self._at(size)
+        return np.memmap(self.file, kind, "r+", at, (n,))
 
     def free(self, a: np.ndarray) -> None:
         if not isinstance(a, np.memmap):
@@ -98,7 +99,7 @@ class RangeMin:
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Symbols that the suffixes at ``a`` and ``b`` share."""
+    """Symbols that the suffixes at ``a`` and ``b`` share, compared one by one (callers know all but the last few)."""
     out = np.zeros(len(a), np.int32)
     left, n, k = np.flatnonzero(a != b), len(text), 0
     out[a == b] = n
