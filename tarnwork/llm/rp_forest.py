@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -77,24 +78,27 @@ class Forest:
             node = 2 * node + 1 + side
         return node - ((1 << self.depth) - 1)
 
-    def visit(self, x: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order in which one query opens them."""
+    def walk(self, x: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(tree, leaf, share of the sample in the leaves before it) in the order in which one query opens leaves."""
         margins = self.directions @ x - self.thresholds
         inner = margins.shape[1]
         queue = [(0.0, t, 0) for t in range(len(margins))]
-        seen, covered, out = np.zeros(self.sample, bool), 0, []
-        while queue and covered < share * self.sample:
+        seen, covered = np.zeros(self.sample, bool), 0
+        while queue:
             passed, t, node = heapq.heappop(queue)
             while node < inner:
                 m = margins[t, node]
                 near = 2 * node + 1 + int(m > 0)
                 heapq.heappush(queue, (max(passed, abs(m)), t, 4 * node + 3 - near))
                 node = near
+            yield t, node - inner, covered / max(self.sample, 1)
             rows = self.leaves[t][node - inner]
-            covered += int((~seen[rows]).sum())
+            covered += len(rows) - int(np.count_nonzero(seen[rows]))
             seen[rows] = True
-            out.append((t, node - inner))
-        return out
+
+    def visit(self, x: np.ndarray, share: float) -> list[tuple[int, int]]:
+        """(tree, leaf) of the leaves that one query opens: until those before hold ``share`` of the sample."""
+        return [(t, leaf) for t, leaf, _ in takewhile(lambda v: v[2] < share, self.walk(x))]
 
 
 def _matrix(column) -> np.ndarray:
@@ -121,17 +125,19 @@ def measured_share(x: np.ndarray, trees: int, depth: int, k: int, recall: float,
     if not tries or len(rest) <= k:
         return 1.0
     forest = Forest.fit(rest, trees, depth)
+    home = [forest.leaf_of(rest, t) for t in range(trees)]
     needed = []
     for q in asked:
-        true = np.argpartition(-(rest @ q), k)[:k]
-        seen, covered = np.zeros(len(rest), bool), 0
-        for t, leaf in forest.visit(q, 0.95):
-            rows = forest.leaves[t][leaf]
-            found = true[np.isin(true, rows) & ~seen[true]]
-            needed += [covered / len(rest)] * len(found)  # a leaf is opened if less than the share is covered
-            covered += int((~seen[rows]).sum())
-            seen[rows] = True
-            if seen[true].all():
+        waiting = set(np.argpartition(-(rest @ q), k)[:k].tolist())
+        where: dict[tuple[int, int], list[int]] = {}
+        for i in waiting:
+            for t in range(trees):
+                where.setdefault((t, int(home[t][i])), []).append(i)
+        for t, leaf, before in forest.walk(q):  # a leaf is opened if those before hold less than the share
+            found = waiting.intersection(where.get((t, leaf), ()))
+            needed += [before] * len(found)
+            waiting -= found
+            if not waiting:
                 break
     return float(np.quantile(needed, recall)) + 1e-9
 
@@ -148,7 +154,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 16, sam
     distinct = staged(ranked.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "distinct")
     sample = np.array([r["v"] for r in distinct.orderBy(F.xxhash64("v")).select("v").limit(sample_rows).collect()])
     unit = sample / np.linalg.norm(sample, axis=1)[:, None]
-    depth = max(0, min(int(np.log2(len(unit) / 32)) if len(unit) > 32 else 0, int(np.log2(max(1, total / LEAF_ROWS)))))
+    depth = max(0, min(int(np.log2(len(unit) / 64)) if len(unit) > 64 else 0, int(np.log2(max(1, total / LEAF_ROWS)))))
     if share is None:
         share = measured_share(unit, trees, depth, k, recall)
     forest = spark.sparkContext.broadcast(Forest.fit(unit, trees, depth))
