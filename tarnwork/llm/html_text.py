@@ -6,7 +6,8 @@
 2. The streams of all pages of a host, furniture included, are concatenated and put into suffix order. Strings
    of at least ``min_words`` tokens on at least ``min_pages`` different pages are boilerplate; what they cover
    goes, unique runs stay. Pages of equal content (article, or all text where none is marked) count as one
-   page, whatever furniture is around it.
+   page, whatever furniture is around it. (A string whose hash no other has does not repeat; what only such strings
+   cover need not be sorted.)
 3. Guards: marked furniture goes although it is unique. An article, or else a main element or one named so,
    is the page's text if it has more words than there are unique words outside of it; its words stay although
    other pages repeat them (a copied article is no boilerplate). Where no element wins, the unique runs of
@@ -221,22 +222,44 @@ class Streams:
         self.block_at = np.append(at[mark] + 1, len(data) + 1)  # bytes
         self.same = np.unique(keys, return_inverse=True)[1]
 
-    def strings(self, min_words: int, memory: int = 256 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, number of its string, pages that hold it by string) of every ``min_words`` tokens within a page."""
-
-        def fits(positions: np.ndarray) -> np.ndarray:
-            owner = np.minimum(np.searchsorted(self.ends, positions, "right"), len(self.ends) - 1)
-            return positions + min_words < self.ends[owner]
-
-        found = list(picked(sorted_suffixes(self.text, memory), fits)) if len(self.ends) else []
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        start, shared = (np.concatenate(x) for x in zip(*found))
+    def windows(self, min_words: int) -> np.ndarray:
+        """Starts of every ``min_words`` tokens within a page."""
+        size = np.diff(self.ends, prepend=0) - 1
+        return spread(self.ends - size - 1, np.maximum(size - min_words + 1, 0))
+
+    def strings(self, min_words: int, memory: int = 256 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, number of its string, pages that hold it by string; hashes of all others) of every ``min_words`` tokens that may repeat.
+
+        Equal strings have equal hashes, so a string whose hash stands alone does not repeat. Only what the others
+        cover is put into suffix order, which tells them apart.
+        """
+        start = self.windows(min_words)
+        h = self.string_hashes(start, min_words)
+        order = np.argsort(h)
+        same = h[order[1:]] == h[order[:-1]]
+        often = np.zeros(len(h), bool)
+        often[order[1:][same]] = often[order[:-1][same]] = True
+        own, alone = start[often], h[~often]
+        if not len(own):
+            return own, own, own, alone
+        step = np.zeros(len(self.text) + 1, np.int32)
+        step[own] += 1
+        step[own + min_words] -= 1
+        at = np.flatnonzero(np.cumsum(step) > 0)
+        place = np.arange(len(at)) + np.cumsum(np.diff(at, prepend=at[0] - 1) > 1)  # a 1 parts stretches
+        text = np.ones(int(place[-1]) + 3, np.int32)
+        text[place], text[-1] = self.text[at], 0
+        back = np.full(len(text), -1)
+        back[place] = at
+        wanted = np.zeros(len(self.text) + 1, bool)
+        wanted[own] = True  # the last one, which -1 means, is no start
+        start, shared = (np.concatenate(x) for x in zip(*picked(sorted_suffixes(text, memory), lambda positions: wanted[back[positions]])))
+        start = back[start]
         number = np.cumsum(shared < min_words) - 1
         number -= number[0]
         page = self.same[np.searchsorted(self.ends, start, "right")]
         pairs = np.unique(number * len(self.ends) + page)
-        return start, number, np.bincount(pairs // len(self.ends))
+        return start, number, np.bincount(pairs // len(self.ends)), alone
 
     def string_hashes(self, start: np.ndarray, min_words: int) -> np.ndarray:
         """64-bit hash of the ``min_words`` tokens from each ``start`` on, the same in every shard."""
@@ -286,12 +309,14 @@ def unique_runs(pages: list[str], min_words: int = 6, min_pages: int = 3) -> lis
     """The texts of pages (html) of one host."""
     blocks = [blocks_of(p) for p in pages]
     streams = Streams([pack(b) for b in blocks], np.array([content_key(b) for b in blocks], np.int64))
-    start, number, many = streams.strings(min_words)
+    start, number, many, _ = streams.strings(min_words)
     return [t.decode("utf-8", "surrogatepass") for t in streams.texts(streams.covered(start[many[number] >= min_pages], min_words))]
 
 
 def extract(pages: DataFrame, min_words: int = 6, min_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text (blocks joined by newlines), n_chars."""
+    if min_pages < 2:
+        raise ValueError("what one page holds is no boilerplate")
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
@@ -324,15 +349,16 @@ def extract(pages: DataFrame, min_words: int = 6, min_pages: int = 3, id_col: st
 
     def whole(group: pa.Table) -> pa.Table:
         own = streams(group)
-        start, number, many = own.strings(min_words)
+        start, number, many, _ = own.strings(min_words)
         return written(group, own.texts(own.covered(start[many[number] >= min_pages], min_words)))
 
     def sent(group: pa.Table) -> pa.Table:
         """Hashes (48 bits, besides the range) and pages of a shard's strings, by range of hashes."""
         own = streams(group)
-        start, number, many = own.strings(min_words)
+        start, number, many, alone = own.strings(min_words)
         first = np.flatnonzero(np.diff(number, prepend=-1))
-        h = own.string_hashes(start[first], min_words)
+        h = np.append(own.string_hashes(start[first], min_words), alone)
+        many = np.append(many, np.ones(len(alone), np.int64))
         parts = min(MOST_PARTS, PARTS * group.column("shards")[0].as_py())
         part = (h & np.uint64(0xFFFF)).astype(np.int64) % parts
         order = np.lexsort((h, part))
@@ -353,8 +379,7 @@ def extract(pages: DataFrame, min_words: int = 6, min_pages: int = 3, id_col: st
 
     def apart(group: pa.Table, gone: pa.Table) -> pa.Table:
         own = streams(group)
-        start = np.arange(len(own.text) - 1)
-        start = start[start + min_words < own.ends[np.searchsorted(own.ends, start, "right")]]
+        start = own.windows(min_words)
         h = own.string_hashes(start, min_words)
         parts = min(MOST_PARTS, PARTS * group.column("shards")[0].as_py())
         mine = (h & ~np.uint64(0xFFFF)) | ((h & np.uint64(0xFFFF)) % np.uint64(parts))
