@@ -447,6 +447,41 @@ def test_hamming_topk(spark):
     assert hamming_topk.search(df.where("vec_id IN (0, 7)"), every=100).count() == 1
 
 
+def rows_made(spark, since):
+    """(lookups, pairs let through by a join) of the statements after ``since``, and the last statement."""
+    store, made, last = spark._jsparkSession.sharedState().statusStore(), Counter(), since
+    statements = store.executionsList()
+    for i in (statements.apply(k).executionId() for k in range(statements.size())):
+        last = max(last, i)
+        values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())) if i > since else ():
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    kind = "lookups" if re.match(r"Generate explode\(\[\d", node.desc()) else node.name()
+                    made[kind] += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made["lookups"], made["SortMergeJoin"], last
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_hamming_makes_few_rows(spark, hot):
+    """Neither far neighbours nor a value that all rows share multiply the rows that a search makes."""
+    n, k = 12_000, 10
+    x = np.random.default_rng(3).normal(size=(n, 61)).astype(np.float32)
+    x[:, :16] = np.abs(x[:, :16]) if hot else x[:, :16]
+    bits = x > 0
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+    before = rows_made(spark, -1)[2]
+    got = {}
+    for r in hamming_topk.search(df, every=100, k=k).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["distance"])
+    for q in range(0, n, 100):
+        d = (bits != bits[q]).sum(axis=1)
+        d[q] = 99
+        assert [got[q][i + 1] for i in range(k)] == [(i, d[i]) for i in np.lexsort((np.arange(n), d))[:k]]
+    lookups, pairs, _ = rows_made(spark, before)
+    assert 0 < lookups <= 10 * n and 0 < pairs <= 10 * n
+
+
 def test_repeated_rows_leave_room_for_k(spark):
     """Rows that repeat a query's id, or an id of a shared vector, take no place of another row's."""
     def near(ids):
