@@ -17,12 +17,18 @@ CONFIDENCE_CELLS = 1000
 def overlaps(gt: DataFrame, pred: DataFrame, image: str = "image", by_class: bool = False) -> DataFrame:
     """Every pair of a box and a prediction of one image with their overlap: gt_idx, pred_idx, conf, iou.
 
-    ``gt``: image, gt_idx, cls, g0..g3; ``pred``: image, pred_idx, cls, conf, p0..p3.
+    ``gt``: image, gt_idx, cls, g0..g3; ``pred``: image, pred_idx, cls, conf, p0..p3. Rows are dealt by image alone, so
+    that all steps of an image share one shuffle of each side.
     """
-    on = [image] + ["cls"] * by_class
-    if not by_class:
-        pred = pred.withColumnRenamed("cls", "pred_cls")
-    return gt.join(pred, on).withColumn("iou", iou([F.col(c) for c in GT], [F.col(c) for c in PRED]))
+    pairs = gt.join(pred.withColumnRenamed("cls", "pred_cls"), image)
+    if by_class:
+        pairs = pairs.where(_same("cls", "pred_cls")).drop("pred_cls")
+    return pairs.withColumn("iou", iou([F.col(c) for c in GT], [F.col(c) for c in PRED]))
+
+
+def _same(a: str, b: str) -> Column:
+    """a = b as two bounds: as an equality it would be a join key, and rows would be dealt anew by it and the image."""
+    return (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
 
 
 def match_single(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, image: str = "image") -> DataFrame:
@@ -37,23 +43,32 @@ def match_greedy(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, image:
 
     A box whose best unused prediction overlaps too little takes none; the first of equal overlaps wins.
     """
-    pairs = overlaps(gt, pred, image, by_class).where("iou > 0").select(image, "gt_idx", "pred_idx", "conf", "iou")
-    crowded = gt.groupBy(image).agg(F.count("*").alias("_n")).where("_n > 1").select(image)
+    return _greedy(gt, pred, threshold, image, by_class).drop("cls")
+
+
+def _greedy(gt: DataFrame, pred: DataFrame, threshold: float, image: str, by_class: bool) -> DataFrame:
+    """``match_greedy`` with the class of the box."""
+    gt = gt.withColumn("_n", F.count("*").over(Window.partitionBy(image)))
+    pairs = overlaps(gt, pred, image, by_class).where((F.col("iou") > 0) & (F.col("iou") >= threshold))
+    # the other boxes of an image of n take n - 1 predictions at most, so a box's own is among its n best
     order = Window.partitionBy(image, "gt_idx").orderBy(F.desc("iou"), "pred_idx")
-    alone = pairs.join(crowded, image, "left_anti").withColumn("_nth", F.row_number().over(order))
-    alone = alone.where((F.col("_nth") == 1) & (F.col("iou") >= threshold)).drop("_nth")  # one box: nothing to contend for
-    # an image's boxes, each with its predictions from the best on, are folded into the matches so far
-    rivals = pairs.join(crowded, image, "left_semi").groupBy(image, "gt_idx").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("less"), "pred_idx", "conf", "iou"))).alias("made"))
-    by_image = rivals.groupBy(image).agg(F.sort_array(F.collect_list(F.struct("gt_idx", "made"))).alias("boxes"))
+    pairs = pairs.withColumn("_nth", F.row_number().over(order)).where("_nth <= _n").select(image, "gt_idx", "_nth", "pred_idx", "conf", "iou", "cls")
+    made = pairs.groupBy(image).agg(F.sort_array(F.collect_list(F.struct("gt_idx", "_nth", "pred_idx", "conf", "iou", "cls"))).alias("made"))
+    kept = ("gt_idx", "pred_idx", "conf", "iou", "cls")
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    none = F.array().cast(f"array<struct<gt_idx:{kind['gt_idx']},pred_idx:{kind['pred_idx']},conf:{kind['conf']},iou:double>>")
+    none = F.array().cast(f"array<struct<{','.join(f'{c}:{kind[c]}' for c in kept)}>>")
+
+    def take(found: Column, p: Column) -> Column:
+        used = F.exists(found, lambda m: (m["gt_idx"] == p["gt_idx"]) | (m["pred_idx"] == p["pred_idx"]))
+        return F.when(used, found).otherwise(F.concat(found, F.array(F.struct(*[p[c].alias(c) for c in kept]))))
+
+    return made.select(image, F.explode(F.aggregate("made", none, take)).alias("m")).select(image, "m.*")
 
-    def take(found: Column, box: Column) -> Column:
-        free = F.filter(box["made"], lambda p: ~F.exists(found, lambda m: m["pred_idx"] == p["pred_idx"]))
-        return F.concat(found, F.transform(F.filter(F.slice(free, 1, 1), lambda p: p["iou"] >= threshold), lambda p: F.struct(box["gt_idx"].alias("gt_idx"), p["pred_idx"].alias("pred_idx"), p["conf"].alias("conf"), p["iou"].alias("iou"))))
 
-    matched = by_image.select(image, F.explode(F.aggregate("boxes", none, take)).alias("m")).select(image, "m.*")
-    return alone.unionByName(matched)
+def _without(df: DataFrame, matches: DataFrame, image: str, key: str) -> DataFrame:
+    """Rows of ``df`` that no match of their image holds."""
+    taken = matches.select(F.col(image).alias("_image"), F.col(key).alias("_key"))
+    return df.join(taken, (F.col(image) == F.col("_image")) & _same(key, "_key"), "left_anti")
 
 
 def examples(gt: DataFrame, pred: DataFrame, matches: DataFrame, image: str = "image") -> DataFrame:
@@ -64,8 +79,8 @@ def examples(gt: DataFrame, pred: DataFrame, matches: DataFrame, image: str = "i
         return df.select(name, F.lit(kind).alias("categoria"), conf.cast("double").alias("confianza"), overlap.alias("iou"), F.lit(why).alias("hipotesis"))
 
     hits = rows(matches, HIT, F.col("conf"), four(F.col("iou")), "")
-    missed = rows(gt.join(matches, [image, "gt_idx"], "left_anti"), MISS, F.lit(None), F.lit(0.0), "sin detección sobre el umbral")
-    false = rows(pred.join(matches, [image, "pred_idx"], "left_anti"), FALSE, F.col("conf"), F.lit(0.0), "detección sin objeto")
+    missed = rows(_without(gt, matches, image, "gt_idx"), MISS, F.lit(None), F.lit(0.0), "sin detección sobre el umbral")
+    false = rows(_without(pred, matches, image, "pred_idx"), FALSE, F.col("conf"), F.lit(0.0), "detección sin objeto")
     return hits.unionByName(missed).unionByName(false)
 
 
@@ -189,7 +204,7 @@ def mean_average_precision(aps: DataFrame, gt: DataFrame) -> DataFrame:
 
 def class_metrics(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, image: str = "image") -> DataFrame:
     """cls, tp, fp, fn, precision, recall, f1 of every class that has boxes or predictions, matched within classes."""
-    hits = match_greedy(gt, pred, threshold, image, by_class=True).join(gt.select(image, "gt_idx", "cls"), [image, "gt_idx"])
+    hits = _greedy(gt, pred, threshold, image, by_class=True)
     counts = [df.groupBy("cls").agg(F.count("*").alias(n)) for df, n in ((gt, "boxes"), (pred, "made"), (hits, "tp"))]
     out = counts[0].join(counts[1], "cls", "full").join(counts[2], "cls", "left").fillna(0, ["boxes", "made", "tp"])
     out = out.select("cls", "tp", (F.col("made") - F.col("tp")).alias("fp"), (F.col("boxes") - F.col("tp")).alias("fn"))

@@ -456,6 +456,18 @@ def leakage_sources(spark, sf_dir):
 # --- detections ------------------------------------------------------------------------------------------
 
 
+def _lines(spark, sf_dir):
+    """image, line, nth, first: an order's lines in order, each with its number and the first of them.
+
+    A line is one struct that is the sort key too, so no branch of a plan prunes it, and boxes and predictions read one
+    shuffle. Numbers are running counts, since a limit on row_number would be applied before that shuffle.
+    """
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag")
+    so_far = Window.partitionBy("image").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), line.alias("line"))
+    return lines.select("image", "line", F.count("*").over(so_far).cast("int").alias("nth"), F.first("line").over(so_far).alias("first"))
+
+
 def _detections(spark, sf_dir):
     """(ground truth: the first line of each order; predictions: all its lines, moved and scaled by tax and discount)."""
     c = F.col
@@ -586,8 +598,7 @@ def ap_trapz101(spark, sf_dir):
 def _crowd(spark, sf_dir):
     """Up to three boxes and any number of predictions an order, of two classes, on a common grid so that overlaps tie."""
     c = F.col
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
-    lines = read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("image"), number.alias("nth"), "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    lines = _lines(spark, sf_dir).select("image", "nth", *[f"line.{n}" for n in ("l_quantity", "l_tax", "l_returnflag")])
     left = (c("l_quantity") % 5) * 8
     gt = lines.where("nth <= 3").select("image", c("nth").alias("gt_idx"), (c("nth") % 2).alias("cls"), left.alias("g0"), F.lit(0.0).alias("g1"), (left + 20).alias("g2"), F.lit(30.0).alias("g3"))
     left = left + F.round(c("l_tax") * 100) / 2 - 2
