@@ -121,11 +121,14 @@ def true_positives(gt: DataFrame, pred: DataFrame, thresholds: list[float], imag
     """
     first = Window.partitionBy(image, "pred_idx").orderBy(F.desc("iou"), "gt_idx")
     rivals = Window.partitionBy(image, "gt_idx").orderBy(F.desc("conf"), "pred_idx").rowsBetween(Window.unboundedPreceding, -1)
-    own = overlaps(gt, pred, image, by_class=True).where(F.col("iou") >= min(thresholds)).withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    boxes = gt.select(F.col(image).alias("_image"), "gt_idx", F.col("cls").alias("_cls"), *GT)
+    overlap = iou([F.col(c) for c in GT], [F.col(c) for c in PRED])
+    met = (F.col(image) == F.col("_image")) & _same("cls", "_cls") & (overlap >= min(thresholds))
+    own = pred.join(boxes, met, "left").select(image, "pred_idx", "cls", "conf", "gt_idx", F.when(F.col("_image").isNotNull(), overlap).alias("iou"))
+    own = own.withColumn("_nth", F.row_number().over(first)).where("_nth = 1 OR iou IS NULL")  # null: meets no box, one row already
     own = own.withColumn("_rival", F.coalesce(F.max("iou").over(rivals), F.lit(0.0)))
-    hit = [((F.col("iou") >= t) & (F.col("_rival") < t)).cast("int").alias(f"_{k}") for k, t in enumerate(thresholds)]
-    scored = pred.select(image, "pred_idx", "cls", "conf").join(own.select(image, "pred_idx", *hit), [image, "pred_idx"], "left")
-    counted = scored.groupBy("cls", "conf").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"_{k}"), F.lit(0)).alias(f"_{k}") for k in range(len(thresholds))])
+    hit = [((F.col("iou") >= t) & (F.col("_rival") < t)).cast("int") for t in thresholds]
+    counted = own.groupBy("cls", "conf").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(h), F.lit(0)).alias(f"_{k}") for k, h in enumerate(hit)])
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"_{k}").alias("tp")) for k, t in enumerate(thresholds)])).alias("e")
     return counted.select("cls", "conf", "n", each).select("cls", "e.threshold", "conf", "n", "e.tp")
 

@@ -471,12 +471,10 @@ def _lines(spark, sf_dir):
 def _detections(spark, sf_dir):
     """(ground truth: the first line of each order; predictions: all its lines, moved and scaled by tax and discount)."""
     c = F.col
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
-    lines = read(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("image"), number.alias("pred_idx"), "l_quantity", "l_discount", "l_tax", "l_returnflag")
-    first = lines.where("pred_idx = 1")
-    gt = first.select("image", F.lit(0).alias("gt_idx"), F.lit(0).alias("cls"), (0.3 + 0.4 * c("l_quantity") / 50).alias("cx"), (0.2 + c("l_discount")).alias("w"))
-    base = gt.select("image", "cx", "w")
-    pred = lines.join(base, "image").select("image", "pred_idx", F.lit(0).alias("cls"), (c("l_quantity") / 50).alias("conf"), "l_returnflag", (c("cx") + c("l_tax") - 0.04).alias("cx"), (0.5 + (c("l_discount") - 0.05) * 2).alias("cy"), (c("w") * (1 + c("l_tax"))).alias("w"))
+    base = [(0.3 + 0.4 * c("first.l_quantity") / 50).alias("cx"), (0.2 + c("first.l_discount")).alias("w")]
+    lines = _lines(spark, sf_dir).select("image", c("nth").alias("pred_idx"), *[f"line.{n}" for n in ("l_quantity", "l_discount", "l_tax", "l_returnflag")], *base)
+    gt = lines.where("pred_idx = 1").select("image", F.lit(0).alias("gt_idx"), F.lit(0).alias("cls"), "cx", "w")
+    pred = lines.where("image IS NOT NULL").select("image", "pred_idx", F.lit(0).alias("cls"), (c("l_quantity") / 50).alias("conf"), "l_returnflag", (c("cx") + c("l_tax") - 0.04).alias("cx"), (0.5 + (c("l_discount") - 0.05) * 2).alias("cy"), (c("w") * (1 + c("l_tax"))).alias("w"))
     corner = lambda cy: boxes.corners(c("cx"), cy, c("w"), F.lit(0.3), F.lit(100), F.lit(100))
     gt = gt.select("image", "gt_idx", "cls", *[x.alias(n) for x, n in zip(corner(F.lit(0.5)), evaluation.GT)])
     pred = pred.select("image", "pred_idx", "cls", "conf", "l_returnflag", *[x.alias(n) for x, n in zip(corner(c("cy")), evaluation.PRED)])
