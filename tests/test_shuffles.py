@@ -60,7 +60,7 @@ def test_a_crowd_of_predictions_keeps_no_more_than_boxes_can_use(spark):
     assert {r["categoria"]: r["count"] for r in rows} == {evaluation.HIT: 3, evaluation.FALSE: 4997}
 
 
-CURVES = ["ap_coco101", "ap_trapz101", "ap_at_iou", "map_50_95"]
+CURVES = ["ap_coco101", "ap_trapz101", "ap_at_iou", "map_50_95", "precision_recall_curve"]
 
 
 @pytest.mark.parametrize("name", [*CURVES, "map_of_classes"])
